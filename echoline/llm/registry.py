@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoline.llm import bpe, langid, matroska, sharding, topk, toxicity
+from echoline.llm import bpe, langid, matroska, sharding, substrings, topk, toxicity
 from echoline.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_query(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,8 +45,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op2_block_topk, op6_byte_bpe, op7_virtual_slots, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_matroska, op2_block_topk, op4_substrings, op6_byte_bpe, op7_virtual_slots, op9_toxicity, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_topk": topk.ORACLE_SQL}
+    return {"op2_block_topk": topk.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL}
