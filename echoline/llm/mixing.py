@@ -5,7 +5,7 @@ a posterior over domains. Nonnegative document rates are fitted by projected-gra
 tokens of each domain, the sum of rate * tokens * posterior, match the targets; a small pull towards rate one spreads the
 change over all documents. Documents of equal measures have equal posteriors and so equal rates; the gradient is summed
 over the distinct combinations of measures, a table of a bounded number of rows, and only the residuals of the few
-domains come to the driver. A document's rate is the fold of the residuals' history over its posterior.
+domains come to the driver. A combination's rate is the fold of the residuals' history over its posterior.
 
 Defined results: null and empty texts have no tokens and fall into the lowest bins; null or unknown labels teach nothing; without
 labels the posteriors are uniform; an empty table gives an empty result; documents labelled twice count twice.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 # Domains of the label table, and the token shares wanted of each.
 DOMAINS = {"high_quality": "quality = 1 AND toxic = 0", "low_quality": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
 TARGETS = {"high_quality": 0.9, "low_quality": 0.1, "toxic": 0.0}
-BINS, SMOOTHING, RIDGE, ITERATIONS, TOLERANCE = 8, 0.5, 0.02, 120, 1e-6
+BINS, SMOOTHING, RIDGE, ITERATIONS, TOLERANCE = 8, 0.5, 0.02, 60, 1e-5
 SYMBOLS = "%&*$#!|"
 INSULTS = "idiot|moron|stupid|loser|scum|trash|clown|pathetic|worthless|disgusting"
 
@@ -80,44 +80,61 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id") -> Class
     return Classifier(prior, tables)
 
 
-def rate_of(history: list[list[float]], low: float, high: float) -> Column:
-    """The rate after the steps in history, from the column p."""
+def rate_of(history: list[list[float]], low: float, high: float, step: float) -> Column:
+    """The rate after the steps in history (the scaled residuals of each), from the column p."""
     if not history:
-        return F.lit(1.0)
+        return F.lit(min(high, max(low, 1.0)))
     width = len(history[0])
-    steps = F.split(F.lit(";".join(" ".join(repr(v) for v in step) for step in history)), ";")
-    steps = F.transform(steps, lambda s: F.split(s, " ").cast("array<double>"))
+    steps = F.transform(F.split(F.lit(";".join(" ".join(repr(v) for v in e) for e in history)), ";"), lambda s: F.split(s, " ").cast("array<double>"))
     pull = lambda e: sum((F.get(F.col("p"), F.lit(d)) * F.get(e, F.lit(d)) for d in range(width)), F.lit(0.0))
-    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(low), F.least(F.lit(high), r - (pull(e) + F.lit(RIDGE) * (r - 1.0)) / F.lit(1.0 + RIDGE))))
-
-
-def fit(cells: DataFrame, targets: list[float], low: float, high: float) -> list[list[float]]:
-    """The residuals of each step of projected gradient descent over cells (tokens, p)."""
-    width, history = len(targets), []
-    whole = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 0
-    goal = [t / (sum(targets) or 1.0) for t in targets]
-    for _ in range(ITERATIONS if whole else 0):
-        rate = rate_of(history, low, high)
-        totals = cells.select("tokens", "p", rate.alias("r")).agg(*[F.sum(F.col("tokens") * F.col("r") * F.get(F.col("p"), F.lit(d))).alias(f"d{d}") for d in range(width)]).first()
-        share = [totals[f"d{d}"] / whole for d in range(width)]
-        history.append([s - g for s, g in zip(share, goal, strict=True)])
-        if len(history) > 1 and max(abs(a - b) for a, b in zip(history[-1], history[-2], strict=True)) < TOLERANCE:
+    return F.aggregate(steps, F.lit(min(high, max(low, 1.0))), lambda r, e: F.greatest(F.lit(low), F.least(F.lit(high), r - F.lit(step) * (pull(e) + F.lit(RIDGE) * (r - 1.0)))))
+
+
+def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget: float) -> Column:
+    """The rate as an expression of p, by projected gradient descent over cells (tokens, p).
+
+    The squared error of domain d is divided by its curvature, the mean of p_d squared, so that small domains converge
+    as fast as large ones. A step sends one row of sums to the driver.
+    """
+    width = len(targets)
+    n, p = F.col("tokens"), [F.get("p", F.lit(d)) for d in range(width)]
+    moments = cells.agg(F.sum(n).alias("n"), *[F.sum(n * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(width) for b in range(width)]).first()
+    whole = moments["n"] or 0
+    if not whole:
+        return rate_of([], low, high, 1.0)
+    m = [[moments[f"m{a}_{b}"] / whole for b in range(width)] for a in range(width)]
+    scale = [1 / max(m[d][d], 1e-6) for d in range(width)]
+    v = [1.0] * width
+    for _ in range(100):  # the largest eigenvalue of the scaled moments bounds the curvature
+        v = [sum(m[a][b] * scale[b] * v[b] for b in range(width)) for a in range(width)]
+        top = max(map(abs, v)) or 1.0
+        v = [x / top for x in v]
+    step = 1 / (top * 1.05 + RIDGE)
+    goal = [budget * t / (sum(targets) or 1.0) for t in targets]
+    history: list[list[float]] = []
+    for _ in range(ITERATIONS):
+        totals = cells.select("tokens", "p", rate_of(history, low, high, step).alias("r")).agg(*[F.sum(n * F.col("r") * p[d]).alias(f"d{d}") for d in range(width)]).first()
+        history.append([(totals[f"d{d}"] / whole - goal[d]) * scale[d] for d in range(width)])
+        if len(history) > 1 and max(abs(a - b) / c for a, b, c in zip(history[-1], history[-2], scale, strict=True)) < TOLERANCE:
             break
-    return history
+    return rate_of(history, low, high, step)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 0.0, high: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 0.0, high: float = 4.0, budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, tokens, p, rate, copies): each row of docs with its posteriors, its rate within low and high, and a
-    whole number of copies whose expectation is the rate (drawn by a hash of the id)."""
+    whole number of copies whose expectation is the rate (drawn by a hash of the id).
+
+    budget: wanted tokens in all, as a multiple of the tokens there are.
+    """
     from echoline.llm.base import persist
 
     wanted = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
     rows = measured(docs, id_col, text_col)
     model = train(rows, labels)
     bins = [f"b{m}" for m in range(MEASURES)]
-    cells = persist(rows.groupBy(*bins).agg(F.sum("tokens").alias("tokens")).withColumn("p", model.posterior()).select("tokens", "p").coalesce(1), "mixing-cells")  # at most BINS ** MEASURES rows
-    history = fit(cells, wanted, low, high)
-    out = rows.withColumn("p", model.posterior()).withColumn("rate", F.round(rate_of(history, low, high), 6))
+    cells = persist(rows.groupBy(*bins).agg(F.sum("tokens").alias("tokens")).withColumn("p", model.posterior()).coalesce(1), "mixing-cells")
+    rated = cells.select(*bins, "p", F.round(fit(cells, wanted, low, high, budget), 6).alias("rate"))
+    out = rows.join(F.broadcast(rated), bins)  # BINS ** MEASURES rows at most, whatever the corpus
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(97)), F.lit(1 << 30)) / float(1 << 30)
     return out.select("row", "id", "tokens", "p", "rate", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))
 
@@ -127,7 +144,7 @@ def mixing_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 1.0, high: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 1.0, high: float = 4.0, budget: float = 1.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row as many times as it has copies; with low >= 1 no row is lost."""
-    rows = mixed(docs, labels, targets, low, high, id_col, text_col)
+    rows = mixed(docs, labels, targets, low, high, budget, id_col, text_col)
     return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
