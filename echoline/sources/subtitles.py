@@ -70,7 +70,8 @@ READERS = {("json3",): json3_cues, ("vtt", "srt"): block_cues, ("ttml",): ttml_c
 
 
 def is_usable(content: Column, extension: Column) -> Column:
-    """Not empty, not too large, and neither a web page nor (but for json3) a JSON error."""
+    """Whether a download is kept: not empty, not too large, and neither a web page nor (but for json3) anything that
+    begins like JSON. That turns away files that open with a section in brackets too; parsing itself takes them."""
     head = F.lower(F.ltrim(F.substring(content, 1, 512)))
     page = head.startswith("<!doctype html") | head.startswith("<html")
     error = (head.startswith("{") | head.startswith("[")) & (F.lower(extension) != "json3")
@@ -79,7 +80,6 @@ def is_usable(content: Column, extension: Column) -> Column:
 
 def cues(files: DataFrame) -> DataFrame:
     """(media_id, source, language, cue_idx, text, start, end) of all files."""
-    files = files.where(is_usable(F.col("content"), F.col("extension")))
     out = None
     for extensions, reader in READERS.items():
         found = reader(files.where(F.lower("extension").isin(*extensions)))
