@@ -23,26 +23,31 @@ from pyspark.sql import functions as F
 DOMAINS = {"high_quality": "quality = 1 AND toxic = 0", "low_quality": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
 TARGETS = {"high_quality": 0.9, "low_quality": 0.1, "toxic": 0.0}
 BINS, SMOOTHING, RIDGE, ITERATIONS, TOLERANCE = 8, 0.5, 0.02, 60, 1e-5
-SYMBOLS = "%&*$#!|"
-INSULTS = "idiot|moron|stupid|loser|scum|trash|clown|pathetic|worthless|disgusting"
+SYMBOLS, BREAKS = "%&*$#!|", ".,;:?\n\t\r\x0b\x0c"
+INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting"
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs under `row`, with id, tokens and the bins b0.. of the text's measures."""
+def measured(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """id, tokens and the bins b0.. of the text's measures; with carry the row of docs under `row`.
+
+    Words are lower-cased and separated by white space and common punctuation, all of which become single characters,
+    so that splitting needs no regular expression.
+    """
     text = F.coalesce(docs[text_col], F.lit(""))
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), text.alias("t"))
-    base = base.withColumn("words", F.filter(F.split("t", r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    base = base.withColumn("tokens", F.size("words").cast("long")).withColumn("kinds", F.size(F.array_distinct("words")))
-    n, chars = F.greatest("tokens", F.lit(1)), F.greatest(F.length("t"), F.lit(1))
-    symbols = F.length("t") - F.length(F.translate("t", SYMBOLS, ""))
+    rows = docs.select(*([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), docs[id_col].cast("long").alias("id"), text.alias("t"))
+    keep = ["row"] * carry
+    rows = rows.select(*keep, "id", F.length("t").alias("chars"), F.length(F.translate("t", SYMBOLS, "")).alias("plain"), F.array_remove(F.split(F.translate(F.lower("t"), BREAKS, " " * len(BREAKS)), " "), "").alias("words"))
+    insults = F.array(*map(F.lit, INSULTS.split()))
+    rows = rows.select(*keep, "id", "chars", "plain", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), F.size(F.array_intersect(insults, F.col("words"))).alias("insults"))
+    n, chars = F.greatest("tokens", F.lit(1)), F.greatest("chars", F.lit(1))
     bins = [
         F.least(F.floor(F.log2(n) / 2), F.lit(BINS - 1)),
         F.least(F.floor(F.col("kinds") * BINS / n), F.lit(BINS - 1)),
-        F.least(F.ceil(symbols * 40 / chars), F.lit(BINS - 1)),
+        F.least(F.ceil((F.col("chars") - F.col("plain")) * 40 / chars), F.lit(BINS - 1)),
         F.least(F.floor(chars / n / 2), F.lit(BINS - 1)),
-        F.least(F.regexp_count(F.lower("t"), F.lit(INSULTS)), F.lit(3)),
+        F.least("insults", F.lit(3)),
     ]
-    return base.select("row", "id", "tokens", *[b.cast("int").alias(f"b{k}") for k, b in enumerate(bins)])
+    return rows.select(*keep, "id", "tokens", *[b.cast("int").alias(f"b{k}") for k, b in enumerate(bins)])
 
 
 MEASURES = 5
@@ -120,23 +125,26 @@ def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget:
     return rate_of(history, low, high, step)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 0.0, high: float = 4.0, budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, tokens, p, rate, copies): each row of docs with its posteriors, its rate within low and high, and a
-    whole number of copies whose expectation is the rate (drawn by a hash of the id).
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 0.0, high: float = 4.0, budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(id, tokens, p, rate, copies): each row of docs with its posteriors, its rate within low and high, and a whole
+    number of copies whose expectation is the rate (drawn by a hash of the id); with carry also `row`, the row itself.
 
-    budget: wanted tokens in all, as a multiple of the tokens there are.
+    budget: wanted tokens in all, as a multiple of the tokens there are. Texts are measured once, into a narrow table;
+    carried rows are measured a second time instead of being moved.
     """
     from echoline.llm.base import persist
 
     wanted = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
-    rows = measured(docs, id_col, text_col)
+    rows = persist(measured(docs, id_col, text_col, False), "mixing-measures")
     model = train(rows, labels)
     bins = [f"b{m}" for m in range(MEASURES)]
     cells = persist(rows.groupBy(*bins).agg(F.sum("tokens").alias("tokens")).withColumn("p", model.posterior()).coalesce(1), "mixing-cells")
     rated = cells.select(*bins, "p", F.round(fit(cells, wanted, low, high, budget), 6).alias("rate"))
+    if carry:
+        rows = measured(docs, id_col, text_col, True)
     out = rows.join(F.broadcast(rated), bins)  # BINS ** MEASURES rows at most, whatever the corpus
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(97)), F.lit(1 << 30)) / float(1 << 30)
-    return out.select("row", "id", "tokens", "p", "rate", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))
+    return out.select(*["row"] * carry, "id", "tokens", "p", "rate", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))
 
 
 def mixing_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -146,5 +154,5 @@ def mixing_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 1.0, high: float = 4.0, budget: float = 1.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row as many times as it has copies; with low >= 1 no row is lost."""
-    rows = mixed(docs, labels, targets, low, high, budget, id_col, text_col)
+    rows = mixed(docs, labels, targets, low, high, budget, id_col, text_col, carry=True)
     return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
