@@ -10,7 +10,8 @@ The fit uses at most TRAIN_ROWS labelled rows of each class (a documented bound,
 covers every text in full.
 
 Defined results: null, empty and wordless texts score as texts without a match; labels that are null, or of other values than
-0 and 1, teach nothing; with no toxic labelled row the seed list alone decides; repeated rows score alike.
+0 and 1, teach nothing; with no toxic labelled row, or no match in any
+labelled row, the seed list and a fixed calibration decide; a text without a match is never toxic; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ TRAIN_ROWS, LEXICON_SIZE, STEM_MIN, STEM_MAX = 4000, 4000, 3, 8
 #: the log likelihood ratio must exceed the log of the number of candidates by EVIDENCE.
 ODDS, EVIDENCE, LEAST_ROWS = 25.0, 2.0, 3
 SEED_WEIGHT = 3.0
+#: Most that the calibration may say of a text without a match: below one half, whatever the labels.
+NO_MATCH = -0.1
 
 # Seed words, phrases in which such words are harmless, and look-alike letters.
 SEED = "idiot moron stupid loser scum trash clown pathetic worthless disgusting imbecile dumbass asshole bastard vermin scumbag retard".split()
@@ -200,8 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, fold_column=lambda c: F.lit(True),
 def choose_stems(kept: list[tuple[str, str, int, float]]) -> dict[str, float]:
     """The stems to match: each as long as its family of words allows, none inside another's family.
 
-    A longer stem or a whole word that accounts for nearly all toxic rows of a stem stands for it, so that a stem never
-    reaches words of other families ("lose" gives way to the word "loser").
+    A longer stem or one or two whole words that account for nearly all toxic rows of a stem stand for it, so that a stem
+    never reaches words of other families ("lose" gives way to the word "loser").
     """
     grown: dict[str, list[tuple[str, str, int]]] = {}
     for kind, spelling, toxic, _ in kept:
@@ -211,7 +214,9 @@ def choose_stems(kept: list[tuple[str, str, int, float]]) -> dict[str, float]:
     for _, stem, toxic, weight in sorted((k for k in kept if k[0] == "stem"), key=lambda k: (len(k[1]), k[1])):
         if any(stem[:n] in out for n in range(STEM_MIN, len(stem))):
             continue
-        if not any(n >= 0.9 * toxic for _, _, n in grown.get(stem, ())):
+        longer = grown.get(stem, ())
+        two_words = sum(sorted((n for kind, _, n in longer if kind == "word"), reverse=True)[:2])
+        if max([two_words, *(n for _, _, n in longer)], default=0) < 0.9 * toxic:
             out[stem] = weight
     return out
 
@@ -257,7 +262,7 @@ def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], schema=fields)
 
     seen = [(r["x"], r["label"], r["n"]) for r in rows.mapInArrow(run, schema).groupBy("x", "label").agg(F.sum("n").alias("n")).orderBy("x", "label").collect()]
-    if len({y for _, y, _ in seen}) < 2:
+    if len({y for _, y, _ in seen}) < 2 or not any(x for x, _, _ in seen):
         return lexicon
     a, b, ridge = 1.0, 0.0, 0.05
     for _ in range(60):
@@ -273,7 +278,7 @@ def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
         a, b = a - max(-2.0, min(2.0, da)), b - max(-2.0, min(2.0, db))
         if abs(da) + abs(db) < 1e-9:
             break
-    lexicon.slope, lexicon.bias = round(a, 6), round(b, 6)
+    lexicon.slope, lexicon.bias = round(a, 6), min(NO_MATCH, round(b, 6))
     return lexicon
 
 
