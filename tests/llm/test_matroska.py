@@ -1,0 +1,83 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import struct
+import zlib
+
+import pytest
+from conftest_llm import make_docs
+
+from echoline.llm import matroska as mkv
+
+
+@pytest.mark.parametrize("n", [64, 128, 512, 576, 4096, 4160, 32768, 32832, 40_000 * 64])
+def test_round_trip(n):
+    payload = random.Random(n).randbytes(n)
+    stored = mkv.mux(payload)
+    media = mkv.demux(stored)
+    assert not media.error
+    assert b"".join(stored[at : at + size] for _, _, at, size, *_ in media.packets) == payload
+    assert [c[2] for c in media.cues] == media.clusters
+    assert [c[0] for c in media.cues] == [next(p[1] for p in media.packets if p[4] == k) // 10**6 for k in range(len(media.clusters))]
+    assert [p[1] for p in media.packets] == [k * 64_000_000 for k in range(len(media.packets))]
+    assert (media.tracks[1].codec, media.tracks[1].frequency) == ("A_PCM/INT/LIT", 8000.0)
+
+
+@pytest.mark.parametrize("kind", [mkv.XIPH, mkv.VARIABLE])
+def test_lacing_of_uneven_frames(kind):
+    frames = [b"a" * 300, b"b", b"c" * 5000, b"", b"d" * 255, b"e" * 256, b"f" * 17]
+    body = b"\x81" + struct.pack(">hB", -5, 0x80 | {mkv.XIPH: 2, mkv.VARIABLE: 6}[kind]) + mkv.laced([len(f) for f in frames], kind) + b"".join(frames)
+    data = mkv.HEADER + mkv.element(mkv.SEGMENT, mkv.TRACK + mkv.element(mkv.CLUSTER, mkv.number(mkv.TIMESTAMP, 100) + mkv.element(mkv.BLOCK_GROUP, mkv.element(mkv.BLOCK, body))))
+    media = mkv.demux(data)
+    assert [data[p[2] : p[2] + p[3]] for p in media.packets] == frames
+    assert media.packets[0][1] == 95_000_000
+
+
+def test_unknown_sizes():
+    open_ = lambda ident: ident.to_bytes(4, "big") + b"\x01" + b"\xff" * 7
+    one = mkv.number(mkv.TIMESTAMP, 0) + mkv.element(mkv.SIMPLE_BLOCK, b"\x81\0\0\x80abc")
+    two = mkv.number(mkv.TIMESTAMP, 9) + mkv.element(mkv.SIMPLE_BLOCK, b"\x81\0\0\x80de")
+    media = mkv.demux(mkv.HEADER + open_(mkv.SEGMENT) + open_(mkv.CLUSTER) + one + open_(mkv.CLUSTER) + two)
+    assert [(p[1], p[3], p[4]) for p in media.packets] == [(0, 3, 0), (9_000_000, 2, 1)]
+
+
+def test_broken_files():
+    whole = mkv.mux(bytes(range(64)) * 40)
+    assert mkv.demux(b"").error
+    assert mkv.demux(b"RIFF").error
+    for n in range(0, len(whole), 37):
+        mkv.demux(whole[:n])  # never raises
+    rng = random.Random(1)
+    for _ in range(300):
+        bad = bytearray(whole)
+        for _ in range(4):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        mkv.demux(bytes(bad))
+
+
+def test_digests(spark, awkward):
+    rows = mkv.digests(make_docs(spark, awkward, extra=True)).collect()
+    assert len(rows) == len(awkward)
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], []).append(r)
+    for doc, text in awkward:
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        for r in by_id[doc]:
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert (r["media_bytes"], r["media_sha256"]) == (len(mkv.mux(payload)), hashlib.sha256(mkv.mux(payload)).hexdigest())
+    same = [r for d in (8, 9) for r in by_id[d]]
+    assert len({tuple(r[1:]) for r in same}) == 1
+    assert mkv.digests(make_docs(spark, awkward).limit(0)).count() == 0
+
+
+def test_packet_table(spark):
+    docs = make_docs(spark, [(1, "hello " * 900), (2, None)])
+    stored = mkv.store(docs)
+    packets = mkv.packet_table(stored, "id", "media").orderBy("id", "packet_idx").collect()
+    assert [(p["id"], p["packet_idx"], p["byte_size"]) for p in packets] == [(1, k, 512) for k in range(10)] + [(1, 10, 320), (2, 0, 64)]
+    assert packets[-2]["cue_time"] == 512 or packets[-2]["cue_time"] == 0
+    bad = spark.createDataFrame([(1, None), (2, bytearray(b"junk"))], "id long, media binary")
+    assert {r["error"] for r in mkv.packet_table(bad, "id", "media").collect()} == {"no EBML header"}

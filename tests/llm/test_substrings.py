@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from conftest_llm import make_docs
+
+from echoline.llm import shingles, substrings
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def brute(rows):
+    """(doc_id, n_words, n_removed, kept_sha256) by the definition."""
+    words = [(d, WORD.findall((t or "").encode())) for d, t in rows]
+    least: dict[tuple, int] = {}
+    big = 2**63 - 1
+    for d, w in words:
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            least[key] = min(least.get(key, big), big if d is None else d)
+    out = []
+    for d, w in words:
+        gone = {j for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < (big if d is None else d) for j in range(k, k + 13)}
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def run(spark, rows, **more):
+    return sorted((tuple(r) for r in substrings.substring_query(make_docs(spark, rows, **more)).collect()), key=str)
+
+
+def test_cover_reaches_every_shift():
+    cover, period = substrings.COVER, substrings.PERIOD
+    assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+    for i in range(period):
+        for j in range(period):
+            assert any((i + s) % period in cover and (j + s) % period in cover for s in range(period))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_brute_force(spark, seed, prose, monkeypatch):
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(shingles, "BUCKET_BYTES", 2000)
+    rng = random.Random(seed)
+    passages = [prose(9000 + k, rng.randint(10, 40), 50) for k in range(6)]
+    rows = []
+    for d in range(60):
+        parts = [prose(seed * 100 + d, rng.randint(0, 30), 30)]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages).split()
+            a = rng.randint(0, 5)
+            parts += [" ".join(p[a:]), prose(seed * 777 + d, rng.randint(0, 9), 30)]
+        rows.append((d, rng.choice([" ", "\n", "\t  "]).join(parts)))
+    rows += [(100, rows[3][1]), (100, rows[4][1]), (3, rows[3][1]), (None, rows[5][1]), (None, None), (101, "la " * 200), (102, "la " * 90)]
+    assert run(spark, rows, extra=True) == brute(rows)
+
+
+def test_hot_passage(spark, prose, monkeypatch):
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 2000)
+    shared = prose(1, 60)
+    rows = [(d, f"{prose(d + 10, 5)} {shared} {prose(d + 500, 7)}" if d % 3 else prose(d + 900, 30)) for d in range(200)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_awkward_rows(spark, awkward):
+    assert run(spark, awkward, extra=True) == brute(awkward)
+    assert substrings.substring_query(make_docs(spark, awkward).limit(0)).count() == 0
+
+
+def test_stage_keeps_rows_and_columns(spark, prose):
+    passage = prose(5, 60)
+    docs = make_docs(spark, [(1, f"first {passage}"), (2, f"a b  c {passage} tail"), (3, "own  words\nonly"), (4, None)], extra=True)
+    got = {r["doc_id"]: r for r in substrings.drop_repeats(docs).collect()}
+    assert substrings.drop_repeats(docs).columns == docs.columns
+    assert (got[1]["text"], got[2]["text"], got[3]["text"], got[4]["text"]) == (f"first {passage}", "a b c tail", "own  words\nonly", None)
+    assert got[2]["row"] == "x"
+
+
+def test_word_hashes_in_pieces(monkeypatch):
+    texts = [b"alpha beta\xc3\xa9 gamma" * 50, b"", None, b" x ", b"y" * 300 + b" z"]
+    whole = shingles.Texts(texts)
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    shingles._powers.clear()
+    parts = shingles.Texts(texts)
+    shingles._powers.clear()
+    assert np.array_equal(whole.hash, parts.hash)
+    assert np.array_equal(whole.owner, parts.owner)
+    assert np.diff(whole.first).tolist() == [len((t or b"").split()) for t in texts]
+
+
+def test_oracle_sql(spark, prose):
+    duckdb = pytest.importorskip("duckdb")
+    passage = prose(5, 30)
+    rows = [(d, f"{prose(d, 6)} {passage if d % 2 else ''} {prose(d + 50, 20)}") for d in range(20)] + [(30, None), (31, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(substrings.ORACLE_SQL).fetchall(), key=str) == run(spark, rows)
