@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from echoline import schemas
+from echoline import cli, schemas, sinks
 from echoline.config import SearchConfig
 from echoline.functions import rules
 from echoline.operators import cache, frames, intervals, occurrences, verify
@@ -161,8 +161,12 @@ def test_captions_first_then_speech(spark):
     seen = {r["media_id"]: r for r in search.search_visible(results, frame_table, lines, targets).collect()}
     assert (seen[1]["frame_match_type"], seen[1]["frame_index"], seen[1]["verification_source"], seen[1]["confidence"]) == ("visible_text", 13, "ocr", "HIGH")
     assert (seen[2]["frame_match_type"], seen[2]["verification_source"]) == ("spoken_dialogue", "asr")
-    flat = {r["media_id"]: r for r in search.flat(results, targets).collect()}
-    assert (flat[1]["start_hms"], flat[1]["query"]) == ("00:00:09.000", "My mind rebels at stagnation.")
+    flat = {r["media_id"]: r for r in sinks.report(search.search_visible(results, frame_table, lines, targets), targets, visible=True).collect()}
+    assert (flat[1]["dialogue_start_hms"], flat[1]["query"], flat[1]["match_score"], flat[1]["asr_model_used"], flat[1]["occurrence_count"]) == ("00:00:09.000", "My mind rebels at stagnation.", 100.0, "base.en", 1)
+    assert len(set(flat[1].asDict()) - {"query_id", "media_id"}) == 42 + len(sinks.VISIBLE) + 1
+    assert '"frame_path":null' in sinks.as_json(sinks.report(results, targets)).first()["json"]
+    images = spark.createDataFrame([(1, 12, bytearray(b"png")), (1, 13, bytearray(b"other"))], "media_id long, decode_idx int, image binary")
+    assert [(r["frame_index"], len(r["frame_id"])) for r in sinks.frame_images(results, images).collect()] == [(12, 32)]
     assert search.response(results).where("media_id = 1").first()["match"]["score"] == 100.0
 
 
@@ -181,3 +185,37 @@ def test_processed_seconds(spark):
     words = words_table(spark, (1, "base", 2.0, "come here"), (2, "base", 0.0, "a"))
     media = spark.createDataFrame([(1, None), (2, 9.0), (3, None)], "media_id long, duration double")
     assert {r["media_id"]: r["audio_processed_seconds"] for r in verify.processed_seconds(media, words, 2).collect()} == {1: 6.0, 2: 18.0, 3: 0.0}
+
+
+def test_full_audio_precision(spark):
+    cues = spark.createDataFrame([], schemas.CUES)
+    base, better = words_table(spark, (1, "base", 9.0, "is it looking bali")), words_table(spark, (1, "large", 9.0, "how's it looking barley"))
+    targets, media = spark.createDataFrame([(1, "How's it looking, Barley?")], schemas.TARGETS), spark.createDataFrame([(1, 30.0, 0.0)], MEDIA)
+    assert search.search(cues, base, targets, media, None, SearchConfig(), better).count() == 0
+    got = search.search(cues, base, targets, media, None, SearchConfig(precision_full_audio=True), better).first()
+    assert (got["match_type"], got["audio_processed_seconds"]) == ("exact", 60.0)
+
+
+def test_cli(spark, tmp_path, capsys):
+    words_table(spark, (1, "base", 2.0, "come here now")).write.parquet(f"{tmp_path}/words")
+    spark.createDataFrame([(1, "come here")], schemas.TARGETS).write.parquet(f"{tmp_path}/targets")
+    spark.createDataFrame([(1, 30.0, 0.0)], MEDIA).write.parquet(f"{tmp_path}/media")
+    args = [x for n in ("words", "targets", "media") for x in (f"--{n}", f"{tmp_path}/{n}")]
+    assert cli.main(args, spark) == 0
+    assert '"matched_text":"come here"' in capsys.readouterr().out
+    assert cli.main([*args, "--output", f"{tmp_path}/out"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/out").first()["dialogue_start"] == 2.0
+    assert cli.main([*args[:-1], f"{tmp_path}/none"], spark) == 1
+    assert '"error_code"' in capsys.readouterr().err
+    assert cli.main([*args, "--margin", "5", "--margin", "2"], spark) == 1
+
+
+def test_live_captions(spark, tmp_path):
+    from echoline import streaming
+
+    rows = [(1, "well come here now", "2024-01-01 00:00:00"), (1, "nothing", "2024-01-01 00:00:30"), (2, "Come here!", "2024-01-01 00:07:00"), (2, "Come here!", "2024-01-01 00:07:00")]
+    spark.createDataFrame(rows, "media_id long, text string, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema("media_id long, text string, at timestamp").parquet(f"{tmp_path}/in")
+    hits = streaming.live_phrases(live, spark.createDataFrame([(5, "come here")], schemas.TARGETS))
+    hits.writeStream.format("memory").queryName("hits").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["query_id"], r["media_id"]) for r in spark.table("hits").collect()) == [(5, 1), (5, 2)]
