@@ -275,12 +275,12 @@ def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("message", "e.code", "e.stage", "public_code", rules.public_status(F.col("public_code")).alias("status"))
 
 
-@query("SELECT event_id, CASE WHEN value < 1 THEN true ELSE value >= 45 AND value < 85 END AS eligible, CASE WHEN value < 1 OR (value >= 45 AND value < 85) THEN NULL WHEN value < 45 THEN 'base_match_score_below_precision_trigger' ELSE 'base_match_score_meets_threshold' END AS reason FROM events")
+@query("SELECT event_id, CASE WHEN value < 1 THEN true ELSE value >= 45 AND value < 85 END AS eligible, CASE WHEN value >= 1 AND value < 45 THEN 'base_match_score_below_precision_trigger' END AS reason FROM events")
 def precision_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a base score (none, below one) asks for a second pass."""
     base = F.when(F.col("value") >= 1, F.col("value"))
     config = SearchConfig()
-    return table(spark, sf_dir, "events").select("event_id", verify.gate(base, config.precision_trigger, config.verification_threshold).alias("eligible"), verify.gate_reason(base, config.precision_trigger, config.verification_threshold).alias("reason"))
+    return table(spark, sf_dir, "events").select("event_id", verify.gate(base, config.precision_trigger, config.verification_threshold).alias("eligible"), verify.gate_reason(base, config.precision_trigger).alias("reason"))
 
 
 @query("""
@@ -304,7 +304,7 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT page_id, url, regexp_matches(url, '^(?i)https?://[^/?#\s]+') AS valid, sha256(url) AS key,
-       substr(sha256(url), 1, 16) || CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '^[^:]+://[^/]*/.*\.[A-Za-z0-9]{1,10}$') THEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[A-Za-z0-9]{1,10})$', 1)) ELSE '.media' END AS file_name FROM pages""")
+       'direct-' || substr(sha256(url), 1, 16) || CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '^[^:]+://[^/]*/(.*/)?[^/]+\.[A-Za-z0-9]{1,9}$') THEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[A-Za-z0-9]{1,9})$', 1)) ELSE '.media' END AS file_name FROM pages""")
 def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = urls.clean(F.concat(F.lit(" <"), F.col("url"), F.lit("> ")))
     return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), urls.is_public(url).alias("valid"), urls.cache_key(url).alias("key"), urls.file_name(url).alias("file_name"))

@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 CHECKPOINT = "spark.checkpoint.dir"
 
 
+_own: dict[str, str] = {}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written as a table and read again: what several branches of a plan use is computed once and outlives executors."""
     spark = df.sparkSession
-    folder = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="echoline-")
-        spark.conf.set(CHECKPOINT, folder)
-    path = f"{folder.rstrip('/')}/echoline/{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT, None) or context.getConf().get(CHECKPOINT)
+    if not folder:  # a local folder only where none is set, as in tests
+        folder = _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="echoline-"))
+    path = f"{folder.rstrip('/')}/echoline-{context.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -60,7 +60,7 @@ def test_precision_pass_counts_twice(spark):
 def test_gate(spark):
     df = spark.createDataFrame([(45.0, True), (44.999, False), (85.0, False), (None, True)], "s double, wanted boolean")
     assert all(r["got"] == r["wanted"] for r in df.withColumn("got", verify.gate(F.col("s"), 45.0, 85.0)).collect())
-    assert spark.range(1).select(verify.gate_reason(F.lit(1.0), 45.0, 85.0)).first()[0] == "base_match_score_below_precision_trigger"
+    assert spark.range(1).select(verify.gate_reason(F.lit(1.0), 45.0)).first()[0] == "base_match_score_below_precision_trigger"
 
 
 FRAME_ROWS = "media_id long, decode_idx int, pts long, timestamp double"

@@ -78,16 +78,16 @@ def test_urls(spark):
     rows = [("", "", False), ("not a url", "not a url", False), ("file:///tmp/video.mp4", "file:///tmp/video.mp4", False), ("ftp://example.test/a", "ftp://example.test/a", False), ("[https://example.test/a\\_b](https://example.test/a\\_b?x=1\\&y=2)", "https://example.test/a_b?x=1&y=2", True), (" <https://example.test/x> ", "https://example.test/x", True), ("http://", "http://", False)]
     df = spark.createDataFrame(rows, "u string, clean string, ok boolean").withColumn("c", urls.clean(F.col("u")))
     assert all(r["c"] == r["clean"] and r["ok"] == r["got"] for r in df.withColumn("got", urls.is_public(F.col("c"))).collect())
-    names = spark.createDataFrame([("https://e.test/a/b.MP4?x=.y",), ("https://e.test/",), ("https://e.test/a.verylongextension",)], "u string").select(urls.file_name(F.col("u")).alias("n")).collect()
-    assert [n["n"][16:] for n in names] == [".mp4", ".media", ".media"]
+    names = spark.createDataFrame([("https://e.test/a/b.MP4?x=.y",), ("https://e.test/",), ("https://e.test/a.verylongextension",), ("https://e.test/a.part",)], "u string").select(urls.file_name(F.col("u")).alias("n")).collect()
+    assert [n["n"][:7] + n["n"][23:] for n in names] == ["direct-.mp4", "direct-.media", "direct-.media", "direct-.media"]
 
 
 def test_stored_media(spark):
-    files = spark.createDataFrame([("/c/x-abc.mp4", 10, 1), ("/c/x-abc.webm", 10, 2), ("/c/idx.mp4", 5, 1), ("/c/half.mp4.part", 5, 9), ("/c/empty.mp4", 0, 9)], "path string, length long, modified long")
-    requests = spark.createDataFrame([(1, "https://e/1", "abc"), (2, "https://e/2", "abc"), (3, "https://e/3", "zzz"), (4, "https://e/4", "abc")], "media_id long, url string, id string")
+    files = spark.createDataFrame([("/c/tube-ab-c.mp4", 10, 1), ("/c/tube-ab-c.webm", 10, 2), ("/c/other-ab-c.mkv", 10, 9), ("/c/idx.mp4", 5, 1), ("/c/half-zzz.mp4.part", 5, 9), ("/c/empty-zzz.mp4", 0, 9), ("/c/else-only.mp4", 1, 1), ("/c/x-two.mp4", 1, 1), ("/c/y-two.mp4", 1, 1)], "path string, length long, modified long")
+    requests = spark.createDataFrame([(1, "https://www.tube.test/watch?v=idx1"), (2, "https://www.tube.test/watch?v=ab-c"), (3, "https://tube.test/zzz"), (4, "https://tube.test/a/ab-c?id=none1"), (5, "https://tube.test/only"), (6, "https://tube.test/two")], "media_id long, url string")
     index = requests.where("media_id IN (1, 4)").select(urls.cache_key(F.col("url")).alias("key"), F.when(F.col("media_id") == 1, "/c/idx.mp4").otherwise("/c/../etc/x").alias("path"))
     got = {r["media_id"]: (r["path"], r["origin"]) for r in urls.stored_media(requests, index, files, "/c").collect()}
-    assert got == {1: ("/c/idx.mp4", "index"), 2: ("/c/x-abc.webm", "provider"), 3: (None, None), 4: ("/c/x-abc.webm", "provider")}
+    assert got == {1: ("/c/idx.mp4", "index"), 2: ("/c/tube-ab-c.webm", "provider"), 3: (None, None), 4: ("/c/tube-ab-c.webm", "provider"), 5: ("/c/else-only.mp4", "provider"), 6: (None, None)}
     kinds = spark.createDataFrame([("video/mp4", True), ("", True), (None, True), ("Audio/x; a=b", True), ("text/html", False), ("application/octet-stream", True)], "t string, ok boolean")
     assert all(r["ok"] == r["got"] for r in kinds.withColumn("got", urls.is_media_type(F.col("t"))).collect())
 
