@@ -7,14 +7,13 @@ that in a group of thousands of copies, whose common shingles are frequent, an e
 1. The document frequencies of all shingles come from the corpus-wide exchange of `shingles`.
 2. A shingle that one document alone has is shared with no other, so a document whose repeated shingles hold less than
    THRESHOLD of its weight has no neighbour; the others are sampled (ROWS * BANDS consistent weighted samples).
-3. Documents of equal weighted sets count as one; sets that agree in a band are tested against the band's smallest
-   document, those that fail against the smallest of the failed, and so on. The test is the exact weighted Jaccard
-   similarity. Since one minus it is a metric, a failed one can only be linked to a passed one within a narrow ring
-   around the tested document; such pairs, if still in different classes, are tested too. So no band bucket is ever
-   expanded into all pairs, and within a bucket no link is lost.
+3. Documents of equal weighted sets count as one. Sets that agree in a band are tested by exact weighted Jaccard
+   similarity, first against the centre of their bucket, then among those whose classes still differ (see `link`). Since
+   one minus the similarity is a metric, distances to the centre rule out pairs, as do the weights of shingles that no
+   other document has. So no bucket is expanded into all pairs, and within the buckets no link between classes is lost.
 4. Classes are the connected components of the links, by label propagation on tables.
 
-Bands find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 3) ** 14 > 0.9999.
+Bands find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 5) ** 25 > 0.9999.
 
 Defined results: null, empty and wordless texts are in classes of their own; rows of one id are one document, in one
 class; a class is named by its smallest id; rows without an id get no class (null).
@@ -33,9 +32,11 @@ from echoline.llm.base import bound_batches, map_rows, persist, spark_to_arrow
 from echoline.llm.shingles import LOWER, STEP, Texts, answers, as_table, chunked, deal, distinct_counts, look_up, mix, repeated, sizes
 
 WIDTH, THRESHOLD, DAMPING = 5, 0.8, 0.25
-ROWS, BANDS, SEED = 3, 14, 20240501
+ROWS, BANDS, SEED = 5, 25, 20240501
+#: Rounds of tests against the centre of a bucket, before single pairs are tested.
+STARS = 2
 DRAW_BITS = 16
-SKETCH = "id long, set_hash binary, total double, bands array<bigint>, keys binary, weights binary"
+SKETCH = "id long, set_hash binary, total double, common double, bands array<bigint>, keys binary, weights binary"
 
 
 def shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +133,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         for k, d in enumerate(owner[first].tolist()):
             part = slice(cut[k], cut[k + 1])
             several = df[part] > 1
-            rows.append((ids[d], marks[0][k].tobytes() + marks[1][k].tobytes(), float(whole[d]), bands[k].view(np.int64).tolist(), h[part][several].tobytes(), weight[part][several].astype("<f4").tobytes()))
+            rows.append((ids[d], marks[0][k].tobytes() + marks[1][k].tobytes(), float(whole[d]), float(common[d]), bands[k].view(np.int64).tolist(), h[part][several].tobytes(), weight[part][several].astype("<f4").tobytes()))
         return as_table(rows, fields)
 
     shared = repeated(chunks, codes, n_buckets)
@@ -174,54 +175,83 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), tests (key, leader, rep, similarity, step)): each bucket against its leader, round by round."""
+def link(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) with a > b: verified links whose components are those of all links between sets that share a band.
+
+    Stars first: a bucket's members are tested against its most central one, the set that meets most others over all
+    bands (in a group of edited copies that is the original), and those that fail and are still in another class against
+    the most central of them, STARS times. Then every pair of a bucket whose classes still differ is tested, but for
+    those that the distances to the bucket's centre rule out; each pair once, in the first band that it shares. After
+    the stars few sets are outside of a bucket's largest class, so a large group costs about one test for each member
+    and bucket, not one for each pair.
+    """
     spread = sets.select("rep", F.explode("bands").alias("key"))
-    several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    left = persist(spread.join(several, "key").select("key", "rep"), "near-buckets")
-    links, tested, done = None, None, None
-    step = 0
-    while True:
-        leaders = persist(left.groupBy("key").agg(F.min("rep").alias("leader")), "near-leaders")
-        members = persist(left.join(leaders, "key").where("rep <> leader").select("key", "leader", "rep"), "near-members")
-        pairs = members.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        found = persist(similarities(pairs, sets), "near-similarities")
+    several = persist(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-keys")
+    buckets = spread.join(several, "key")
+    central = persist(buckets.groupBy("rep").agg(F.sum("n").alias("meets")), "near-central")
+    buckets = persist(buckets.drop("n").join(central, "rep"), "near-buckets")
+    left, links, done, first = buckets, None, None, None
+    for step in range(STARS):
+        leaders = persist(left.groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("leader")), "near-leaders")
+        members = persist(left.join(leaders, "key").where("rep <> leader"), "near-members")
+        found, judged = tests(members.withColumnRenamed("leader", "other"), sets, done)
+        judged = persist(judged.withColumnRenamed("other", "leader"), "near-judged")
         done = found if done is None else done.unionByName(found)
-        judged = persist(members.join(done, (members["rep"] == done["a"]) & (members["leader"] == done["b"])).select("key", "leader", "rep", "similarity"), "near-judged").withColumn("step", F.lit(step))
         good = found.where(F.col("similarity") >= threshold).select("a", "b")
         links = good if links is None else links.unionByName(good)
-        tested = judged if tested is None else tested.unionByName(judged)
-        left = judged.where(F.col("similarity") < threshold).select("key", "rep")
-        step += 1
+        first = judged if first is None else first
+        labels = components(links)
+        left = judged.where(F.col("similarity") < threshold)
+        left = labelled(labelled(left, labels, "rep"), labels, "leader").where("rep_label <> leader_label").select("key", "rep", "meets")
         if left.isEmpty():
             break
-    return links, tested
+    pairs = open_pairs(buckets, first, labels, sets, threshold)
+    more, _ = tests(pairs, sets, done)
+    return links.unionByName(more.where(F.col("similarity") >= threshold).select("a", "b"))
+
+
+def tests(members: DataFrame, sets: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(new similarities (a, b, similarity), members (rep, other, ...) with `similarity`); pairs in done aren't tested again."""
+    pair = (F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))
+    pairs = members.select(*pair).distinct()
+    found = persist(similarities(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), sets), "near-similarities")
+    known = found if done is None else done.unionByName(found)
+    return found, members.select("*", *pair).join(known, ["a", "b"]).drop("a", "b")
 
 
-def ring_pairs(tested: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of a bucket, one passed and one failed against the same leader, that may be linked and whose
-    classes still differ."""
+def labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """rows with the class of `column` in `<column>_label`; a set without a link is a class of its own."""
+    found = labels.select(F.col("node").alias(column), F.col("label").alias(f"{column}_label"))
+    return rows.join(found, column, "left").withColumn(f"{column}_label", F.coalesce(f"{column}_label", column))
+
+
+def open_pairs(buckets: DataFrame, judged: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(rep, other): the pairs of a bucket that are in different classes and may be linked.
+
+    Two bounds rule pairs out before they are made, without losing a link. judged has the similarities to each bucket's
+    centre: sets whose distances to it differ by more than the largest distance of a link aren't linked. And two sets share
+    at most the smaller weight of their repeated shingles; a link must share threshold / (1 + threshold) of both weights.
+    """
     far = 1 - threshold
-    named = tested.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("rep_label")), "rep", "left").join(labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label")), "leader", "left")
-    named = named.withColumn("rep_label", F.coalesce("rep_label", "rep")).withColumn("leader_label", F.coalesce("leader_label", "leader"))
-    failed = named.where((F.col("similarity") < threshold) & (F.col("similarity") >= 1 - 2 * far) & (F.col("rep_label") != F.col("leader_label"))).select("key", "step", F.col("rep").alias("j"), F.col("similarity").alias("sj"))
-    passed = named.where(F.col("similarity") >= threshold).select("key", "step", F.col("rep").alias("i"), F.col("similarity").alias("si"))
-    pairs = failed.join(passed, ["key", "step"]).where(F.col("si") - F.col("sj") <= far + 1e-9)
-    return pairs.select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct()
+    near = judged.select("key", "rep", F.col("similarity").alias("s"))
+    rows = labelled(buckets.select("key", "rep").join(near, ["key", "rep"], "left").withColumn("s", F.coalesce("s", F.lit(1.0))), labels, "rep").withColumnRenamed("rep_label", "label")
+    rows = persist(rows, "near-open")
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = persist(counts.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("classes > 1").select("key", "largest"), "near-mixed")
+    rows = persist(rows.join(mixed, "key").join(sets.select("rep", "bands", "total", "common"), "rep"), "near-open")
+    outside = rows.where("label <> largest").select("key", F.col("rep").alias("other"), F.col("label").alias("other_label"), F.col("s").alias("other_s"), *[F.col(c).alias(f"other_{c}") for c in ("bands", "total", "common")])
+    once = (F.col("label") == F.col("largest")) | (F.col("rep") > F.col("other"))
+    near_centre = F.abs(F.col("s") - F.col("other_s")) <= far + 1e-6
+    enough = F.least("common", "other_common") * (1 + threshold) >= threshold * (F.col("total") + F.col("other_total")) * (1 - 1e-6)
+    joined = rows.alias("r").join(outside.alias("o"), (F.col("r.key") == F.col("o.key")) & (F.col("label") != F.col("other_label")) & near_centre & enough & once & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("r.key")))
+    return persist(joined.select("rep", "other"), "near-open-pairs")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id) of the documents that share a class with another one or could have; others are classes of their own."""
     sketch = persist(sketches(docs, id_col, text_col, threshold), "near-sketches")
-    sets = persist(sketch.groupBy("set_hash").agg(F.min("id").alias("rep"), *[F.min_by(c, "id").alias(c) for c in ("total", "bands", "keys", "weights")]), "near-sets")
-    links, tested = link(sets, threshold)
-    links = persist(links, "near-links")
-    labels = components(links)
-    more = persist(similarities(ring_pairs(tested, labels, threshold), sets), "near-ring").where(F.col("similarity") >= threshold).select("a", "b")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    sets = persist(sketch.groupBy("set_hash").agg(F.min("id").alias("rep"), *[F.min_by(c, "id").alias(c) for c in ("total", "common", "bands", "keys", "weights")]), "near-sets")
+    labels = components(persist(link(sets, threshold), "near-links"))
     named = sets.select("set_hash", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("label", "rep").alias("class_id"))
     return sketch.select("id", "set_hash").join(named, "set_hash").groupBy("id").agg(F.min("class_id").alias("class_id"))
 

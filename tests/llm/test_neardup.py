@@ -103,7 +103,7 @@ def test_bucket_of_several_classes(spark, prose, monkeypatch, stars):
         base = edited(base, 0.02, rng, prose)
         rows.append((500 + k, base))
     sketch = neardup.persist(neardup.sketches(make_docs(spark, rows), threshold=0.0), "t")
-    sets = neardup.persist(sketch.groupBy("set_hash").agg(F.min("id").alias("rep"), *[F.min_by(c, "id").alias(c) for c in ("total", "keys", "weights")]).withColumn("bands", F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))), "t")
+    sets = neardup.persist(sketch.groupBy("set_hash").agg(F.min("id").alias("rep"), *[F.min_by(c, "id").alias(c) for c in ("total", "common", "keys", "weights")]).withColumn("bands", F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))), "t")
     found = {r["node"]: r["label"] for r in neardup.components(neardup.link(sets)).collect()}
     every = brute(rows)
     assert found == {d: c for d, c in every.items() if sum(c == x for x in every.values()) > 1}
