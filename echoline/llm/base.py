@@ -26,13 +26,23 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+_own: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set (tests)."""
-    found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
+    """This application's folder below the one that the driver and all executors share; a local one only where none is
+    set (tests)."""
+    context = spark.sparkContext
+    found = spark.conf.get(CHECKPOINT, None) or context.getConf().get(CHECKPOINT)
     if not found:
-        found = tempfile.mkdtemp(prefix="echoline-")
-        spark.conf.set(CHECKPOINT, found)
-    return f"{found.rstrip('/')}/echoline"
+        found = _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="echoline-"))
+    return f"{found.rstrip('/')}/echoline-{context.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still depend on them can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def persist(df: DataFrame, label: str) -> DataFrame:

@@ -10,9 +10,12 @@ one slot; an empty table gives an empty result (and a map whose slots hold nothi
 
 from __future__ import annotations
 
+import contextlib
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,9 +100,23 @@ class SlotMap:
         self.versions.append(out)
         return self
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(v, slot, shard) for v, version in enumerate(self.versions, 1) for slot, shard in enumerate(version)]
-        return spark.createDataFrame(rows, "version int, vslot int, shard int")
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the versions that the table at path doesn't have yet; earlier ones are never changed."""
+        done = 0
+        with contextlib.suppress(AnalysisException):  # no table yet
+            done = spark.read.parquet(path).agg(F.max("version")).first()[0] or 0
+        rows = [(v, slot, shard) for v, version in enumerate(self.versions, 1) if v > done for slot, shard in enumerate(version)]
+        if rows:
+            spark.createDataFrame(rows, "version int, vslot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SlotMap:
+        """All versions of a stored map, a fixed number of rows each."""
+        rows = spark.read.parquet(path).orderBy("version", "vslot").collect()
+        versions: dict[int, list[int]] = {}
+        for r in rows:
+            versions.setdefault(r["version"], []).append(r["shard"])
+        return cls(max((r["shard"] for r in rows), default=-1) + 1, list(versions.values()))
 
 
 def slot_of(id_column, slots: int = VIRTUAL_SLOTS):
@@ -122,17 +139,25 @@ def slot_totals(records: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[list[in
     return size, rows
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """Each record's shard under the law of near-equal bytes, and its place in the shard, gapless from 0.
 
+    The map is stored at map_path (by default in the shared work folder). A map found there is rebalanced for these
+    records, so that few of them change their shard.
+
     Places are counted per virtual slot and shifted by the rows of the shard's earlier slots, so no task ever holds
     a whole shard.
     """
     spark = docs.sparkSession
     records = persist(sized(docs, id_col, text_col, slots), "shard-records")
     size, rows = slot_totals(records, slots)
-    slot_map = SlotMap(shards).pack(size).rebalance(size)
-    slot_map.table(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(f"{work_dir(spark)}/slot-map-{spark.sparkContext.applicationId}")
+    slot_map = None
+    if map_path:
+        with contextlib.suppress(AnalysisException):  # no map yet
+            slot_map = SlotMap.load(spark, map_path)
+    slot_map = (slot_map or SlotMap(shards).pack(size)).rebalance(size)
+    slot_map.save(spark, map_path or f"{work_dir(spark)}/slot-map-{uuid.uuid4().hex}")
+    shards = slot_map.shards
     begun, offsets = [0] * shards, []
     for slot, where in enumerate(slot_map.current):
         offsets.append((slot, where, begun[where]))

@@ -7,7 +7,6 @@ from conftest_llm import make_docs
 from pyspark.sql import functions as F
 
 from echoline.llm import sharding
-from echoline.llm.base import work_dir
 
 
 def test_places_and_sizes(spark, awkward):
@@ -31,11 +30,16 @@ def test_near_equal_bytes(spark):
     assert max(loads) - min(loads) <= 0.01 * sum(loads) / 40
 
 
-def test_map_is_versioned(spark):
-    docs = make_docs(spark, [(k, "t" * k) for k in range(50)])
-    sharding.shard(docs, shards=3)
-    table = spark.read.parquet(f"{work_dir(spark)}/slot-map-{spark.sparkContext.applicationId}")
-    assert {r["version"] for r in table.select("version").distinct().collect()} == {1, 2}
+def test_map_is_versioned(spark, tmp_path):
+    docs, path = make_docs(spark, [(k, "t" * k) for k in range(50)]), str(tmp_path / "map")
+    first = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=3, map_path=path).collect()}
+    assert len(sharding.SlotMap.load(spark, path).versions) == 2
+    grown = docs.unionByName(make_docs(spark, [(k, "t" * 40) for k in range(50, 60)]))
+    second = {r["doc_id"]: r["shard"] for r in sharding.shard(grown, map_path=path).collect()}
+    stored = sharding.SlotMap.load(spark, path)
+    assert (stored.shards, len(stored.versions)) == (3, 3)
+    assert sum(first[d] != second[d] for d in first) < 20
+    assert set(second.values()) == {0, 1, 2}
 
 
 def test_edits_move_few_slots():
