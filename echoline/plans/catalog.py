@@ -109,6 +109,22 @@ def indel_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(indel_ratio("n", "m"), 6).alias("score"), F.round(partial_indel_ratio(F.substring("n", 1, 60), F.substring("m", 1, 60)), 6).alias("partial_score"))
 
 
+@query("""
+WITH RECURSIVE p AS (SELECT x.p_partkey, lower(x.p_name) AS a, lower(y.p_name) AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1),
+r AS (
+  SELECT p_partkey, a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda k: CAST(0 AS BIGINT)) AS lcs FROM p
+  UNION ALL
+  SELECT p_partkey, a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: CASE WHEN k = 0 THEN CAST(0 AS BIGINT) ELSE greatest(lcs[k + 1], lcs[k] + CAST(substr(a, i + 1, 1) = substr(b, k, 1) AS BIGINT)) END)))
+  FROM r WHERE i < length(a)
+)
+SELECT p_partkey, round(CAST(200.0 * lcs[length(b) + 1] / (length(a) + length(b)) AS DOUBLE), 6) AS score FROM r WHERE i = length(a)""")
+def indel_ratio_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name against the next part's."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("a"))
+    after = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    return parts.join(after, "p_partkey").select("p_partkey", F.round(indel_ratio("a", "b"), 6).alias("score"))
+
+
 def perturbed(df: DataFrame) -> DataFrame:
     """Targets with every ninth word left out: heard, but not word for word."""
     words = F.split("text", r"\s+")
@@ -156,6 +172,18 @@ def cue_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.ranked(found, "query_id", "media_id").select("query_id", "media_id", "rank", "start", "end", "match_type", F.round("score", 6).alias("score"))
 
 
+@query(rf"""
+WITH n AS (SELECT conv_id, turn, {SQL_NORM.format('text')} AS t FROM conversations),
+     q AS (SELECT conv_id AS query_id, {SQL_NORM.format("array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ')")} AS q FROM conversations WHERE turn = 1),
+     w AS (SELECT a.conv_id, a.turn AS s, b.turn AS e, string_agg(c.t, ' ' ORDER BY c.turn) FILTER (c.t <> '') AS t FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn >= a.turn JOIN n c ON c.conv_id = a.conv_id AND c.turn BETWEEN a.turn AND b.turn GROUP BY a.conv_id, a.turn, b.turn),
+     m AS (SELECT query_id, conv_id, s, e, t, q, coalesce(bool_or(e - s >= 3 AND length(t) >= length(q)) OVER (PARTITION BY query_id, conv_id, s ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM w, q WHERE t IS NOT NULL AND q <> '')
+SELECT query_id, conv_id AS media_id, CAST(s * 4.0 AS DOUBLE) AS start, CAST(e * 4.0 + 4.0 AS DOUBLE) AS "end", CASE WHEN t = q THEN 'exact' ELSE 'substring' END AS match_type FROM m WHERE NOT over AND contains(t, q)""")
+def caption_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cue windows that hold a line word for word (or letter for letter), before ranking."""
+    found = captions.candidates(captions.cue_lists(cue_table(spark, sf_dir)), spoken_targets(spark, sf_dir))
+    return found.where("match_type <> 'fuzzy'").select("query_id", "media_id", "start", "end", "match_type")
+
+
 @query("""
 WITH c AS (SELECT conv_id AS media_id, turn AS seq, CAST((turn // 2) * 4.0 AS DOUBLE) AS start, CAST((turn // 2) * 4.0 + 4.0 AS DOUBLE) AS "end", CASE length(text) % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'substring' ELSE 'fuzzy' END AS match_type, CAST(85 + length(text) % 16 AS DOUBLE) AS score FROM conversations),
      p AS (SELECT *, CASE match_type WHEN 'exact' THEN 0 WHEN 'substring' THEN 1 ELSE 2 END AS prio FROM c),

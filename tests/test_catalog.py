@@ -10,7 +10,7 @@ from echoline.operators import occurrences as occ
 from echoline.plans import catalog
 
 SF = Path("/root/testdata/sf0.001")
-TABLES = "lineitem events documents pages benchmark conversations".split()
+TABLES = "lineitem events documents pages part benchmark conversations".split()
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
