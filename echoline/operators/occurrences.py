@@ -124,6 +124,12 @@ def in_chunks(targets: DataFrame, make: Callable[[list[tuple[int, str]]], DataFr
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes from fewer files than there are cores; a large table is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if len(df.inputFiles()) < cores else df
+
+
 def arrow_fields(df: DataFrame, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -155,7 +161,7 @@ def occurrences(media: DataFrame, targets: DataFrame, threshold: float = 85.0) -
                 if rows:
                     yield record_batch(rows, fields)
 
-        return media.select("media_id", "words").mapInArrow(run, OCCURRENCES)
+        return spread(media.select("media_id", "words")).mapInArrow(run, OCCURRENCES)
 
     return in_chunks(targets, make)
 

@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 SQL_NORM = r"array_to_string(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+'), ' ')"
+SQL_FIRST_WORDS = SQL_NORM.format(r"array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ')")
 SQL_SECONDS = "((epoch_us(ts) - 1704067200000000) / 1000000.0)"
 
 
@@ -174,7 +175,7 @@ def cue_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 WITH n AS (SELECT conv_id, turn, {SQL_NORM.format('text')} AS t FROM conversations),
-     q AS (SELECT conv_id AS query_id, {SQL_NORM.format("array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ')")} AS q FROM conversations WHERE turn = 1),
+     q AS (SELECT conv_id AS query_id, {SQL_FIRST_WORDS} AS q FROM conversations WHERE turn = 1),
      w AS (SELECT a.conv_id, a.turn AS s, b.turn AS e, string_agg(c.t, ' ' ORDER BY c.turn) FILTER (c.t <> '') AS t FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn >= a.turn JOIN n c ON c.conv_id = a.conv_id AND c.turn BETWEEN a.turn AND b.turn GROUP BY a.conv_id, a.turn, b.turn),
      m AS (SELECT query_id, conv_id, s, e, t, q, coalesce(bool_or(e - s >= 3 AND length(t) >= length(q)) OVER (PARTITION BY query_id, conv_id, s ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM w, q WHERE t IS NOT NULL AND q <> '')
 SELECT query_id, conv_id AS media_id, CAST(s * 4.0 AS DOUBLE) AS start, CAST(e * 4.0 + 4.0 AS DOUBLE) AS "end", CASE WHEN t = q THEN 'exact' ELSE 'substring' END AS match_type FROM m WHERE NOT over AND contains(t, q)""")
