@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Shorter strings of more characters are compared with all windows of the longer one at once.
+COMBED = 32
+
+
 def masks(text: str) -> dict[str, int]:
     """Character -> bits of the places where it stands."""
     out: dict[str, int] = {}
@@ -56,6 +60,34 @@ def compact_ratio(a: str, b: str) -> float:
     return max(ratio(a, b), ratio(a.replace(" ", ""), b.replace(" ", "")))
 
 
+def _combed_ratio(short: str, long: str) -> float:
+    """partial_ratio one way round, all windows at once: semi-local LCS by combing seaweeds, an anti-diagonal at a time.
+
+    A seaweed enters at the left of each row or the top of each column; two that meet cross once at most, and not at equal
+    characters. LCS(short, long[i:j]) is j - i less the seaweeds that enter and leave within columns i to j.
+    """
+    m, n = len(short), len(long)
+    rows = np.array([ord(c) for c in reversed(short)], np.int32)
+    columns = np.array([ord(c) for c in long], np.int32)
+    h, v = np.arange(m, dtype=np.int32), np.arange(m, m + n, dtype=np.int32)
+    for d in range(m + n - 1):
+        first, last = max(0, d - n + 1), min(d, m - 1)
+        left, top = slice(m - 1 - last, m - first), slice(d - last, d - first + 1)
+        a, b = h[left], v[top]
+        turn = (rows[left] == columns[top]) | (a > b)
+        h[left], v[top] = np.where(turn, b, a), np.where(turn, a, b)
+    entry = v - m  # the column in which the seaweed that leaves below column j entered; negative for rows
+    inside = np.flatnonzero(entry >= 0)
+    lost = np.zeros(n + 1, np.int64)  # by window start: seaweeds within the m columns from there
+    begin, end = np.maximum(inside - m + 1, 0), entry[inside] + 1
+    np.add.at(lost, begin[begin < end], 1)
+    np.add.at(lost, end[begin < end], -1)
+    size = np.minimum(m, n - np.arange(n))
+    best = (200.0 * (size - np.cumsum(lost)[:n]) / (m + size)).max()
+    k = np.arange(1, min(m, n) + 1)
+    return float(max(best, (200.0 * (k - np.cumsum(entry[: len(k)] >= 0)) / (m + k)).max()))
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter string with a window of the longer one, of its length or cut at either end; both ways
     round for equal lengths."""
@@ -64,6 +96,8 @@ def partial_ratio(a: str, b: str) -> float:
 
     def one_way(short: str, long: str) -> float:
         n, of = len(short), masks(short)
+        if n > COMBED:
+            return _combed_ratio(short, long)
         best = 0.0
         for start in range(len(long)):
             window = long[start : start + n]

@@ -74,3 +74,35 @@ def test_bounds_are_safe(spark):
 def test_conflicts(spark):
     df = spark.createDataFrame([("my mind", "so my mind rebels", False), ("", "x", True), ("abcdef", "uvwxyz", True), (None, "x", True)], "a string, b string, wanted boolean")
     assert all(r["got"] == r["wanted"] for r in df.withColumn("got", sim.evidence_conflicts(F.col("a"), F.col("b"))).collect())
+
+
+def plain_partial(a, b):
+    """Every window of the longer string, cut at either end; both ways round for equal lengths."""
+    if len(a) > len(b):
+        a, b = b, a
+    ways = [(a, b), (b, a)] if len(a) == len(b) else [(a, b)]
+    return max(200.0 * plain_lcs(x, w) / (len(x) + len(w)) for x, y in ways for w in [y[max(0, k) : k + len(x)] for k in range(1 - len(x), len(y))])
+
+
+def test_combed_partial_ratio_against_every_window():
+    rng = random.Random(5)
+    for n, m in [(33, 33), (33, 34), (40, 90), (60, 70), (70, 70), (50, 200)]:
+        for letters in ("ab", "abcdefgh ", "é漢😀x"):
+            a, b = ("".join(rng.choice(letters) for _ in range(k)) for k in (n, m))
+            assert sim.partial_ratio(a, b) == pytest.approx(plain_partial(a, b), abs=1e-9)
+            assert sim.partial_ratio(b, a) == pytest.approx(plain_partial(a, b), abs=1e-9)
+    assert sim.partial_ratio("q" * 40, "x" * 90) == 0.0
+
+
+def test_pairs_are_compared_beyond_their_first_characters(spark, tmp_path):
+    from echoline.plans import catalog
+
+    rng = random.Random(6)
+    prose = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    line = prose(80, "abcdef ").strip()
+    texts = [(1, 0, f"{prose(100, 'xyz')} {line}"), (1, 1, line), (2, 0, prose(90, "ghijk")), (2, 1, f"{prose(120, 'lmnop')} {prose(90, 'ghijk')}")]
+    spark.createDataFrame(texts, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r["partial_score"] for r in catalog.queries()["indel_ratio_pairs"](spark, str(tmp_path)).collect()}
+    norm = {(c, t): catalog.text.normalize(x) for c, t, x in texts}
+    assert got == {c: round(plain_partial(norm[c, 0], norm[c, 1]), 6) for c in (1, 2)}
+    assert got[1] == 100.0
