@@ -24,6 +24,7 @@ ORACLE: dict[str, str] = {}
 
 SQL_NORM = r"array_to_string(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+'), ' ')"
 SQL_FIRST_WORDS = SQL_NORM.format(r"array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ')")
+TURNS = 1 << 32  # more than any conversation has
 SQL_SECONDS = "((epoch_us(ts) - 1704067200000000) / 1000000.0)"
 
 
@@ -142,11 +143,11 @@ def fuzzy_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In each conversation the best window for the first words of its first turn, among the later turns."""
+    """In each conversation the best window for its whole first turn, among the later turns."""
     rows = table(spark, sf_dir, "conversations")
     whole = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
     later = F.array_join(F.transform(F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(0))), lambda t: t["text"]), " ")
-    talk = whole.select("conv_id", F.array_join(F.slice(F.split("first", r"\s+"), 1, 8), " ").alias("target"), later.alias("text"))
+    talk = whole.select("conv_id", F.col("first").alias("target"), later.alias("text"))
     media = occurrences.spoken(talk, "conv_id", "text").join(talk.select(F.col("conv_id").alias("media_id"), F.col("conv_id").alias("query_id"), "target"), "media_id")
     return occurrences.best_windows(media).withColumn("score", F.round("score", 6)).withColumn("start", F.round("start", 3)).withColumn("end", F.round("end", 3))
 
@@ -161,14 +162,20 @@ def number_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spoken_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence of each conversation's second turn."""
+    """The whole text of every turn; query_id is the conversation's number times TURNS plus the turn's."""
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select((F.col("conv_id") * TURNS + F.col("turn")).cast("long").alias("query_id"), "text")
+
+
+def opening_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve words of each conversation's second turn, as the SQL of caption_phrases has them."""
     rows = table(spark, sf_dir, "conversations").where("turn = 1")
     return rows.select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"))
 
 
 @query()
 def cue_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Caption candidates of the conversations' own lines on all conversations."""
+    """Caption candidates of the whole lines of all conversations on all conversations."""
     found = captions.candidates(captions.cue_lists(cue_table(spark, sf_dir)), spoken_targets(spark, sf_dir))
     return captions.ranked(found, "query_id", "media_id").select("query_id", "media_id", "rank", "start", "end", "match_type", F.round("score", 6).alias("score"))
 
@@ -180,8 +187,8 @@ WITH n AS (SELECT conv_id, turn, {SQL_NORM.format('text')} AS t FROM conversatio
      m AS (SELECT query_id, conv_id, s, e, t, q, coalesce(bool_or(e - s >= 3 AND length(t) >= length(q)) OVER (PARTITION BY query_id, conv_id, s ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM w, q WHERE t IS NOT NULL AND q <> '')
 SELECT query_id, conv_id AS media_id, CAST(s * 4.0 AS DOUBLE) AS start, CAST(e * 4.0 + 4.0 AS DOUBLE) AS "end", CASE WHEN t = q THEN 'exact' ELSE 'substring' END AS match_type FROM m WHERE NOT over AND contains(t, q)""")
 def caption_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cue windows that hold a line word for word (or letter for letter), before ranking."""
-    found = captions.candidates(captions.cue_lists(cue_table(spark, sf_dir)), spoken_targets(spark, sf_dir))
+    """The cue windows that hold the first words of a line word for word (or letter for letter), before ranking."""
+    found = captions.candidates(captions.cue_lists(cue_table(spark, sf_dir)), opening_targets(spark, sf_dir))
     return found.where("match_type <> 'fuzzy'").select("query_id", "media_id", "start", "end", "match_type")
 
 
@@ -402,7 +409,7 @@ def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def caption_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """End to end: the conversations' lines searched in captions, verified by the words around, then in all speech."""
+    """End to end: all whole lines of the conversations searched in captions, verified by the words around, then in all speech."""
     cues = cue_table(spark, sf_dir)
     parts = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     spread = cues.select("media_id", "start", F.posexplode(parts).alias("k", "text"), F.size(parts).alias("n"), F.col("cue_idx"))

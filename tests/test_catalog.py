@@ -73,3 +73,58 @@ def test_plans_read_only_what_they_need(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
     assert "n_chars" not in plan
     assert "props" not in plan
+
+
+@pytest.fixture(scope="module")
+def talk(spark, tmp_path_factory):
+    """Three conversations of four turns; in the second, a line of the first returns with two words changed, over two turns."""
+    import random
+
+    rng = random.Random(8)
+    line = lambda n: [("".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(3, 8)))) for _ in range(n)]
+    turns = {(c, t): line(rng.randint(16, 24)) for c in range(3) for t in range(4)}
+    same = [*turns[0, 0][:5], "otherwise", *turns[0, 0][6:13], "changed", *turns[0, 0][14:]]
+    turns[1, 2], turns[1, 3] = same[:9], same[9:]
+    turns[2, 3] = [*line(8), *turns[2, 0][8:]]
+    path = tmp_path_factory.mktemp("talk")
+    rows = [(c, t, " ".join(w).capitalize() + ".") for (c, t), w in turns.items()]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path), {(c, t): " ".join(w) for (c, t), w in turns.items()}
+
+
+def test_cue_windows_of_every_whole_turn_against_brute_force(spark, talk):
+    from echoline.functions.similarity import ratio
+
+    path, lines = talk
+    wanted = set()
+    for (c, t), target in lines.items():
+        for medium in range(3):
+            for first in range(4):
+                for last in range(first, 4):
+                    text = " ".join(lines[medium, k] for k in range(first, last + 1))
+                    kind = "exact" if text == target else "substring" if target in text else "fuzzy" if ratio(text, target) >= 85 else None
+                    if kind:
+                        wanted.add((c * catalog.TURNS + t, medium, first * 4.0, last * 4.0 + 4.0, kind))
+    got = {(r["query_id"], r["media_id"], r["start"], r["end"], r["match_type"]) for r in catalog.queries()["cue_windows"](spark, path).collect()}
+    assert got == wanted
+    assert (0, 1, 8.0, 16.0, "fuzzy") in got
+
+
+def test_caption_search_asks_for_every_whole_turn(spark, talk):
+    path, lines = talk
+    got = {(r["query_id"], r["media_id"]): r for r in catalog.queries()["caption_search"](spark, path).collect()}
+    for (c, t), line in lines.items():
+        r = got[c * catalog.TURNS + t, c]
+        assert (r["match_type"], r["score"], r["matched_text"].rstrip(".").lower()) == ("exact", 100.0, line)
+    assert got[0, 1]["match_type"] == "fuzzy"
+
+
+def test_best_window_is_asked_for_the_whole_first_turn(spark, talk):
+    path, lines = talk
+    got = {r["query_id"]: r for r in catalog.queries()["best_window"](spark, path).collect()}
+    for c in range(3):
+        tokens = occ.transcript_tokens(" ".join(lines[c, t] for t in range(1, 4)).split())
+        start, length, score = occ.best_window(tokens, lines[c, 0].split())
+        assert got[c]["score"] == round(score, 6)
+        assert len(got[c]["matched_text"].split()) == length
+    assert got[2]["matched_text"].rstrip(".").endswith(lines[2, 0].split(" ", 8)[8])
