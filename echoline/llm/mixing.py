@@ -24,6 +24,8 @@ DOMAINS = {"high_quality": "quality = 1 AND toxic = 0", "low_quality": "quality
 TARGETS = {"high_quality": 0.9, "low_quality": 0.1, "toxic": 0.0}
 BINS, SMOOTHING, RIDGE, ITERATIONS, TOLERANCE = 8, 0.5, 0.02, 60, 1e-5
 SYMBOLS, BREAKS = "%&*$#!|", ".,;:?\n\t\r\x0b\x0c"
+#: Further characters that end a term; words, whose number is the tokens, run on over them.
+MARKS = SYMBOLS + "\"'`()[]{}<>/\\-_=+~^@0123456789\u00a0\u00a1\u00a8\u00ab\u00b4\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2022\u2026\u2039\u203a\u3001\u3002\uff01\uff0c\uff1f"
 INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting"
 
 
@@ -31,14 +33,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFr
     """id, tokens and the bins b0.. of the text's measures; with carry the row of docs under `row`.
 
     Words are lower-cased and separated by white space and common punctuation, all of which become single characters,
-    so that splitting needs no regular expression.
+    so that splitting needs no regular expression. Insults are counted as often as they stand, in terms, which end at
+    symbols, quotes, brackets, hyphens and digits too.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(*([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), docs[id_col].cast("long").alias("id"), text.alias("t"))
     keep = ["row"] * carry
     rows = rows.select(*keep, "id", F.length("t").alias("chars"), F.length(F.translate("t", SYMBOLS, "")).alias("plain"), F.array_remove(F.split(F.translate(F.lower("t"), BREAKS, " " * len(BREAKS)), " "), "").alias("words"))
-    insults = F.array(*map(F.lit, INSULTS.split()))
-    rows = rows.select(*keep, "id", "chars", "plain", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), F.size(F.array_intersect(insults, F.col("words"))).alias("insults"))
+    rows = rows.select(*keep, "id", "chars", "plain", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), F.size(F.filter(terms(F.col("words")), lambda w: w.isin(INSULTS.split()))).alias("insults"))
     n, chars = F.greatest("tokens", F.lit(1)), F.greatest("chars", F.lit(1))
     bins = [
         F.least(F.floor(F.log2(n) / 2), F.lit(BINS - 1)),
@@ -50,6 +52,11 @@ def measured(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFr
     return rows.select(*keep, "id", "tokens", *[b.cast("int").alias(f"b{k}") for k, b in enumerate(bins)])
 
 
+def terms(words: Column) -> Column:
+    """The words' parts between MARKS."""
+    return F.array_remove(F.split(F.translate(F.array_join(words, " "), MARKS, " " * len(MARKS)), " "), "")
+
+
 MEASURES = 5
 
 

@@ -89,3 +89,9 @@ def test_plan_is_native(spark, capsys):
     plan = capsys.readouterr().out
     assert "Python" not in plan
     assert "Arrow" not in plan
+
+
+def test_marks_do_not_hide_terms(spark):
+    texts = ["plain words", "you idiot", "you idiot!!", "you idiot###", 'you "idiot"', "you (idiot)", "an idiot-like one", "*idiot* idiot_ idiot's", "idiot! idiot, idiot"]
+    got = {r["id"]: r["b4"] for r in mixing.measured(make_docs(spark, list(enumerate(texts))), "doc_id", "text", False).collect()}
+    assert [got[k] for k in range(len(texts))] == [0, 1, 1, 1, 1, 1, 1, 3, 3]
