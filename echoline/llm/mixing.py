@@ -1,7 +1,8 @@
 """Soft-membership mixing of sources to target weights, with DataFrame expressions only.
 
 A classifier trained on the label table (naive Bayes over binned text measures, counted by one join) gives each document
-a posterior over domains. Nonnegative document rates are fitted by projected-gradient least squares so that the expected
+a posterior over domains. Two of the measures are sums of term weights: log-odds of toxic against clean and of high against
+low quality documents, learned from the labelled texts; the TERMS of highest evidence are kept. Nonnegative document rates are fitted by projected-gradient least squares so that the expected
 tokens of each domain, the sum of rate * tokens * posterior, match the targets; a small pull towards rate one spreads the
 change over all documents. Documents of equal measures have equal posteriors and so equal rates; the gradient is summed
 over the distinct combinations of measures, a table of a bounded number of rows, and only the residuals of the few
@@ -26,38 +27,104 @@ BINS, SMOOTHING, RIDGE, ITERATIONS, TOLERANCE = 8, 0.5, 0.02, 60, 1e-5
 SYMBOLS, BREAKS = "%&*$#!|", ".,;:?\n\t\r\x0b\x0c"
 #: Further characters that end a term; words, whose number is the tokens, run on over them.
 MARKS = SYMBOLS + "\"'`()[]{}<>/\\-_=+~^@0123456789\u00a0\u00a1\u00a8\u00ab\u00b4\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2022\u2026\u2039\u203a\u3001\u3002\uff01\uff0c\uff1f"
-INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting"
+#: Terms kept, the least evidence (G squared, so that chance agreement of rare terms teaches nothing), hash slots, and
+#: the edges of the bins of summed weights.
+TERMS, EVIDENCE, SLOTS, EDGES = 2048, 15.0, 1 << 16, (-8.0, -3.0, -0.5, 0.5, 3.0, 8.0, 20.0)
+CONTRASTS = (((2,), (0, 1)), ((0,), (1,)))  # toxic against clean, high against low quality: numbers of DOMAINS
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.translate(F.lower(text), BREAKS, " " * len(BREAKS)), " "), "")
+
+
+def terms_of(text: Column) -> Column:
+    """Words, which end at MARKS too."""
+    return F.array_remove(F.split(F.translate(F.lower(text), BREAKS + MARKS, " " * len(BREAKS + MARKS)), " "), "")
+
+
+def slot(term: Column) -> Column:
+    return F.pmod(F.hash(term), F.lit(SLOTS))
+
+
+@dataclass
+class Lexicon:
+    """term -> (slot, weight in each of CONTRASTS); of terms that share a slot the one of higher evidence."""
+
+    weights: dict[str, tuple[int, list[float]]]
+
+    def hits(self, terms: Column) -> Column:
+        """array<int>: the slots of the known terms, as often as they stand."""
+        table = [""] * SLOTS
+        for term, (k, _) in self.weights.items():
+            table[k] = term
+        known = F.split(F.lit("|".join(table)), r"\|", -1)
+        return F.transform(F.filter(terms, lambda w: F.get(known, slot(w)) == w), slot)
+
+    def score(self, hits: Column, contrast: int) -> Column:
+        table = ["0"] * SLOTS
+        for k, w in self.weights.values():
+            table[k] = f"{w[contrast]:g}"
+        weights = F.split(F.lit(" ".join(table)), " ").cast("array<double>")
+        return F.aggregate(hits, F.lit(0.0), lambda total, k: total + F.get(weights, k))
+
+
+def labelled(labels: DataFrame, label_id: str = "doc_id") -> DataFrame:
+    """(id, domain) of each usable label."""
+    domain = F.coalesce(*[F.when(F.expr(condition), F.lit(k)) for k, condition in enumerate(DOMAINS.values())])
+    return labels.select(F.col(label_id).cast("long").alias("id"), domain.alias("domain")).where("domain IS NOT NULL AND id IS NOT NULL")
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+    """Term weights from the documents of each domain that hold the term, over all labelled documents."""
+    known = labelled(labels)
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(known, "id")
+    each = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = texts.select("domain", F.explode(F.array_distinct(terms_of(F.coalesce("text", F.lit(""))))).alias("term"))
+    counts = counts.groupBy("term").agg(*[F.count(F.when(F.col("domain") == k, 1)).alias(f"n{k}") for k in range(len(DOMAINS))])
+    evidence, weights = [], []
+    for sides in CONTRASTS:
+        held = [sum((F.col(f"n{k}") for k in side), F.lit(0)) for side in sides]
+        whole = [sum(each.get(k, 0) for k in side) for side in sides]
+        if not all(whole):
+            evidence.append(F.lit(0.0))
+            weights.append(F.lit(0.0))
+            continue
+        seen = (held[0] + held[1]) / sum(whole)
+        part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+        g = 2 * sum((part(n, seen * w) + part(w - n, (1 - seen) * w) for n, w in zip(held, whole, strict=True)), F.lit(0.0))
+        odds = [F.log((n + SMOOTHING) / (w + 2 * SMOOTHING)) for n, w in zip(held, whole, strict=True)]
+        evidence.append(g)
+        weights.append(F.when(g >= EVIDENCE, F.round(odds[0] - odds[1], 4)).otherwise(0.0))
+    rows = counts.select("term", F.greatest(*evidence).alias("g"), slot(F.col("term")).alias("slot"), *[w.alias(f"w{k}") for k, w in enumerate(weights)])
+    kept: dict[int, tuple[str, list[float]]] = {}
+    for r in rows.where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "term").limit(TERMS).collect():
+        kept.setdefault(r["slot"], (r["term"], [r[f"w{k}"] for k in range(len(CONTRASTS))]))
+    return Lexicon({term: (k, w) for k, (term, w) in kept.items()})
+
+
+def measured(docs: DataFrame, id_col: str, text_col: str, carry: bool, lexicon: Lexicon) -> DataFrame:
     """id, tokens and the bins b0.. of the text's measures; with carry the row of docs under `row`.
 
     Words are lower-cased and separated by white space and common punctuation, all of which become single characters,
-    so that splitting needs no regular expression. Insults are counted as often as they stand, in terms, which end at
-    symbols, quotes, brackets, hyphens and digits too.
+    so that splitting needs no regular expression. Terms of the lexicon weigh as often as they stand.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(*([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), docs[id_col].cast("long").alias("id"), text.alias("t"))
     keep = ["row"] * carry
-    rows = rows.select(*keep, "id", F.length("t").alias("chars"), F.length(F.translate("t", SYMBOLS, "")).alias("plain"), F.array_remove(F.split(F.translate(F.lower("t"), BREAKS, " " * len(BREAKS)), " "), "").alias("words"))
-    rows = rows.select(*keep, "id", "chars", "plain", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), F.size(F.filter(terms(F.col("words")), lambda w: w.isin(INSULTS.split()))).alias("insults"))
+    rows = rows.select(*keep, "id", F.length("t").alias("chars"), F.length(F.translate("t", SYMBOLS, "")).alias("plain"), words_of(F.col("t")).alias("words"), lexicon.hits(terms_of(F.col("t"))).alias("hits"))
+    rows = rows.select(*keep, "id", "chars", "plain", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), *[lexicon.score(F.col("hits"), k).alias(f"s{k}") for k in range(len(CONTRASTS))])
     n, chars = F.greatest("tokens", F.lit(1)), F.greatest("chars", F.lit(1))
     bins = [
         F.least(F.floor(F.log2(n) / 2), F.lit(BINS - 1)),
         F.least(F.floor(F.col("kinds") * BINS / n), F.lit(BINS - 1)),
         F.least(F.ceil((F.col("chars") - F.col("plain")) * 40 / chars), F.lit(BINS - 1)),
         F.least(F.floor(chars / n / 2), F.lit(BINS - 1)),
-        F.least("insults", F.lit(3)),
+        *[sum(((F.col(f"s{k}") >= edge).cast("int") for edge in EDGES), F.lit(0)) for k in range(len(CONTRASTS))],
     ]
     return rows.select(*keep, "id", "tokens", *[b.cast("int").alias(f"b{k}") for k, b in enumerate(bins)])
 
 
-def terms(words: Column) -> Column:
-    """The words' parts between MARKS."""
-    return F.array_remove(F.split(F.translate(F.array_join(words, " "), MARKS, " " * len(MARKS)), " "), "")
-
-
-MEASURES = 5
+MEASURES = 4 + len(CONTRASTS)
 
 
 @dataclass
@@ -81,8 +148,7 @@ def _array(values: list[float]) -> Column:
 
 def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id") -> Classifier:
     """Count bins by domain over all labelled documents."""
-    domain = F.coalesce(*[F.when(F.expr(condition), F.lit(k)) for k, condition in enumerate(DOMAINS.values())])
-    known = labels.select(F.col(label_id).cast("long").alias("id"), domain.alias("domain")).where("domain IS NOT NULL AND id IS NOT NULL")
+    known = labelled(labels, label_id)
     joined = rows.select("id", *[f"b{m}" for m in range(MEASURES)]).join(known, "id")
     spread = joined.select("domain", F.posexplode(F.array(*[F.col(f"b{m}") for m in range(MEASURES)])).alias("m", "bin"))
     counts = {(r["domain"], r["m"], r["bin"]): r["n"] for r in spread.groupBy("domain", "m", "bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # domains * MEASURES * BINS rows at most
@@ -142,13 +208,14 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     from echoline.llm.base import persist
 
     wanted = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
-    rows = persist(measured(docs, id_col, text_col, False), "mixing-measures")
+    lexicon = learn(docs, labels, id_col, text_col)
+    rows = persist(measured(docs, id_col, text_col, False, lexicon), "mixing-measures")
     model = train(rows, labels)
     bins = [f"b{m}" for m in range(MEASURES)]
     cells = persist(rows.groupBy(*bins).agg(F.sum("tokens").alias("tokens")).withColumn("p", model.posterior()).coalesce(1), "mixing-cells")
     rated = cells.select(*bins, "p", F.round(fit(cells, wanted, low, high, budget), 6).alias("rate"))
     if carry:
-        rows = measured(docs, id_col, text_col, True)
+        rows = measured(docs, id_col, text_col, True, lexicon)
     out = rows.join(F.broadcast(rated), bins)  # BINS ** MEASURES rows at most, whatever the corpus
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(97)), F.lit(1 << 30)) / float(1 << 30)
     return out.select(*["row"] * carry, "id", "tokens", "p", "rate", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))

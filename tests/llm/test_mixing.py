@@ -92,6 +92,19 @@ def test_plan_is_native(spark, capsys):
 
 
 def test_marks_do_not_hide_terms(spark):
+    lexicon = mixing.Lexicon({"idiot": (spark.range(1).select(mixing.slot(F.lit("idiot"))).first()[0], [2.0, 0.0])})
     texts = ["plain words", "you idiot", "you idiot!!", "you idiot###", 'you "idiot"', "you (idiot)", "an idiot-like one", "*idiot* idiot_ idiot's", "idiot! idiot, idiot"]
-    got = {r["id"]: r["b4"] for r in mixing.measured(make_docs(spark, list(enumerate(texts))), "doc_id", "text", False).collect()}
-    assert [got[k] for k in range(len(texts))] == [0, 1, 1, 1, 1, 1, 1, 3, 3]
+    got = {r["id"]: r["b4"] for r in mixing.measured(make_docs(spark, list(enumerate(texts))), "doc_id", "text", False, lexicon).collect()}
+    assert [got[k] for k in range(len(texts))] == [3, 4, 4, 4, 4, 4, 4, 5, 5]
+
+
+def test_terms_are_learned_from_the_labels(spark, prose):
+    """Toxic words of another language, in texts that are like the others in every other way."""
+    rude = ["trottel", "дурак", "canalla", "trottels"]
+    rows = [(k, f"{prose(1000 + k % 7, 30)} {rude[k // 6 % 4]}!! {prose(k, 30)}" if k % 3 == 0 else prose(1000 + k % 7, 61)) for k in range(360)]
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(0, 360, 2)]
+    docs, table = make_docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    assert set(rude) <= set(mixing.learn(docs, table).weights)
+    held = [r for r in mixing.mixing_query(docs, table).collect() if r["doc_id"] % 2]
+    right = [(r["p_toxic"] > 0.5) == (r["doc_id"] % 3 == 0) for r in held]
+    assert sum(right) / len(right) > 0.95
