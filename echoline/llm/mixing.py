@@ -168,7 +168,13 @@ def rate_of(history: list[list[float]], low: float, high: float, step: float) ->
     return F.aggregate(steps, F.lit(min(high, max(low, 1.0))), lambda r, e: F.greatest(F.lit(low), F.least(F.lit(high), r - F.lit(step) * (pull(e) + F.lit(RIDGE) * (r - 1.0)))))
 
 
-def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget: float) -> Column:
+def least_budget(cells: DataFrame, targets: list[float]) -> float:
+    """The smallest total, as a multiple of the tokens there are, at which no domain with a target has to shrink."""
+    masses = cells.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * F.get("p", F.lit(d))).alias(f"d{d}") for d in range(len(targets))]).first()
+    return max([1.0, *[masses[f"d{d}"] / masses["n"] * sum(targets) / t for d, t in enumerate(targets) if t > 0 and masses["n"]]])
+
+
+def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget: float | None) -> Column:
     """The rate as an expression of p, by projected gradient descent over cells (tokens, p).
 
     The squared error of domain d is divided by its curvature, the mean of p_d squared, so that small domains converge
@@ -188,6 +194,7 @@ def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget:
         top = max(map(abs, v)) or 1.0
         v = [x / top for x in v]
     step = 1 / (top * 1.05 + RIDGE)
+    budget = least_budget(cells, targets) if budget is None else budget
     goal = [budget * t / (sum(targets) or 1.0) for t in targets]
     history: list[list[float]] = []
     for _ in range(ITERATIONS):
@@ -198,11 +205,12 @@ def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget:
     return rate_of(history, low, high, step)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 0.0, high: float = 4.0, budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 0.0, high: float = math.inf, budget: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(id, tokens, p, rate, copies): each row of docs with its posteriors, its rate within low and high, and a whole
     number of copies whose expectation is the rate (drawn by a hash of the id); with carry also `row`, the row itself.
 
-    budget: wanted tokens in all, as a multiple of the tokens there are. Texts are measured once, into a narrow table;
+    budget: wanted tokens in all, as a multiple of the tokens there are; None: see `least_budget`. With low > 0 targets
+    may be out of reach (a target of zero always is, and low >= 1 keeps every row); `shares` tells what is reached. Texts are measured once, into a narrow table;
     carried rows are measured a second time instead of being moved.
     """
     from echoline.llm.base import persist
@@ -226,7 +234,18 @@ def mixing_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 1.0, high: float = 4.0, budget: float = 1.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shares(rows: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """(domain, wanted, had, reached, drawn): shares of expected tokens of rows of `mixed`: wanted, without rates, by
+    rate and by copies."""
+    wanted = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
+    cases = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(t / (sum(wanted) or 1.0)).alias("wanted"), F.get("p", F.lit(k)).alias("q")) for k, (d, t) in enumerate(zip(DOMAINS, wanted, strict=True))]))
+    sums = rows.select("tokens", "rate", "copies", cases.alias("c")).groupBy("c.domain", "c.wanted")
+    sums = sums.agg(*[F.sum(F.col("tokens") * F.col("c.q") * w).alias(n) for n, w in (("had", F.lit(1.0)), ("reached", F.col("rate")), ("drawn", F.col("copies")))])
+    whole = sums.agg(*[F.sum(n).alias(f"all_{n}") for n in ("had", "reached", "drawn")])
+    return sums.crossJoin(F.broadcast(whole)).select("domain", "wanted", *[F.round(F.try_divide(n, f"all_{n}"), 6).alias(n) for n in ("had", "reached", "drawn")])
+
+
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 1.0, high: float = math.inf, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row as many times as it has copies; with low >= 1 no row is lost."""
     rows = mixed(docs, labels, targets, low, high, budget, id_col, text_col, carry=True)
     return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

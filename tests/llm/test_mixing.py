@@ -108,3 +108,21 @@ def test_terms_are_learned_from_the_labels(spark, prose):
     held = [r for r in mixing.mixing_query(docs, table).collect() if r["doc_id"] % 2]
     right = [(r["p_toxic"] > 0.5) == (r["doc_id"] % 3 == 0) for r in held]
     assert sum(right) / len(right) > 0.95
+
+
+def test_targets_are_met_on_a_skewed_corpus(spark, prose):
+    """A tenth of the tokens is of high quality: its rate is far above four."""
+    rows = [(k, prose(k, 80, 300) if k % 10 == 0 else f"{prose(k, 60)} idiot moron" if k % 10 == 1 else "%%% &&& " * 35 + prose(k, 10)) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 10 < 2), int(k % 10 == 1)) for k in range(300)], LABELS)
+    docs = make_docs(spark, rows)
+    for options in ({}, {"budget": None}):
+        got = {r["domain"]: r for r in mixing.shares(mixing.mixed(docs, labels, **options)).collect()}
+        for domain, share in mixing.TARGETS.items():
+            assert got[domain]["wanted"] == share
+            assert got[domain]["reached"] == pytest.approx(share, abs=0.05)
+        assert got["high_quality"]["had"] < 0.2
+    out = mixing.resample(docs, labels, low=0.0)
+    kinds = {r["k"]: r["n"] for r in out.groupBy((F.col("doc_id") % 10).alias("k")).agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    high, toxic, every = kinds[0], kinds.get(1, 0), sum(kinds.values())
+    assert high / every == pytest.approx(0.9, abs=0.07)
+    assert toxic / every < 0.02
