@@ -1,9 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 Every stage works on all rows its predecessor kept. Toxic documents go; one document of each class of near-duplicates
-stays; words of passages that an earlier document has are cut; documents are repeated or left out at
-nonnegative rates so that expected token shares match the targets, in a total so large that no wanted domain shrinks
-(toxic mass, whose target is zero, goes); texts are encoded.
+stays; words of passages that an earlier document has are cut; documents of under-represented domains are repeated, as
+often as the targets ask in a total that follows from them (rates of at least one: no document is lost, so soft toxic
+mass, whose target is zero, stays); texts are encoded.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.resample(docs, table(spark, sf_dir, "labels"), low=0.0)
+    return mixing.resample(docs, table(spark, sf_dir, "labels"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
