@@ -1,12 +1,20 @@
 """Soft-membership mixing of sources to target weights, with DataFrame expressions only.
 
-A classifier trained on the label table (naive Bayes over binned text measures, counted by one join) gives each document
-a posterior over domains. Two of the measures are sums of term weights: log-odds of toxic against clean and of high against
-low quality documents, learned from the labelled texts; the TERMS of highest evidence are kept. Nonnegative document rates are fitted by projected-gradient least squares so that the expected
-tokens of each domain, the sum of rate * tokens * posterior, match the targets; a small pull towards rate one spreads the
-change over all documents. Documents of equal measures have equal posteriors and so equal rates; the gradient is summed
-over the distinct combinations of measures, a table of a bounded number of rows, and only the residuals of the few
-domains come to the driver. A combination's rate is the fold of the residuals' history over its posterior.
+A classifier trained on the label table (naive Bayes over binned text measures) gives each document a posterior over
+domains. Two of the measures are sums of term weights: log-odds of toxic against clean and of high against low quality
+documents, learned from the labelled texts; the TERMS of highest evidence are kept. Nonnegative document rates are fitted
+by projected-gradient least squares (with momentum) so that the expected tokens of each domain, the sum of rate * tokens
+* posterior, match the targets; a small pull towards rate one spreads the change over all documents. Documents of equal
+measures have equal posteriors and so equal rates: the gradient is summed over the distinct combinations of measures,
+which loses nothing and keeps a step small whatever the corpus; only the residuals of the few domains come to the driver.
+Every ROUND steps the rates so far are written, so that the work grows with the number of steps and not with its square.
+
+The classifier is fitted on at most TRAIN_ROWS labelled rows of each domain (a documented bound, drawn by a hash of the
+id), whose ids are broadcast; measures, posteriors, totals and rates cover every document.
+
+Targets can be out of reach: a document without any sign of a domain still has that domain's posterior, which is the
+share of such documents that the labels put there. `shares` reports what is reached, `residual` in the query how far
+the fitted totals are from the targets.
 
 Defined results: null and empty texts have no tokens and fall into the lowest bins; null or unknown labels teach nothing; without
 labels the posteriors are uniform; an empty table gives an empty result; documents labelled twice count twice.
@@ -14,16 +22,21 @@ labels the posteriors are uniform; an empty table gives an empty result; documen
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echoline.llm.base import persist
+
 # Domains of the label table, and the token shares wanted of each.
 DOMAINS = {"high_quality": "quality = 1 AND toxic = 0", "low_quality": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
 TARGETS = {"high_quality": 0.9, "low_quality": 0.1, "toxic": 0.0}
-BINS, SMOOTHING, RIDGE, ITERATIONS, TOLERANCE = 8, 0.5, 0.02, 60, 1e-5
+BINS, SMOOTHING, RIDGE, ITERATIONS, ROUND, TOLERANCE = 8, 0.5, 0.005, 60, 15, 1e-5
+#: Labelled rows of each domain that the classifier is fitted on.
+TRAIN_ROWS = 4000
 SYMBOLS, BREAKS = "%&*$#!|", ".,;:?\n\t\r\x0b\x0c"
 #: Further characters that end a term; words, whose number is the tokens, run on over them.
 MARKS = SYMBOLS + "\"'`()[]{}<>/\\-_=+~^@0123456789\u00a0\u00a1\u00a8\u00ab\u00b4\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2022\u2026\u2039\u203a\u3001\u3002\uff01\uff0c\uff1f"
@@ -52,20 +65,19 @@ class Lexicon:
 
     weights: dict[str, tuple[int, list[float]]]
 
-    def hits(self, terms: Column) -> Column:
-        """array<int>: the slots of the known terms, as often as they stand."""
-        table = [""] * SLOTS
-        for term, (k, _) in self.weights.items():
-            table[k] = term
-        known = F.split(F.lit("|".join(table)), r"\|", -1)
-        return F.transform(F.filter(terms, lambda w: F.get(known, slot(w)) == w), slot)
+    def hits(self, text: Column, terms: Column) -> Column:
+        """array<struct<slot, n>>: the known terms of a text and how often they stand. text: its terms, two blanks
+        between any two and one at either end."""
+        known = F.array_intersect(F.split(F.lit("|".join(sorted(self.weights)) or "|"), r"\|"), terms)
+        times = lambda w: ((F.octet_length(text) - F.octet_length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("int")
+        return F.transform(known, lambda w: F.struct(slot(w).alias("slot"), times(w).alias("n")))
 
     def score(self, hits: Column, contrast: int) -> Column:
         table = ["0"] * SLOTS
         for k, w in self.weights.values():
             table[k] = f"{w[contrast]:g}"
         weights = F.split(F.lit(" ".join(table)), " ").cast("array<double>")
-        return F.aggregate(hits, F.lit(0.0), lambda total, k: total + F.get(weights, k))
+        return F.aggregate(hits, F.lit(0.0), lambda total, h: total + h["n"] * F.get(weights, h["slot"]))
 
 
 def labelled(labels: DataFrame, label_id: str = "doc_id") -> DataFrame:
@@ -74,12 +86,20 @@ def labelled(labels: DataFrame, label_id: str = "doc_id") -> DataFrame:
     return labels.select(F.col(label_id).cast("long").alias("id"), domain.alias("domain")).where("domain IS NOT NULL AND id IS NOT NULL")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Term weights from the documents of each domain that hold the term, over all labelled documents."""
+def train_rows(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """(id, domain) of at most `most` labelled rows of each domain: those whose ids a hash puts first."""
     known = labelled(labels)
+    parts = [known.where(F.col("domain") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in range(len(DOMAINS))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+    """Term weights from the documents of each domain that hold the term, over the rows of `train_rows`."""
+    known = F.broadcast(train_rows(labels))  # TRAIN_ROWS for each domain at most
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(known, "id")
+    texts = persist(texts.select("domain", F.array_distinct(terms_of(F.coalesce("text", F.lit("")))).alias("terms")), "mixing-train")
     each = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = texts.select("domain", F.explode(F.array_distinct(terms_of(F.coalesce("text", F.lit(""))))).alias("term"))
+    counts = texts.select("domain", F.explode("terms").alias("term"))
     counts = counts.groupBy("term").agg(*[F.count(F.when(F.col("domain") == k, 1)).alias(f"n{k}") for k in range(len(DOMAINS))])
     evidence, weights = [], []
     for sides in CONTRASTS:
@@ -109,10 +129,13 @@ def measured(docs: DataFrame, id_col: str, text_col: str, carry: bool, lexicon:
     so that splitting needs no regular expression. Terms of the lexicon weigh as often as they stand.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(*([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), docs[id_col].cast("long").alias("id"), text.alias("t"))
     keep = ["row"] * carry
-    rows = rows.select(*keep, "id", F.length("t").alias("chars"), F.length(F.translate("t", SYMBOLS, "")).alias("plain"), words_of(F.col("t")).alias("words"), lexicon.hits(terms_of(F.col("t"))).alias("hits"))
-    rows = rows.select(*keep, "id", "chars", "plain", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), *[lexicon.score(F.col("hits"), k).alias(f"s{k}") for k in range(len(CONTRASTS))])
+    rows = docs.select(*([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), docs[id_col].cast("long").alias("id"), text.alias("t"))
+    rows = rows.select(*keep, "id", F.length("t").alias("chars"), F.length(F.translate("t", SYMBOLS, "")).alias("plain"), F.translate(F.lower("t"), BREAKS, " " * len(BREAKS)).alias("t"))
+    rows = rows.select(*keep, "id", "chars", "plain", F.array_remove(F.split("t", " "), "").alias("words"), F.translate("t", MARKS, " " * len(MARKS)).alias("t"))
+    rows = rows.select(*keep, "id", "chars", "plain", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), F.split("t", " ").alias("terms"), F.concat(F.lit(" "), F.replace("t", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("t"))
+    rows = rows.select(*keep, "id", "chars", "plain", "tokens", "kinds", lexicon.hits(F.col("t"), F.col("terms")).alias("hits"))
+    rows = rows.select(*keep, "id", "chars", "plain", "tokens", "kinds", *[lexicon.score(F.col("hits"), k).alias(f"s{k}") for k in range(len(CONTRASTS))])
     n, chars = F.greatest("tokens", F.lit(1)), F.greatest("chars", F.lit(1))
     bins = [
         F.least(F.floor(F.log2(n) / 2), F.lit(BINS - 1)),
@@ -147,8 +170,8 @@ def _array(values: list[float]) -> Column:
 
 
 def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id") -> Classifier:
-    """Count bins by domain over all labelled documents."""
-    known = labelled(labels, label_id)
+    """Count bins by domain over the rows of `train_rows`."""
+    known = F.broadcast(train_rows(labels if label_id == "doc_id" else labels.withColumnRenamed(label_id, "doc_id")))
     joined = rows.select("id", *[f"b{m}" for m in range(MEASURES)]).join(known, "id")
     spread = joined.select("domain", F.posexplode(F.array(*[F.col(f"b{m}") for m in range(MEASURES)])).alias("m", "bin"))
     counts = {(r["domain"], r["m"], r["bin"]): r["n"] for r in spread.groupBy("domain", "m", "bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # domains * MEASURES * BINS rows at most
@@ -158,14 +181,15 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id") -> Class
     return Classifier(prior, tables)
 
 
-def rate_of(history: list[list[float]], low: float, high: float, step: float) -> Column:
-    """The rate after the steps in history (the scaled residuals of each), from the column p."""
+def steps_of(history: list[list[float]], start: Column, low: float, high: float, step: float, momentum: float) -> Column:
+    """struct<r, y>: rate and look-ahead after the steps in history (the scaled residuals of each), from the column p."""
     if not history:
-        return F.lit(min(high, max(low, 1.0)))
+        return start
     width = len(history[0])
     steps = F.transform(F.split(F.lit(";".join(" ".join(repr(v) for v in e) for e in history)), ";"), lambda s: F.split(s, " ").cast("array<double>"))
     pull = lambda e: sum((F.get(F.col("p"), F.lit(d)) * F.get(e, F.lit(d)) for d in range(width)), F.lit(0.0))
-    return F.aggregate(steps, F.lit(min(high, max(low, 1.0))), lambda r, e: F.greatest(F.lit(low), F.least(F.lit(high), r - F.lit(step) * (pull(e) + F.lit(RIDGE) * (r - 1.0)))))
+    moved = lambda s, e: F.greatest(F.lit(low), F.least(F.lit(high), s["y"] - F.lit(step) * (pull(e) + F.lit(RIDGE) * (s["y"] - 1.0))))
+    return F.aggregate(steps, start, lambda s, e: F.struct(moved(s, e).alias("r"), (moved(s, e) + F.lit(momentum) * (moved(s, e) - s["r"])).alias("y")))
 
 
 def least_budget(cells: DataFrame, targets: list[float]) -> float:
@@ -175,7 +199,7 @@ def least_budget(cells: DataFrame, targets: list[float]) -> float:
 
 
 def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget: float | None) -> Column:
-    """The rate as an expression of p, by projected gradient descent over cells (tokens, p).
+    """The rate as an expression of p, by projected gradient descent with momentum over cells (tokens, p).
 
     The squared error of domain d is divided by its curvature, the mean of p_d squared, so that small domains converge
     as fast as large ones. A step sends one row of sums to the driver.
@@ -183,9 +207,10 @@ def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget:
     width = len(targets)
     n, p = F.col("tokens"), [F.get("p", F.lit(d)) for d in range(width)]
     moments = cells.agg(F.sum(n).alias("n"), *[F.sum(n * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(width) for b in range(width)]).first()
-    whole = moments["n"] or 0
+    whole, one = moments["n"] or 0, min(high, max(low, 1.0))
+    begin = F.struct(F.lit(one).alias("r"), F.lit(one).alias("y"))
     if not whole:
-        return rate_of([], low, high, 1.0)
+        return begin["r"]
     m = [[moments[f"m{a}_{b}"] / whole for b in range(width)] for a in range(width)]
     scale = [1 / max(m[d][d], 1e-6) for d in range(width)]
     v = [1.0] * width
@@ -194,44 +219,50 @@ def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget:
         top = max(map(abs, v)) or 1.0
         v = [x / top for x in v]
     step = 1 / (top * 1.05 + RIDGE)
+    momentum = (1 - math.sqrt(RIDGE * step)) / (1 + math.sqrt(RIDGE * step))
     budget = least_budget(cells, targets) if budget is None else budget
     goal = [budget * t / (sum(targets) or 1.0) for t in targets]
     history: list[list[float]] = []
+    now, done = cells.select("tokens", "p", begin.alias("s")), 0
     for _ in range(ITERATIONS):
-        totals = cells.select("tokens", "p", rate_of(history, low, high, step).alias("r")).agg(*[F.sum(n * F.col("r") * p[d]).alias(f"d{d}") for d in range(width)]).first()
+        if len(history) - done == ROUND:
+            now, done = persist(now.select("tokens", "p", steps_of(history[done:], F.col("s"), low, high, step, momentum).alias("s")), "mixing-rates"), len(history)
+        totals = now.select("tokens", "p", steps_of(history[done:], F.col("s"), low, high, step, momentum)["y"].alias("y")).agg(*[F.sum(n * F.col("y") * p[d]).alias(f"d{d}") for d in range(width)]).first()
         history.append([(totals[f"d{d}"] / whole - goal[d]) * scale[d] for d in range(width)])
         if len(history) > 1 and max(abs(a - b) / c for a, b, c in zip(history[-1], history[-2], scale, strict=True)) < TOLERANCE:
             break
-    return rate_of(history, low, high, step)
+    return steps_of(history, begin, low, high, step, momentum)["r"]
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, low: float = 0.0, high: float = math.inf, budget: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """(id, tokens, p, rate, copies): each row of docs with its posteriors, its rate within low and high, and a whole
-    number of copies whose expectation is the rate (drawn by a hash of the id); with carry also `row`, the row itself.
+    """(id, tokens, p, rate, copies, residual): each row of docs with its posteriors, its rate within low and high, a
+    whole number of copies whose expectation is the rate (drawn by a hash of the id), and the largest difference between
+    a domain's reached and wanted share (the same in all rows); with carry also `row`, the row itself.
 
     budget: wanted tokens in all, as a multiple of the tokens there are; None: see `least_budget`. With low > 0 targets
     may be out of reach (a target of zero always is, and low >= 1 keeps every row); `shares` tells what is reached. Texts are measured once, into a narrow table;
     carried rows are measured a second time instead of being moved.
     """
-    from echoline.llm.base import persist
-
     wanted = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
     lexicon = learn(docs, labels, id_col, text_col)
     rows = persist(measured(docs, id_col, text_col, False, lexicon), "mixing-measures")
     model = train(rows, labels)
     bins = [f"b{m}" for m in range(MEASURES)]
-    cells = persist(rows.groupBy(*bins).agg(F.sum("tokens").alias("tokens")).withColumn("p", model.posterior()).coalesce(1), "mixing-cells")
-    rated = cells.select(*bins, "p", F.round(fit(cells, wanted, low, high, budget), 6).alias("rate"))
+    cells = persist(rows.groupBy(*bins).agg(F.sum("tokens").alias("tokens")).withColumn("p", model.posterior()), "mixing-cells")
+    rated = persist(cells.select(*bins, "p", "tokens", F.round(fit(cells, wanted, low, high, budget), 6).alias("rate")), "mixing-rated")
+    reached = rated.agg(F.sum(F.col("tokens") * F.col("rate")).alias("n"), *[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(d))).alias(f"d{d}") for d in range(len(wanted))]).first()
+    residual = max(abs(reached[f"d{d}"] / reached["n"] - t / (sum(wanted) or 1.0)) for d, t in enumerate(wanted)) if reached["n"] else 0.0
+    rated = rated.drop("tokens").withColumn("residual", F.lit(round(residual, 6)))
     if carry:
         rows = measured(docs, id_col, text_col, True, lexicon)
     out = rows.join(F.broadcast(rated), bins)  # BINS ** MEASURES rows at most, whatever the corpus
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(97)), F.lit(1 << 30)) / float(1 << 30)
-    return out.select(*["row"] * carry, "id", "tokens", "p", "rate", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))
+    return out.select(*["row"] * carry, "id", "tokens", "p", "rate", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"), "residual")
 
 
 def mixing_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = mixed(docs, labels)
-    return rows.select(F.col("id").alias("doc_id"), "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
+    return rows.select(F.col("id").alias("doc_id"), "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies", "residual")
 
 
 def shares(rows: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
