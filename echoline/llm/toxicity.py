@@ -2,16 +2,16 @@
 
 Folding lowers the text, strips accents, maps look-alike letters of other scripts and digits to Latin letters and drops
 invisible characters, so that disguised spellings meet the plain ones. The lexicon holds whole words and word stems with
-weights learned from labelled rows (smoothed log odds of documents), on top of a small seed list. Matches inside an
-exception phrase don't count. The weights found are summed, divided by a slowly growing function of the text's length,
-and calibrated to a probability by logistic regression on the same labelled rows.
+weights learned from labelled rows (smoothed log odds of documents); no word is built in. Matches inside an
+exception phrase (a fixed one, or one that only clean rows have) don't count. The weights found are summed, divided by a
+slowly growing function of the text's length, and calibrated to a probability by logistic regression on the same labelled rows.
 
-The fit uses at most TRAIN_ROWS labelled rows of each class (a documented bound, chosen by a hash of the id); scoring
-covers every text in full.
+The fit uses at most TRAIN_ROWS labelled rows of each class (a documented bound, chosen by a hash of the id), and the
+lexicon holds the LEXICON_SIZE words and stems that stand in most toxic ones of these rows; scoring covers every text in full.
 
 Defined results: null, empty and wordless texts score as texts without a match; labels that are null, or of other values than
-0 and 1, teach nothing; with no toxic labelled row, or no match in any
-labelled row, the seed list and a fixed calibration decide; a text without a match is never toxic; repeated rows score alike.
+0 and 1, teach nothing; with no toxic or no clean labelled row nothing is learned and no text is toxic; with no match in any
+labelled row a fixed calibration decides; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -32,12 +32,8 @@ TRAIN_ROWS, LEXICON_SIZE, STEM_MIN, STEM_MAX = 4000, 4000, 3, 8
 #: A word or stem enters the lexicon if its smoothed odds ratio is at least ODDS and its rows lean to toxic beyond chance:
 #: the log likelihood ratio must exceed the log of the number of candidates by EVIDENCE.
 ODDS, EVIDENCE, LEAST_ROWS = 25.0, 2.0, 3
-SEED_WEIGHT = 3.0
-#: Most that the calibration may say of a text without a match: below one half, whatever the labels.
-NO_MATCH = -0.1
 
-# Seed words, phrases in which such words are harmless, and look-alike letters.
-SEED = "idiot moron stupid loser scum trash clown pathetic worthless disgusting imbecile dumbass asshole bastard vermin scumbag retard".split()
+# Phrases in which such words are harmless, and look-alike letters.
 EXCEPTIONS = ["trash can", "trash bin", "take out the trash", "circus clown", "clown fish", "class clown", "rodeo clown", "idiot proof", "idiot light"]
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r", "п": "n", "ӏ": "l", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ð": "d", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "l", "ß": "ss", "æ": "ae", "œ": "oe"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -181,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold_column=lambda c: F.lit(True),
     counts = persist(count_features(rows), "toxicity-counts")
     row = counts.where("kind = 'rows'").select("toxic", "clean").first()
     total = {"toxic": row["toxic"], "clean": row["clean"]} if row else {"toxic": 0, "clean": 0}
-    lexicon = Lexicon(words=dict.fromkeys(map(fold, SEED), SEED_WEIGHT), exceptions=list(map(fold, EXCEPTIONS)))
+    lexicon = Lexicon(exceptions=list(map(fold, EXCEPTIONS)))
     if not total["toxic"] or not total["clean"]:
         return lexicon
     odds = ((F.col("toxic") + 0.5) / (total["toxic"] + 1.0)) / ((F.col("clean") + 0.5) / (total["clean"] + 1.0))
@@ -189,13 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame, fold_column=lambda c: F.lit(True),
     lean = F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
     least = math.log(max(1, counts.count())) + EVIDENCE
     kept = counts.where((F.col("kind") != "rows") & (F.col("toxic") >= LEAST_ROWS)).withColumn("odds", odds).where((F.col("odds") >= ODDS) & (lean >= least)).orderBy(F.desc("toxic"), F.length("spelling"), "spelling", "kind").limit(LEXICON_SIZE).collect()
-    lexicon.words |= {r["spelling"]: math.log(r["odds"]) for r in kept if r["kind"] == "word"}
-    stems = choose_stems([(r["kind"], r["spelling"], r["toxic"], math.log(r["odds"])) for r in kept])
-    lexicon.stems = stems
-    judged = {r["spelling"]: r for r in counts.where((F.col("kind") == "word") & F.col("spelling").isin(list(map(fold, SEED)))).withColumn("odds", odds).collect()}
-    for word in map(fold, SEED):  # what the labels say of a seed word outweighs the seed
-        if (r := judged.get(word)) and r["clean"] > r["toxic"]:
-            lexicon.words.pop(word, None)
+    lexicon.words = {r["spelling"]: math.log(r["odds"]) for r in kept if r["kind"] == "word"}
+    lexicon.stems = choose_stems([(r["kind"], r["spelling"], r["toxic"], math.log(r["odds"])) for r in kept])
     lexicon.exceptions += learn_exceptions(rows, lexicon)
     return calibrate(rows, lexicon)
 
@@ -221,8 +212,9 @@ def choose_stems(kept: list[tuple[str, str, int, float]]) -> dict[str, float]:
     return out
 
 
-def learn_exceptions(rows: DataFrame, lexicon: Lexicon, most: int = 1000) -> list[str]:
-    """Two-word phrases with a match that stand in clean rows only."""
+def learn_exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
+    """Two-word phrases with a match that stand in clean rows only, LEAST_ROWS of them at least; the labelled rows bound
+    their number."""
     bound_batches(rows.sparkSession)
     schema = "phrase string, toxic long, clean long"
     fields = spark_to_arrow(rows.sparkSession, schema)
@@ -245,7 +237,7 @@ def learn_exceptions(rows: DataFrame, lexicon: Lexicon, most: int = 1000) -> lis
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], schema=fields)
 
     found = rows.mapInArrow(run, schema).groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    return [r["phrase"] for r in found.where((F.col("clean") >= LEAST_ROWS) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(most).collect()]
+    return [r["phrase"] for r in found.where((F.col("clean") >= LEAST_ROWS) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").collect()]
 
 
 def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
@@ -278,7 +270,7 @@ def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
         a, b = a - max(-2.0, min(2.0, da)), b - max(-2.0, min(2.0, db))
         if abs(da) + abs(db) < 1e-9:
             break
-    lexicon.slope, lexicon.bias = round(a, 6), min(NO_MATCH, round(b, 6))
+    lexicon.slope, lexicon.bias = round(a, 6), round(b, 6)
     return lexicon
 
 
