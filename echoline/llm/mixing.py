@@ -40,23 +40,33 @@ TRAIN_ROWS = 4000
 SYMBOLS, BREAKS = "%&*$#!|", ".,;:?\n\t\r\x0b\x0c"
 #: Further characters that end a term; words, whose number is the tokens, run on over them.
 MARKS = SYMBOLS + "\"'`()[]{}<>/\\-_=+~^@0123456789\u00a0\u00a1\u00a8\u00ab\u00b4\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2022\u2026\u2039\u203a\u3001\u3002\uff01\uff0c\uff1f"
+SYMBOL, MARK = "\x01", "\x02"
+#: Weights are whole numbers of 1 / UNIT, MOST_WEIGHT at most; the sum of MOST_PACKED of them fits into half a long.
+UNIT, MOST_WEIGHT, MOST_PACKED = 1000, 10.0, (1 << 31) // 10_000 - 1
 #: Terms kept, the least evidence (G squared, so that chance agreement of rare terms teaches nothing), hash slots, and
 #: the edges of the bins of summed weights.
 TERMS, EVIDENCE, SLOTS, EDGES = 2048, 15.0, 1 << 16, (-8.0, -3.0, -0.5, 0.5, 3.0, 8.0, 20.0)
 CONTRASTS = (((2,), (0, 1)), ((0,), (1,)))  # toxic against clean, high against low quality: numbers of DOMAINS
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(text), BREAKS, " " * len(BREAKS)), " "), "")
+def marked(text: Column) -> Column:
+    """text with single blanks for what ends a word, SYMBOL for SYMBOLS and MARK for MARKS: one pass over the characters."""
+    others = "".join(c for c in MARKS if c not in SYMBOLS)
+    return F.translate(text, BREAKS + SYMBOL + MARK + SYMBOLS + others, " " * len(BREAKS + SYMBOL + MARK) + SYMBOL * len(SYMBOLS) + MARK * len(others))
+
+
+def unmarked(text: Column) -> Column:
+    """A marked text with blanks for all that ends a term."""
+    return F.replace(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(SYMBOL), F.lit(" "))
 
 
 def terms_of(text: Column) -> Column:
-    """Words, which end at MARKS too."""
-    return F.array_remove(F.split(F.translate(F.lower(text), BREAKS + MARKS, " " * len(BREAKS + MARKS)), " "), "")
+    """Lower-cased words, which end at MARKS too."""
+    return F.array_remove(F.split(unmarked(marked(F.lower(text))), " "), "")
 
 
 def slot(term: Column) -> Column:
-    return F.pmod(F.hash(term), F.lit(SLOTS))
+    return F.hash(term).bitwiseAND(F.lit(SLOTS - 1))
 
 
 @dataclass
@@ -65,19 +75,30 @@ class Lexicon:
 
     weights: dict[str, tuple[int, list[float]]]
 
-    def hits(self, text: Column, terms: Column) -> Column:
-        """array<struct<slot, n>>: the known terms of a text and how often they stand. text: its terms, two blanks
-        between any two and one at either end."""
-        known = F.array_intersect(F.split(F.lit("|".join(sorted(self.weights)) or "|"), r"\|"), terms)
-        times = lambda w: ((F.octet_length(text) - F.octet_length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("int")
-        return F.transform(known, lambda w: F.struct(slot(w).alias("slot"), times(w).alias("n")))
+    def hits(self, terms: Column) -> Column:
+        """array<int>: the slots of the known terms, as often as they stand."""
+        table = [""] * SLOTS
+        for term, (k, _) in self.weights.items():
+            table[k] = term
+        known = F.split(F.lit("|".join(table)), r"\|", -1)
+        return F.transform(F.filter(terms, lambda w: F.get(known, slot(w)) == w), slot)
 
-    def score(self, hits: Column, contrast: int) -> Column:
+    def packed(self, hits: Column) -> Column:
+        """Sums of the hits' weights in units of 1 / UNIT: that of the first contrast plus 2 ** 32 times that of the
+        second (null beyond MOST_PACKED hits, which could overflow)."""
+        return F.when(F.size(hits) <= MOST_PACKED, self.total(hits, 0, 1))
+
+    def total(self, hits: Column, *contrasts: int) -> Column:
         table = ["0"] * SLOTS
         for k, w in self.weights.values():
-            table[k] = f"{w[contrast]:g}"
-        weights = F.split(F.lit(" ".join(table)), " ").cast("array<double>")
-        return F.aggregate(hits, F.lit(0.0), lambda total, h: total + h["n"] * F.get(weights, h["slot"]))
+            table[k] = str(sum(round(w[c] * UNIT) << 32 * place for place, c in enumerate(contrasts)))
+        weights = F.split(F.lit(" ".join(table)), " ").cast("array<bigint>")
+        return F.aggregate(hits, F.lit(0).cast("long"), lambda so_far, k: so_far + F.get(weights, k))
+
+    def score(self, hits: Column, packed: Column, contrast: int) -> Column:
+        low = F.pmod(packed + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+        part = low if not contrast else F.shiftright(packed - low, 32)
+        return F.coalesce(part, self.total(hits, contrast)) / float(UNIT)
 
 
 def labelled(labels: DataFrame, label_id: str = "doc_id") -> DataFrame:
@@ -114,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         g = 2 * sum((part(n, seen * w) + part(w - n, (1 - seen) * w) for n, w in zip(held, whole, strict=True)), F.lit(0.0))
         odds = [F.log((n + SMOOTHING) / (w + 2 * SMOOTHING)) for n, w in zip(held, whole, strict=True)]
         evidence.append(g)
-        weights.append(F.when(g >= EVIDENCE, F.round(odds[0] - odds[1], 4)).otherwise(0.0))
+        weights.append(F.when(g >= EVIDENCE, F.round(F.greatest(F.lit(-MOST_WEIGHT), F.least(F.lit(MOST_WEIGHT), odds[0] - odds[1])), 3)).otherwise(0.0))
     rows = counts.select("term", F.greatest(*evidence).alias("g"), slot(F.col("term")).alias("slot"), *[w.alias(f"w{k}") for k, w in enumerate(weights)])
     kept: dict[int, tuple[str, list[float]]] = {}
     for r in rows.where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "term").limit(TERMS).collect():
@@ -131,16 +152,16 @@ def measured(docs: DataFrame, id_col: str, text_col: str, carry: bool, lexicon:
     text = F.coalesce(docs[text_col], F.lit(""))
     keep = ["row"] * carry
     rows = docs.select(*([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), docs[id_col].cast("long").alias("id"), text.alias("t"))
-    rows = rows.select(*keep, "id", F.length("t").alias("chars"), F.length(F.translate("t", SYMBOLS, "")).alias("plain"), F.translate(F.lower("t"), BREAKS, " " * len(BREAKS)).alias("t"))
-    rows = rows.select(*keep, "id", "chars", "plain", F.array_remove(F.split("t", " "), "").alias("words"), F.translate("t", MARKS, " " * len(MARKS)).alias("t"))
-    rows = rows.select(*keep, "id", "chars", "plain", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), F.split("t", " ").alias("terms"), F.concat(F.lit(" "), F.replace("t", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("t"))
-    rows = rows.select(*keep, "id", "chars", "plain", "tokens", "kinds", lexicon.hits(F.col("t"), F.col("terms")).alias("hits"))
-    rows = rows.select(*keep, "id", "chars", "plain", "tokens", "kinds", *[lexicon.score(F.col("hits"), k).alias(f"s{k}") for k in range(len(CONTRASTS))])
+    rows = rows.select(*keep, "id", F.length("t").alias("chars"), marked(F.lower("t")).alias("t"))
+    rows = rows.select(*keep, "id", "chars", (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(SYMBOL), F.lit("")))).alias("symbols"), F.array_remove(F.split("t", " "), "").alias("words"), F.split(unmarked(F.col("t")), " ").alias("terms"))
+    rows = rows.select(*keep, "id", "chars", "symbols", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), lexicon.hits(F.col("terms")).alias("hits"))
+    rows = rows.select(*keep, "id", "chars", "symbols", "tokens", "kinds", "hits", lexicon.packed(F.col("hits")).alias("packed"))
+    rows = rows.select(*keep, "id", "chars", "symbols", "tokens", "kinds", *[lexicon.score(F.col("hits"), F.col("packed"), k).alias(f"s{k}") for k in range(len(CONTRASTS))])
     n, chars = F.greatest("tokens", F.lit(1)), F.greatest("chars", F.lit(1))
     bins = [
         F.least(F.floor(F.log2(n) / 2), F.lit(BINS - 1)),
         F.least(F.floor(F.col("kinds") * BINS / n), F.lit(BINS - 1)),
-        F.least(F.ceil((F.col("chars") - F.col("plain")) * 40 / chars), F.lit(BINS - 1)),
+        F.least(F.ceil(F.col("symbols") * 40 / chars), F.lit(BINS - 1)),
         F.least(F.floor(chars / n / 2), F.lit(BINS - 1)),
         *[sum(((F.col(f"s{k}") >= edge).cast("int") for edge in EDGES), F.lit(0)) for k in range(len(CONTRASTS))],
     ]

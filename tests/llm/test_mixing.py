@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import pytest
 from conftest_llm import make_docs
 from pyspark.sql import functions as F
@@ -126,3 +128,56 @@ def test_targets_are_met_on_a_skewed_corpus(spark, prose):
     high, toxic, every = kinds[0], kinds.get(1, 0), sum(kinds.values())
     assert high / every == pytest.approx(0.9, abs=0.07)
     assert toxic / every < 0.02
+
+
+def plain_measures(text, lexicon):
+    """Tokens, bins and sums of term weights by the definitions, in plain Python."""
+    low = text.lower()
+    gap = lambda cs: str.maketrans(dict.fromkeys(cs, " "))
+    kept = low.translate(gap(mixing.BREAKS + mixing.SYMBOL + mixing.MARK))
+    words = [w for w in kept.split(" ") if w]
+    same = str.maketrans(dict.fromkeys(mixing.SYMBOLS, "S") | dict.fromkeys([c for c in mixing.MARKS if c not in mixing.SYMBOLS], "M"))
+    terms = [w for w in kept.translate(gap(mixing.MARKS)).split(" ") if w]
+    n, chars = max(1, len(words)), max(1, len(text))
+    sums = [sum(lexicon.weights[t][1][k] for t in terms if t in lexicon.weights) for k in range(2)]
+    symbols = sum(c in mixing.SYMBOLS for c in low)
+    bins = [min(7, int(math.log2(n) / 2)), min(7, len({w.translate(same) for w in words}) * 8 // n), min(7, math.ceil(symbols * 40 / chars)), min(7, int(chars / n / 2)), *[sum(s >= e for e in mixing.EDGES) for s in sums]]
+    return len(words), bins
+
+
+def test_measures_and_posteriors_equal_plain_python(spark, prose, awkward, monkeypatch):
+    rows, labels = corpus(prose, 90)
+    rows = [*rows, *((500 + k, t) for k, (_, t) in enumerate(awkward) if t is not None), (700, "idiot " * 400 + "x | y!"), (701, "Idiot-like #1 (moron) loser!!")]
+    docs, table = make_docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    lexicon = mixing.learn(docs, table)
+    assert lexicon.weights
+    for most in (mixing.MOST_PACKED, 3):  # sums in one integer, and each for itself
+        monkeypatch.setattr(mixing, "MOST_PACKED", most)
+        got = {r["id"]: r for r in mixing.measured(docs, "doc_id", "text", False, lexicon).collect()}
+        for doc, text in rows:
+            assert (got[doc]["tokens"], [got[doc][f"b{m}"] for m in range(mixing.MEASURES)]) == plain_measures(text, lexicon), doc
+    domain = {d: 2 if toxic else 0 if quality else 1 for d, quality, toxic in labels}
+    each = [sum(v == k for v in domain.values()) for k in range(3)]
+    bins = {d: plain_measures(t, lexicon)[1] for d, t in rows}
+    out = {r["id"]: r["p"] for r in mixing.mixed(docs, table).collect()}
+    for doc, b in bins.items():
+        logs = [math.log((each[k] + 0.5) / (sum(each) + 1.5)) + sum(math.log((sum(bins[d][m] == x for d, v in domain.items() if v == k) + 0.5) / (each[k] + 4.0)) for m, x in enumerate(b)) for k in range(3)]
+        e = [math.exp(v - max(logs)) for v in logs]
+        assert out[doc] == pytest.approx([v / sum(e) for v in e], abs=2e-6)
+
+
+def test_rates_reach_the_least_squares_optimum(spark, prose):
+    """The optimum satisfies rate = max(0, 1 - p . residual / RIDGE) for every document; solved here by plain iteration."""
+    rows, labels = corpus(prose, 120)
+    got = mixing.mixed(make_docs(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    tokens, whole, goal = [r["tokens"] for r in got], sum(r["tokens"] for r in got), list(mixing.TARGETS.values())
+    scale = [1 / max(sum(r["tokens"] * r["p"][d] ** 2 for r in got) / whole, 1e-6) for d in range(3)]
+    rate, ahead = [1.0] * len(got), [1.0] * len(got)
+    for _ in range(4000):
+        e = [(sum(n * y * r["p"][d] for n, y, r in zip(tokens, ahead, got, strict=True)) / whole - goal[d]) * scale[d] for d in range(3)]
+        new = [max(0.0, y - 0.3 * (sum(a * b for a, b in zip(r["p"], e, strict=True)) + mixing.RIDGE * (y - 1))) for y, r in zip(ahead, got, strict=True)]
+        ahead, rate = [a + 0.9 * (a - b) for a, b in zip(new, rate, strict=True)], new
+    share = lambda rates: [sum(n * x * r["p"][d] for n, x, r in zip(tokens, rates, got, strict=True)) / whole for d in range(3)]
+    assert share([r["rate"] for r in got]) == pytest.approx(share(rate), abs=0.005)
+    reached = share([r["rate"] for r in got])
+    assert got[0]["residual"] == pytest.approx(max(abs(x / sum(reached) - g) for x, g in zip(reached, goal, strict=True)), abs=1e-4)
