@@ -1,11 +1,12 @@
 """Normalised Indel similarity: 200 * LCS(a, b) / (len(a) + len(b)) on code points.
 
 The longest common subsequence is found bit-parallel: one big integer holds a row of the dynamic programme, a step takes
-one character of the other string. Several targets share one integer for the corpus-wide filter (`Bank`).
+one character of the other string. The corpus-wide filter (`Bank`) tracks pieces of many targets in machine words.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -145,49 +146,105 @@ def evidence_conflicts(a: Column, b: Column, threshold: float = 85.0) -> Column:
 
 
 class Bank:
-    """Targets side by side in one integer, to find texts that can't hold any of them.
+    """Targets side by side, to find texts that can't hold any of them; results are a superset of those that do.
 
-    The Levenshtein distance of a target and its nearest substring of a text is tracked bit-parallel for all targets at
-    once; a guard bit between targets stops carries. An Indel similarity of at least T to a window of m characters means
-    at most (1 - T)(n + m) insertions and deletions, thus no larger Levenshtein distance, and m is at most n (2 - T) / T.
-    The distances are read every STRIDE characters; they move by one a character at most.
+    An Indel similarity of at least T to a window of m characters means at most (1 - T)(n + m) insertions and deletions,
+    thus no larger Levenshtein distance, and m is at most n (2 - T) / T. If a target is cut into pieces of up to LANE
+    characters, one piece at least has no more than its share of that distance to a substring. So texts are cut into
+    overlapping segments, and the distance of every piece to its nearest substring is tracked bit-parallel in one machine
+    word, for all pieces and BATCH segments at a time. What remains is looked at once more with whole targets (`nearest`).
     """
 
-    STRIDE = 8
+    LANE, BATCH, SEGMENT, STRIDE = 64, 32, 1024, 4
 
     def __init__(self, targets: list[str], threshold: float):
         t = threshold / 100
-        self.limits, self.starts = np.array([math.floor(2 * len(x) * (1 - t) / t + 1e-9) if t else 1 << 30 for x in targets]), []
-        self.eq: dict[str, int] = {}
-        at = self.full = self.first = 0
-        for text in targets:
-            at = -(-at // 8) * 8  # a target begins at a whole byte, so that its bits can be counted bytewise
-            self.starts.append(at // 8)
-            for k, c in enumerate(text):
-                self.eq[c] = self.eq.get(c, 0) | 1 << (at + k)
-            self.full |= ((1 << len(text)) - 1) << at
-            self.first |= 1 << at if text else 0
-            at += len(text) + 1
-        self.size = -(-at // 8) or 1
+        self.targets = targets
+        self.limits = np.array([math.floor(2 * len(x) * (1 - t) / t + 1e-9) if t else 1 << 30 for x in targets], np.int64)
+        owner, pieces = [], []
+        for k, text in enumerate(targets):
+            parts = -(-len(text) // self.LANE)
+            for j in range(parts):
+                owner.append(k)
+                pieces.append(text[len(text) * j // parts : len(text) * (j + 1) // parts])
+        self.owner = np.array(owner, np.int64)
+        size = np.array([len(x) for x in pieces], np.int64)
+        whole = np.array([len(targets[k]) for k in owner], np.int64)
+        self.share = self.limits[self.owner] * size // np.maximum(whole, 1)
+        self.row = {c: r for r, c in enumerate(sorted({c for x in pieces for c in x}), 1)}
+        self.equal = np.zeros((len(self.row) + 1, len(pieces)), np.uint64)
+        for lane, x in enumerate(pieces):
+            for k, c in enumerate(x):
+                self.equal[self.row[c], lane] |= np.uint64(1 << k)
+        self.full = np.array([(1 << len(x)) - 1 for x in pieces], np.uint64)
+        self.least = (np.minimum(self.share, 250) + self.STRIDE // 2).astype(np.uint8)
+        self.always = {k for k, x in enumerate(targets) if not x or self.limits[k] >= len(x)}
+        self.overlap = -(-int((size + np.minimum(self.share, size)).max(initial=0)) // self.STRIDE) * self.STRIDE
+
+    def many(self, texts: list[str]) -> list[list[int]]:
+        """For each text the targets that may have a window in it."""
+        segments = []
+        for k, text in enumerate(texts):
+            coded = np.fromiter(map(self.row.get, text, itertools.repeat(0)), np.int16, len(text))
+            step = self.SEGMENT
+            segments += [(k, coded[at : at + step + self.overlap]) for at in range(0, max(1, len(coded)), step) if len(coded)]
+        segments.sort(key=lambda s: len(s[1]))
+        found: list[set[int]] = [set(self.always) if t else set() for t in texts]
+        for at in range(0, len(segments), self.BATCH):
+            batch = segments[at : at + self.BATCH]
+            for (k, _), hit in zip(batch, self.near([c for _, c in batch]), strict=True):
+                found[k].update(self.owner[hit].tolist())
+        return [sorted(k for k in ks if k in self.always or self.nearest(k, text) <= self.limits[k]) for ks, text in zip(found, texts, strict=True)]
 
     def candidates(self, text: str) -> list[int]:
-        """The targets that may have a window in text; a superset of those that do."""
-        found = np.zeros(len(self.limits), bool)
-        full, first, eq_of = self.full, self.first, self.eq.get
-        plus, minus = full, 0
-        for k, c in enumerate(text, 1):
-            eq = eq_of(c, 0)
+        return self.many([text])[0]
+
+    def near(self, segments: list[np.ndarray]) -> np.ndarray:
+        """segments x lanes: whether a piece comes near enough anywhere in a segment. A distance moves by one a character
+        at most, so it is enough to look every STRIDE characters and to allow for half as many more."""
+        n = max(map(len, segments)) + self.STRIDE
+        codes = np.zeros((n, len(segments)), np.int16)
+        for k, c in enumerate(segments):
+            codes[: len(c), k] = c
+        shape = (len(segments), len(self.full))
+        plus, minus = np.broadcast_to(self.full, shape).copy(), np.zeros(shape, np.uint64)
+        across, down, eq, found = np.empty(shape, np.uint64), np.empty(shape, np.uint64), np.empty(shape, np.uint64), np.zeros(shape, bool)
+        one = np.uint64(1)
+        for k in range(n):
+            np.take(self.equal, codes[k], 0, out=eq)
+            np.bitwise_or(eq, minus, out=down)
+            np.bitwise_and(eq, plus, out=across)
+            across += plus
+            across ^= plus
+            across |= eq
+            np.bitwise_or(across, plus, out=eq)  # from here on eq holds the steps up
+            np.invert(eq, out=eq)
+            eq |= minus
+            across &= plus
+            eq <<= one
+            across <<= one
+            np.bitwise_or(down, eq, out=plus)
+            np.invert(plus, out=plus)
+            plus |= across
+            np.bitwise_and(eq, down, out=minus)
+            if k % self.STRIDE == self.STRIDE // 2:
+                found |= np.bitwise_count(plus & self.full) - np.bitwise_count(minus & self.full) <= self.least
+        return found
+
+    def nearest(self, target: int, text: str) -> int:
+        """The Levenshtein distance of a whole target to its nearest substring of text."""
+        x = self.targets[target]
+        of, full, top = masks(x), (1 << len(x)) - 1, 1 << (len(x) - 1)
+        plus, minus, distance = full, 0, len(x)
+        best = distance
+        for c in text:
+            eq = of.get(c, 0)
             down = eq | minus
             across = (((eq & plus) + plus) ^ plus) | eq
             up = minus | (full & ~(across | plus))
             fall = plus & across
-            up, fall = (up << 1) & full & ~first, (fall << 1) & full & ~first
-            plus = fall | (full & ~(down | up))
-            minus = up & down
-            if not k % self.STRIDE or k == len(text):
-                found |= self.distances(plus, minus) <= self.limits + self.STRIDE
-        return np.flatnonzero(found).tolist()
-
-    def distances(self, plus: int, minus: int) -> np.ndarray:
-        up, down = (np.bitwise_count(np.frombuffer(v.to_bytes(self.size, "little"), np.uint8)).astype(np.int64) for v in (plus, minus))
-        return np.add.reduceat(up - down, self.starts)
+            distance += (up & top != 0) - (fall & top != 0)
+            best = min(best, distance)
+            up, fall = up << 1 & full, fall << 1 & full
+            plus, minus = fall | (full & ~(down | up)), up & down
+        return best

@@ -1,8 +1,12 @@
 """Fuzzy occurrences of target lines in timed words.
 
-Targets come in bounded chunks that are broadcast; each transcript is tokenised once and a corpus-wide filter (`Bank`)
-names the few targets that it may hold. Only for those are windows scored, all lengths from one start in one pass, and
-the chronological, non-overlapping occurrences are selected on the spot: transcripts never move.
+Targets are broadcast, CHUNK characters of them at a time (some twenty thousand lines); each transcript is read and
+tokenised once for all of them, and a filter (`Bank`, BANK targets each) names the few targets that it may hold. Only for
+those are windows scored, all lengths from one start in one pass, and the chronological, non-overlapping occurrences are
+selected on the spot: transcripts never move.
+
+Candidates don't come from an index of pieces: at a similarity of 85 a quarter of a line's characters may be missing,
+evenly spread, so that no piece of four characters needs to be intact and an equi-join on pieces would lose matches.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from echoline.functions.similarity import Bank, lcs_prefixes, masks
 from echoline.functions.text import assemble, matching_tokens, transcript_tokens
 from echoline.schemas import OCCURRENCES
 
-#: Targets that are matched at a time.
-CHUNK = 256
+#: Characters of targets that are broadcast at a time, and targets that one filter holds.
+CHUNK, BANK = 4 << 20, 256
+#: Bytes a core below which a table is dealt out evenly before it is searched.
+SMALL = 64 << 20
 SHORT_TOKENS, SHORT_LETTERS = 1, 4
 
 Token = tuple[str, int, int]
@@ -110,24 +116,40 @@ def spoken(df: DataFrame, id_col: str, text_col: str, seconds_a_word: float = 0.
     return df.select(df[id_col].cast("long").alias("media_id"), timed.alias("words"))
 
 
-def in_chunks(targets: DataFrame, make: Callable[[list[tuple[int, str]]], DataFrame], chunk: int = CHUNK) -> DataFrame:
+def in_chunks(targets: DataFrame, make: Callable[[list[tuple[int, str]]], DataFrame], chunk: int | None = None) -> DataFrame:
     """The union of make(targets) over chunks of the targets, so that what is broadcast stays bounded."""
-    out, part = None, []
+    out, part, size = None, [], 0
     for row in targets.select("query_id", "text").toLocalIterator():
         part.append((row["query_id"], row["text"]))
-        if len(part) == chunk:
+        size += len(row["text"] or "") + 1
+        if size >= (chunk or CHUNK):
             done = make(part)
-            out, part = done if out is None else out.unionByName(done), []
+            out, part, size = done if out is None else out.unionByName(done), [], 0
     if part or out is None:
         done = make(part)
         out = done if out is None else out.unionByName(done)
     return out
 
 
+class Banks:
+    """Filters for any number of targets; `many` gives for each text the numbers of the targets it may hold."""
+
+    def __init__(self, targets: list[str], threshold: float):
+        self.banks = [(k, Bank(targets[k : k + BANK], threshold)) for k in range(0, len(targets), BANK)]
+
+    def many(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in texts]
+        for first, bank in self.banks:
+            for found, ks in zip(out, bank.many(texts), strict=True):
+                found.extend(first + k for k in ks)
+        return out
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it comes from fewer files than there are cores; a large table is left where it is."""
+    """df over all cores if it is small (few files may hold it); a large table is left where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if len(df.inputFiles()) < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate
+    return df.repartition(4 * cores) if size < SMALL * cores else df
 
 
 def arrow_fields(df: DataFrame, schema: str) -> pa.Schema:
@@ -149,15 +171,17 @@ def occurrences(media: DataFrame, targets: DataFrame, threshold: float = 85.0) -
         fields = arrow_fields(media, OCCURRENCES)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bank = Bank([" ".join(m) for _, m in sent.value], threshold)
+            banks = Banks([" ".join(m) for _, m in sent.value], threshold)
             for batch in batches:
                 rows = []
-                for media_id, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    tokens = transcript_tokens([w["text"] for w in words or ()])
-                    for k in bank.candidates(" ".join(t for t, _, _ in tokens)) if sent.value else ():
+                media_ids, spoken_words = (c.to_pylist() for c in batch.columns)
+                tokens = [transcript_tokens([w["text"] for w in words or ()]) for words in spoken_words]
+                candidates = banks.many([" ".join(t for t, _, _ in ts) for ts in tokens])
+                for media_id, words, ts, ks in zip(media_ids, spoken_words, tokens, candidates, strict=True):
+                    for k in ks:
                         query_id, target = sent.value[k]
-                        found = select(survivors(tokens, target, threshold), tokens, len(target))
-                        rows += [(query_id, media_id, n, *describe(w, tokens, words)) for n, w in enumerate(found)]
+                        found = select(survivors(ts, target, threshold), ts, len(target))
+                        rows += [(query_id, media_id, n, *describe(w, ts, words)) for n, w in enumerate(found)]
                 if rows:
                     yield record_batch(rows, fields)
 

@@ -32,21 +32,26 @@ def token_windows(df: DataFrame, normalized: str, *keys: str) -> DataFrame:
 def phrase_join(media: DataFrame, targets: DataFrame) -> DataFrame:
     """(query_id, media_id, tok_idx): the token positions at which a target stands in a medium.
 
-    media: (media_id, normalized); targets: (query_id, normalized). An equi-join on the first KEY tokens (all, for a
-    shorter target) finds the places, so no pair of texts is compared without a reason; whether a side is small enough
-    to broadcast is left to the optimizer, which knows its size.
+    media: (media_id, normalized); targets: (query_id, normalized). A target is cut into pieces of KEY tokens, the last
+    one flush with its end; an equi-join on whole pieces finds their places, and a target stands where all its pieces
+    fall into line. A shorter target is found by its first token and compared with the KEY tokens from there. No row
+    carries more than KEY tokens, so no pair of texts is compared without a reason and texts aren't copied; whether a
+    side is small enough to broadcast is left to the optimizer, which knows its size.
     """
     asked = targets.select("query_id", token_array(F.col("normalized")).alias("q")).where(F.size("q") > 0)
-    asked = asked.select("query_id", "q", F.least(F.size("q"), F.lit(KEY)).alias("k")).withColumn("head", F.array_join(F.slice("q", 1, F.col("k")), " "))
+    n, last = F.size("q"), F.size("q") - KEY
+    places = F.when(n >= KEY, F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(KEY)), F.array(last))))
+    pieces = asked.where(n >= KEY).select("query_id", "q", F.size(places).alias("n_pieces"), F.explode(places).alias("at"))
+    pieces = pieces.select("query_id", "n_pieces", "at", F.array_join(F.slice("q", F.col("at") + 1, KEY), " ").alias("head"))
     rows = media.select("media_id", token_array(F.col("normalized")).alias("t")).where(F.size("t") > 0)
-    places = F.transform(F.sequence(F.lit(1), F.size("t")), lambda p: F.array_join(F.slice("t", p, KEY), " "))
-    long = rows.select("media_id", "t", F.posexplode(places).alias("tok_idx", "head")).withColumn("k", F.lit(KEY))
-    found = long.join(asked.where(F.col("k") == KEY), ["head", "k"])
-    hits = found.where(F.slice("t", F.col("tok_idx") + 1, F.size("q")) == F.col("q")).select("query_id", "media_id", "tok_idx")
-    short = asked.where(F.col("k") < KEY)
-    pieces = rows.select("media_id", "t", F.posexplode("t").alias("tok_idx", "first"))
-    few = pieces.join(short.withColumn("first", F.col("q")[0]), "first").where(F.slice("t", F.col("tok_idx") + 1, F.size("q")) == F.col("q"))
-    return hits.unionByName(few.select("query_id", "media_id", "tok_idx"))
+    heads = F.transform(F.sequence(F.lit(1), F.size("t")), lambda p: F.array_join(F.slice("t", p, KEY), " "))
+    heads = rows.select("media_id", F.posexplode(heads).alias("pos", "head"))
+    found = heads.join(pieces, "head").select("query_id", "media_id", (F.col("pos") - F.col("at")).alias("tok_idx"), "n_pieces")
+    hits = found.groupBy("query_id", "media_id", "tok_idx", "n_pieces").agg(F.count(F.lit(1)).alias("n")).where("n = n_pieces")
+    short = asked.where(n < KEY).select("query_id", F.get("q", F.lit(0)).alias("first"), F.concat(F.array_join("q", " "), F.lit(" ")).alias("short"))
+    few = heads.select("media_id", F.col("pos").alias("tok_idx"), F.substring_index("head", " ", 1).alias("first"), F.concat("head", F.lit(" ")).alias("head"))
+    few = few.join(short, "first").where(F.col("head").startswith(F.col("short")))
+    return hits.select("query_id", "media_id", "tok_idx").unionByName(few.select("query_id", "media_id", "tok_idx"))
 
 
 def first_phrase(media: DataFrame, targets: DataFrame, seconds_a_word: float = 0.4) -> DataFrame:
