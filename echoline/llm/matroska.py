@@ -10,16 +10,20 @@ a message in ``error``; files without tracks or blocks give no packets.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.base import binary_text, bound_batches, map_rows
+from echoline.llm.base import binary_text, bound_batches, map_rows, spark_to_arrow
 
 # Element ids of the Matroska format.
 EBML, EBML_VERSION, EBML_READ_VERSION, MAX_ID_LENGTH, MAX_SIZE_LENGTH = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -27,13 +31,15 @@ DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741, 0x4489
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C
 DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, EBML, SEGMENT}
 
 RATE, UNIT, FRAME, FRAMES_A_BLOCK, BLOCKS_A_CLUSTER = 8000, 64, 512, 8, 8
+#: Masters inside one another at most, packets in one batch of a table.
+DEPTH, PACKET_ROWS = 64, 10_000
 XIPH, FIXED, VARIABLE = 1, 2, 3  # of the lacing bits: Xiph 01, fixed size 10, EBML 11
 
 
@@ -137,61 +143,95 @@ def demux(data: bytes) -> Media:
     return media
 
 
-def walk(data: bytes, at: int, end: int, media: Media, scope: dict) -> int:
-    """Parse the elements from at to end; returns where it stopped (an unknown-size element ends at its next peer)."""
-    while at < end:
+def integer(data: bytes, at: int, stop: int) -> int:
+    """An unsigned element that fits into a signed 64-bit column."""
+    value = int.from_bytes(data[at:stop], "big")
+    if value >> 63:
+        raise Broken(f"the number at byte {at} is out of range")
+    return value
+
+
+@dataclass
+class Level:
+    """A master element that is being read: its id, its end, whether its size is unknown, and what its elements share."""
+
+    ident: int
+    end: int
+    open: bool
+    scope: dict
+
+
+def walk(data: bytes, at: int, end: int, media: Media, scope: dict) -> None:
+    """Parse the elements from at to end. A master of unknown size ends at the next top-level element."""
+    levels = [Level(0, end, False, scope)]
+    while levels:
+        level = levels[-1]
+        if at >= level.end:
+            close(levels.pop(), media)
+            continue
         began = at
-        ident, at, _ = read_vint(data, at, end, keep_marker=True)
-        if scope.get("open") and (ident in TOP_LEVEL):
-            return began
-        size, at, unknown = read_vint(data, at, end)
-        stop = end if unknown else at + size
-        if stop > end:
+        ident, at, _ = read_vint(data, at, level.end, keep_marker=True)
+        while levels[-1].open and ident in TOP_LEVEL:
+            close(levels.pop(), media)
+        level = levels[-1]
+        size, at, unknown = read_vint(data, at, level.end)
+        stop = level.end if unknown else at + size
+        if stop > level.end:
             raise Broken(f"the element at byte {began} is longer than what holds it")
-        if ident in MASTERS:
-            inner = {"open": unknown and ident != SEGMENT, "segment": at if ident == SEGMENT else scope.get("segment", 0)}
-            if ident == CLUSTER:
-                media.clusters.append(began - inner["segment"])
-                inner["base"] = 0
-            elif ident == TRACK_ENTRY:
-                inner["track"] = Track()
-            elif ident == AUDIO:
-                inner["track"] = scope.get("track")
-            elif ident in (CUE_POINT, CUE_TRACK_POSITIONS):
-                inner["cue"] = scope.get("cue", [0, 0, 0])
-            if ident == BLOCK_GROUP:
-                inner["base"] = scope.get("base", 0)
-            at = walk(data, at, stop, media, inner)
-            if ident == TRACK_ENTRY:
-                media.tracks[inner["track"].number] = inner["track"]
-            elif ident == CUE_TRACK_POSITIONS:
-                media.cues.append(tuple(inner["cue"]))
+        if ident not in MASTERS:
+            if unknown:
+                raise Broken(f"the element at byte {began} has no size")
+            leaf(data, ident, at, stop, media, level.scope)
+            at = stop
             continue
-        if unknown:
-            raise Broken(f"the element at byte {began} has no size")
-        leaf(data, ident, at, stop, media, scope)
-        at = stop
-    return at
+        if len(levels) > DEPTH:
+            raise Broken(f"the element at byte {began} is nested too deeply")
+        inner = {"segment": at if ident == SEGMENT else level.scope.get("segment", 0)}
+        if ident == CLUSTER:
+            media.clusters.append(began - inner["segment"])
+            inner["base"] = 0
+        elif ident == TRACK_ENTRY:
+            inner["track"] = Track()
+        elif ident == AUDIO:
+            inner["track"] = level.scope.get("track")
+        elif ident in (CUE_POINT, CUE_TRACK_POSITIONS):
+            inner["cue"] = list(level.scope.get("cue", [0, 0, 0])) if ident == CUE_TRACK_POSITIONS else [0, 0, 0]
+        elif ident == BLOCK_GROUP:
+            inner |= {"base": level.scope.get("base", 0), "first": len(media.packets)}
+        levels.append(Level(ident, stop, unknown and ident != SEGMENT, inner))
+
+
+def close(level: Level, media: Media) -> None:
+    """What is known once a master element ends."""
+    if level.ident == TRACK_ENTRY:
+        media.tracks[level.scope["track"].number] = level.scope["track"]
+    elif level.ident == CUE_TRACK_POSITIONS:
+        media.cues.append(tuple(level.scope["cue"]))
+    elif level.ident == BLOCK_GROUP and level.scope.get("refers"):  # its block needs another one, so it is no key frame
+        first = level.scope["first"]
+        media.packets[first:] = [(*packet[:-1], False) for packet in media.packets[first:]]
 
 
 def leaf(data: bytes, ident: int, at: int, stop: int, media: Media, scope: dict) -> None:
     if ident in (SIMPLE_BLOCK, BLOCK):
         block(data, at, stop, media, scope.get("base", 0), ident == SIMPLE_BLOCK)
+    elif ident == REFERENCE_BLOCK:
+        scope["refers"] = True
     elif ident == TIMESTAMP:
-        scope["base"] = int.from_bytes(data[at:stop], "big")
+        scope["base"] = integer(data, at, stop)
     elif ident == TIMESTAMP_SCALE:
-        media.scale = int.from_bytes(data[at:stop], "big")
+        media.scale = integer(data, at, stop)
     elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION) and "cue" in scope:
-        scope["cue"][{CUE_TIME: 0, CUE_TRACK: 1, CUE_CLUSTER_POSITION: 2}[ident]] = int.from_bytes(data[at:stop], "big")
+        scope["cue"][{CUE_TIME: 0, CUE_TRACK: 1, CUE_CLUSTER_POSITION: 2}[ident]] = integer(data, at, stop)
     elif (track := scope.get("track")) is not None:
         if ident == TRACK_NUMBER:
-            track.number = int.from_bytes(data[at:stop], "big")
+            track.number = integer(data, at, stop)
         elif ident == TRACK_TYPE:
-            track.kind = int.from_bytes(data[at:stop], "big")
+            track.kind = integer(data, at, stop)
         elif ident == CODEC_ID:
             track.codec = data[at:stop].decode("ascii", "replace").rstrip("\0")
         elif ident == DEFAULT_DURATION:
-            track.default_ns = int.from_bytes(data[at:stop], "big")
+            track.default_ns = integer(data, at, stop)
         elif ident == SAMPLING_FREQUENCY and stop - at in (4, 8):
             track.frequency = struct.unpack(">f" if stop - at == 4 else ">d", data[at:stop])[0]
 
@@ -200,6 +240,8 @@ def block(data: bytes, at: int, stop: int, media: Media, base: int, simple: bool
     track, at, _ = read_vint(data, at, stop)
     if at + 3 > stop:
         raise Broken(f"the block at byte {at} breaks off")
+    if track >> 31:
+        raise Broken(f"the track of the block at byte {at} is out of range")
     relative, flags = struct.unpack_from(">hB", data, at)
     at += 3
     kind = (flags >> 1) & 3
@@ -232,6 +274,8 @@ def block(data: bytes, at: int, stop: int, media: Media, base: int, simple: bool
             raise Broken(f"the lacing at byte {at} is longer than its block")
     step = media.tracks[track].default_ns if track in media.tracks else 0
     start = (base + relative) * media.scale
+    if not -(1 << 63) <= start <= start + len(sizes) * step < 1 << 63:
+        raise Broken(f"the time of the block at byte {at} is out of range")
     for lace, n in enumerate(sizes):
         media.packets.append((track, start + lace * step, at, n, len(media.clusters) - 1, lace, bool(flags & 0x80) or not simple))
         at += n
@@ -270,30 +314,58 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 PACKETS = "id long, track int, codec string, packet_idx int, timestamp_ns long, byte_offset long, byte_size long, cluster_idx int, lace_idx int, keyframe boolean, cue_time long, error string"
+CUE_ROWS = "id long, cue_idx int, cue_time long, cue_ns long, track long, cluster_position long, cluster_idx int"
+
+
+def packets_of(media: Media) -> Iterator[tuple]:
+    """(track, codec, number, ns, offset, size, cluster, lace, key, cue time) of each packet; the cue is the last one of
+    the packet's track and cluster that isn't later than the packet."""
+    cues: dict[tuple[int, int], list[int]] = {}
+    for time, track, at in media.cues:
+        cues.setdefault((track, at), []).append(time)
+    for times in cues.values():
+        times.sort()
+    for k, (track, ns, at, n, cluster, lace, key) in enumerate(media.packets):
+        times = cues.get((track, media.clusters[cluster]), ()) if cluster >= 0 else ()
+        before = bisect.bisect_right(times, ns, key=lambda t: t * media.scale)
+        yield track, media.tracks[track].codec if track in media.tracks else None, k, ns, at, n, cluster, lace, key, times[before - 1] if before else None
 
 
 def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row for each packet of each file in media_col; a file without packets gives one row if it has a fault."""
-    import pyarrow as pa
+    """One row for each packet of each file in media_col, and one with `error` for each file with a fault."""
 
-    from echoline.llm.base import spark_to_arrow
+    def rows(doc: int, media: Media) -> Iterator[tuple]:
+        yield from ((doc, *packet, None) for packet in packets_of(media))
+        if media.error:
+            yield (doc, *[None] * 10, media.error)
 
-    bound_batches(df.sparkSession)
-    fields = spark_to_arrow(df.sparkSession, PACKETS)
+    return tabled(df, id_col, media_col, rows, PACKETS)
 
-    def rows(doc: int, data: bytes | None) -> list[tuple]:
-        media = demux(data or b"")
-        cue = {at: time for time, _, at in media.cues}
-        found = [(doc, t, media.tracks[t].codec if t in media.tracks else None, k, ns, at, n, c, lace, key, cue.get(media.clusters[c]) if c >= 0 else None, None) for k, (t, ns, at, n, c, lace, key) in enumerate(media.packets)]
-        return found + [(doc, *[None] * 10, media.error)] * bool(media.error)
+
+def cue_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    """One row for each cue of each file: time, track, and the cluster it points at (cluster_idx null: there is none)."""
+
+    def rows(doc: int, media: Media) -> Iterator[tuple]:
+        place = {at: k for k, at in enumerate(media.clusters)}
+        for k, (time, track, at) in enumerate(media.cues):
+            ns = time * media.scale
+            yield doc, k, time, ns if ns < 1 << 63 else None, track, at, place.get(at)
+
+    return tabled(df, id_col, media_col, rows, CUE_ROWS)
+
+
+def tabled(df: DataFrame, id_col: str, media_col: str, rows: Callable[[int, Media], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows of each file, in batches of PACKET_ROWS at most."""
+    bound_batches(df.sparkSession)
+    fields = spark_to_arrow(df.sparkSession, schema)
 
     def run(batches):
         for batch in batches:
             for doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if found := rows(doc, data):
+                for found in itertools.batched(rows(doc, demux(data or b"")), PACKET_ROWS):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, PACKETS)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,3 +81,47 @@ def test_packet_table(spark):
     assert packets[-2]["cue_time"] == 512 or packets[-2]["cue_time"] == 0
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"junk"))], "id long, media binary")
     assert {r["error"] for r in mkv.packet_table(bad, "id", "media").collect()} == {"no EBML header"}
+
+
+def test_deep_nesting_is_a_fault():
+    body = b""
+    for _ in range(1500):
+        body = mkv.element(mkv.BLOCK_GROUP, body)
+    media = mkv.demux(mkv.HEADER + mkv.element(mkv.SEGMENT, body))
+    assert "nested too deeply" in media.error
+
+
+@pytest.mark.parametrize("inner", [mkv.number(mkv.TIMESTAMP, 1 << 63), mkv.number(mkv.TIMESTAMP, 1 << 62) + mkv.element(mkv.SIMPLE_BLOCK, b"\x81\0\0\x80abc"), mkv.element(mkv.SIMPLE_BLOCK, b"\x08\xff\xff\xff\xff\0\0\x80abc"), mkv.number(mkv.TIMESTAMP, 1 << 90)])
+def test_numbers_out_of_range_are_faults(spark, inner):
+    good = mkv.number(mkv.TIMESTAMP, 7) + mkv.element(mkv.SIMPLE_BLOCK, b"\x81\0\0\x80abc")
+    data = mkv.HEADER + mkv.element(mkv.SEGMENT, mkv.TRACK + mkv.element(mkv.CLUSTER, good) + mkv.element(mkv.CLUSTER, inner))
+    rows = mkv.packet_table(spark.createDataFrame([(1, bytearray(data))], "id long, media binary"), "id", "media").collect()
+    assert [(r["timestamp_ns"], r["byte_size"]) for r in rows if not r["error"]] == [(7_000_000, 3)]
+    assert ["out of range" in r["error"] for r in rows if r["error"]] == [True]
+    for scale in (1 << 62, 1 << 63):
+        media = mkv.demux(mkv.HEADER + mkv.element(mkv.SEGMENT, mkv.element(mkv.INFO, mkv.number(mkv.TIMESTAMP_SCALE, scale)) + mkv.element(mkv.CLUSTER, good)))
+        assert "out of range" in media.error
+
+
+def test_cues_of_two_tracks(spark):
+    """Several cues in one cluster, for both tracks; frames that refer to others are no key frames."""
+    entry = lambda n: mkv.element(mkv.TRACK_ENTRY, mkv.number(mkv.TRACK_NUMBER, n) + mkv.element(mkv.CODEC_ID, b"V%d" % n))
+    tracks = mkv.element(mkv.TRACKS, entry(1) + entry(2))
+    frame = lambda track, at: bytes([0x80 | track]) + struct.pack(">hB", at, 0) + b"xy"
+    group = lambda track, at, *more: mkv.element(mkv.BLOCK_GROUP, mkv.element(mkv.BLOCK, frame(track, at)) + b"".join(more))
+    refers = mkv.element(mkv.REFERENCE_BLOCK, b"\xff")
+    cluster = mkv.element(mkv.CLUSTER, mkv.number(mkv.TIMESTAMP, 100) + group(1, 0) + group(2, 1) + group(1, 10, refers) + group(1, 20) + group(2, 30, refers))
+    point = lambda time, track: mkv.element(mkv.CUE_POINT, mkv.number(mkv.CUE_TIME, time) + mkv.element(mkv.CUE_TRACK_POSITIONS, mkv.number(mkv.CUE_TRACK, track) + mkv.number(mkv.CUE_CLUSTER_POSITION, len(tracks))))
+    data = mkv.HEADER + mkv.element(mkv.SEGMENT, tracks + cluster + mkv.element(mkv.CUES, point(120, 1) + point(100, 1) + point(101, 2) + mkv.element(mkv.CUE_POINT, mkv.number(mkv.CUE_TIME, 5) + mkv.element(mkv.CUE_TRACK_POSITIONS, mkv.number(mkv.CUE_TRACK, 1) + mkv.number(mkv.CUE_CLUSTER_POSITION, 999_999)))))
+    files = spark.createDataFrame([(1, bytearray(data)), (2, None)], "id long, media binary")
+    got = mkv.packet_table(files, "id", "media").where("id = 1").orderBy("packet_idx").collect()
+    assert [(r["track"], r["codec"], r["keyframe"], r["cue_time"]) for r in got] == [(1, "V1", True, 100), (2, "V2", True, 101), (1, "V1", False, 100), (1, "V1", True, 120), (2, "V2", False, 101)]
+    cues = mkv.cue_table(files, "id", "media").orderBy("cue_idx").collect()
+    assert [(r["cue_time"], r["cue_ns"], r["track"], r["cluster_idx"]) for r in cues] == [(120, 120_000_000, 1, 0), (100, 100_000_000, 1, 0), (101, 101_000_000, 2, 0), (5, 5_000_000, 1, None)]
+
+
+def test_a_cue_point_of_several_positions():
+    """One point may name a place for each track; its time counts for all of them."""
+    places = b"".join(mkv.element(mkv.CUE_TRACK_POSITIONS, mkv.number(mkv.CUE_TRACK, t) + mkv.number(mkv.CUE_CLUSTER_POSITION, 40 + t)) for t in (1, 2))
+    media = mkv.demux(mkv.HEADER + mkv.element(mkv.SEGMENT, mkv.element(mkv.CUES, mkv.element(mkv.CUE_POINT, mkv.number(mkv.CUE_TIME, 9) + places))))
+    assert media.cues == [(9, 1, 41), (9, 2, 42)]
