@@ -6,7 +6,8 @@ with the least weighted logistic loss; a bit weighs as much as it separates the
 codewords are close are flagged as ambiguous.
 
 The fit uses snippets of at most ROWS_A_LANGUAGE documents of each language (a documented bound, drawn by a hash of the
-id); prediction covers every text in full.
+id); prediction covers every text in full. The languages themselves, a short list, come to the driver. Of codewords that
+are equally near the one of the alphabetically first language is chosen; such a text is flagged as ambiguous.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, or when nothing can be learned; one
 learned language gives that language with score 1; repeated rows predict alike.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoline.llm.base import binary_text, bound_batches, spark_to_arrow
@@ -51,8 +52,9 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best[1]
 
 
-def ngrams(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document) of every n-gram of every order; n-grams don't cross documents."""
+def ngrams(buffer: np.ndarray, offsets: np.ndarray, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, document) of every n-gram of every order (with `starts`, of those that begin at the first `starts`
+    bytes); n-grams don't cross documents."""
     folded = FOLD[buffer].astype(np.uint32)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     found, owners = [], []
@@ -61,6 +63,7 @@ def ngrams(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         packed = (packed[:-1] << np.uint32(8)) | folded[n - 1 :] if len(packed) > 1 else packed[:0]
         if n in ORDERS:
             inside = owner[: len(packed)] == owner[n - 1 : n - 1 + len(packed)]
+            inside[starts if starts is not None else len(inside) :] = False
             bucket = (packed * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
             found.append(bucket[inside].astype(np.int32) + (ORDERS.index(n) << BUCKET_BITS))
             owners.append(owner[: len(packed)][inside])
@@ -85,6 +88,20 @@ def margins(model_weights: np.ndarray, bias: np.ndarray, bucket: np.ndarray, own
     return out / np.sqrt(np.maximum(count, 1))[:, None] + bias
 
 
+def totals(model_weights: np.ndarray, joined: np.ndarray, offsets: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(summed weights for each bit, n-grams) of each text, step bytes at a time; each n-gram counts in the piece that it
+    begins in, so pieces give the same sums as whole texts."""
+    n = len(offsets) - 1
+    sums, counts = np.zeros((n, model_weights.shape[1])), np.zeros(n)
+    for at in range(0, len(joined), step):
+        piece = joined[at : at + step + max(ORDERS) - 1]
+        bucket, owner = ngrams(piece, np.clip(offsets - at, 0, len(piece)), step)
+        for bit in range(sums.shape[1]):
+            sums[:, bit] += np.bincount(owner, model_weights[:, bit][bucket], minlength=n)
+        counts += np.bincount(owner, minlength=n)
+    return sums, counts
+
+
 def decode(model: Model, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language index, score, ambiguous) by least weighted logistic loss."""
     loss = np.stack([(np.logaddexp(0, -f * word) * model.bit_weight).sum(1) for word in model.code], 1)
@@ -95,29 +112,31 @@ def decode(model: Model, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return best, p[np.arange(len(p)), best], (order[:, -1] - order[:, -2] < AMBIGUOUS_MARGIN) if p.shape[1] > 1 else np.zeros(len(p), bool)
 
 
-def snippets(docs: DataFrame, languages: list[str], counts: dict[str, int], fold_column, most: int) -> list[tuple[str, bytes]]:
-    """(language, snippet) of at most `most` documents of each language."""
-    share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, most / counts[lang])))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+def snippets(docs: DataFrame, counts: dict[str, int], fold_column, most: int) -> list[tuple[str, bytes]]:
+    """(language, snippet) of at most `most` documents of each language: a draw by the id's hash of about twice as many,
+    and of these the first of each language by the same hash, so that no language crowds out another."""
+    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, 2 * most / n)))])
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(11))
+    draw = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & fold_column(F.col("doc_id").cast("long"))).where(draw < share[F.col("lang")])
     bound_batches(docs.sparkSession)
-    schema = "lang string, id long, snippet binary"
+    schema = "lang string, id long, key long, snippets array<binary>"
     fields = spark_to_arrow(docs.sparkSession, schema)
 
     def run(batches):
         for batch in batches:
             out = []
-            for lang, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rng = np.random.default_rng((abs(doc or 0), len(text)))
-                for n in SNIPPETS:
-                    at = int(rng.integers(0, max(1, len(text) - n + 1)))
-                    out.append((lang, doc, text[at : at + n]))
+                places = [(int(rng.integers(0, max(1, len(text) - n + 1))), n) for n in SNIPPETS]
+                out.append((lang, doc, key, [text[at : at + n] for at, n in places]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
 
-    found = rows.select("lang", F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
-    limit = 2 * most * len(languages) * len(SNIPPETS)
-    return [(r["lang"], bytes(r["snippet"])) for r in found.orderBy("lang", "id", "snippet").limit(limit).collect()]
+    found = rows.select("lang", F.col("doc_id").cast("long").alias("id"), key.alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    first = Window.partitionBy("lang").orderBy("key", "id", "snippets")
+    found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).orderBy("lang", "n")
+    return [(r["lang"], bytes(s)) for r in found.collect() for s in r["snippets"]]  # `most` rows a language
 
 
 def learn(docs: DataFrame, fold_column=lambda c: F.lit(True), most: int = ROWS_A_LANGUAGE) -> Model:
@@ -129,7 +148,7 @@ def learn(docs: DataFrame, fold_column=lambda c: F.lit(True), most: int = ROWS_A
     model = Model(languages, code, np.zeros((dims, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.ones(code.shape[1], np.float32))
     if len(languages) < 2:
         return model
-    rows = [(lang, text) for lang, text in snippets(docs, languages, counts, fold_column, most) if text.strip()]
+    rows = [(lang, text) for lang, text in snippets(docs, counts, fold_column, most) if text.strip()]
     if not rows:
         return model
     place = {lang: k for k, lang in enumerate(languages)}
@@ -178,15 +197,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     room -= len(texts[todo[n]])
                     n += 1
                 part, todo = todo[:n], todo[n:]
-                sums, counts = np.zeros((n, m.code.shape[1])), np.zeros(n)
-                offsets = np.cumsum([0, *(len(texts[k]) for k in part)])
                 joined = np.frombuffer(b"".join(texts[k] for k in part), np.uint8)
-                for at in range(0, len(joined), 4 * STEP_BYTES):  # a very long text is scored piece by piece, with the overlap of an n-gram
-                    piece = joined[at : at + 4 * STEP_BYTES + max(ORDERS) - 1]
-                    bucket, owner = ngrams(piece, np.clip(offsets - at, 0, len(piece)))
-                    for bit in range(sums.shape[1]):
-                        sums[:, bit] += np.bincount(owner, m.weights[:, bit][bucket], minlength=n)
-                    counts += np.bincount(owner, minlength=n)
+                sums, counts = totals(m.weights, joined, np.cumsum([0, *(len(texts[k]) for k in part)]), 4 * STEP_BYTES)
                 best, p, close = decode(m, sums / np.sqrt(np.maximum(counts, 1))[:, None] + m.bias)
                 for k, i, s, c in zip(part, best.tolist(), p.tolist(), close.tolist(), strict=True):
                     lang[k], score[k], unsure[k] = m.languages[i], s, c
