@@ -119,16 +119,17 @@ class SlotMap:
         return cls(max((r["shard"] for r in rows), default=-1) + 1, list(versions.values()))
 
 
-def slot_of(id_column, slots: int = VIRTUAL_SLOTS):
-    """The virtual slot of a record, a function of its id alone."""
-    digest = F.md5(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary"))
+def slot_of(id_column, text_crc32, slots: int = VIRTUAL_SLOTS):
+    """The virtual slot of a record, a function of its id and its text's checksum, so that rows without an id, or many
+    rows of one id, spread over the slots as far as their texts differ."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(id_column.cast("string"), F.lit("")), text_crc32.cast("string")).cast("binary"))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = VIRTUAL_SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, vslot); the text itself goes no further than the scan."""
     raw = F.coalesce(docs[text_col].cast("binary"), F.lit("").cast("binary"))
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + ROW_OVERHEAD).alias("size"), F.crc32(raw).alias("text_crc32"), slot_of(docs[id_col], slots).alias("vslot"))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + ROW_OVERHEAD).alias("size"), F.crc32(raw).alias("text_crc32"), slot_of(docs[id_col], F.crc32(raw), slots).alias("vslot"))
 
 
 def slot_totals(records: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[list[int], list[int]]:
@@ -139,23 +140,35 @@ def slot_totals(records: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[list[in
     return size, rows
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = None, slots: int | None = None, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """Each record's shard under the law of near-equal bytes, and its place in the shard, gapless from 0.
 
     The map is stored at map_path (by default in the shared work folder). A map found there is rebalanced for these
-    records, so that few of them change their shard.
+    records, so that few of them change their shard. It also says how many slots and shards there are (SHARDS and
+    VIRTUAL_SLOTS without one): more shards than it has are added one by one; fewer, or another number of slots, are a
+    ValueError.
 
     Places are counted per virtual slot and shifted by the rows of the shard's earlier slots, so no task ever holds
     a whole shard.
     """
     spark = docs.sparkSession
-    records = persist(sized(docs, id_col, text_col, slots), "shard-records")
-    size, rows = slot_totals(records, slots)
     slot_map = None
     if map_path:
         with contextlib.suppress(AnalysisException):  # no map yet
             slot_map = SlotMap.load(spark, map_path)
-    slot_map = (slot_map or SlotMap(shards).pack(size)).rebalance(size)
+    if slot_map and slots not in (None, len(slot_map.current)):
+        raise ValueError(f"the map at {map_path} has {len(slot_map.current)} slots, not {slots}")
+    if slot_map and shards is not None and shards < slot_map.shards:
+        raise ValueError(f"the map at {map_path} has {slot_map.shards} shards, more than {shards}")
+    slots = len(slot_map.current) if slot_map else slots or VIRTUAL_SLOTS
+    records = persist(sized(docs, id_col, text_col, slots), "shard-records")
+    size, rows = slot_totals(records, slots)
+    if slot_map:
+        while slot_map.shards < (shards or 0):
+            slot_map.add_shard(size)
+    else:
+        slot_map = SlotMap(shards or SHARDS).pack(size)
+    slot_map.rebalance(size)
     slot_map.save(spark, map_path or f"{work_dir(spark)}/slot-map-{uuid.uuid4().hex}")
     shards = slot_map.shards
     begun, offsets = [0] * shards, []

@@ -63,3 +63,46 @@ def test_edits_move_few_slots():
 def test_degenerate_maps(sizes):
     m = sharding.SlotMap(3).pack(sizes).rebalance(sizes).add_shard(sizes)
     assert len(m.current) == len(sizes)
+
+
+def test_a_stored_map_of_another_shape(spark, tmp_path):
+    docs, path = make_docs(spark, [(k, "t" * (k % 9)) for k in range(200)]), str(tmp_path / "map")
+    first = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=3, slots=64, map_path=path).collect()}
+    for wrong in ({"slots": 128}, {"shards": 2}):
+        with pytest.raises(ValueError, match="the map at"):
+            sharding.shard(docs, map_path=path, **wrong)
+    grown = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=5, map_path=path).collect()}
+    assert set(grown.values()) == set(range(5))
+    stored = sharding.SlotMap.load(spark, path)
+    assert (stored.shards, len(stored.current)) == (5, 64)
+    assert sum(first[d] != grown[d] for d in first) < 130
+
+
+def test_rows_of_one_id_spread(spark):
+    """A third of all rows without an id, a third with one: shards stay near equal in bytes."""
+    docs = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    loads = [r["b"] for r in sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(loads) == 40
+    assert max(loads) - min(loads) <= 0.01 * sum(loads) / 40
+
+
+def test_shard_equals_a_plain_computation(spark, prose):
+    """Slots by digest, packing by falling size onto the lightest shard, places in order of slot and id: all by hand."""
+    import hashlib
+
+    rows = [(k * 7919 % 1000, prose(k, k % 40)) for k in range(600)]
+    got = {(r["doc_id"], r["text_crc32"]): (r["vslot"], r["shard"], r["slot"]) for r in sharding.shard(make_docs(spark, rows), shards=5, slots=32).collect()}
+    crc = lambda t: zlib.crc32(t.encode())
+    slot = {(d, crc(t)): int(hashlib.md5(f"{d}:{crc(t)}".encode()).hexdigest()[:8], 16) % 32 for d, t in rows}
+    size = [sum(len(t.encode()) + 16 for d, t in rows if slot[d, crc(t)] == s) for s in range(32)]
+    load, where = [0] * 5, {}
+    for s in sorted(range(32), key=lambda s: (-size[s], s)):
+        where[s] = min(range(5), key=lambda k: (load[k], k))
+        load[where[s]] += size[s]
+    moved = sharding.SlotMap(5, [[where[s] for s in range(32)]]).rebalance(size).current
+    taken, wanted = [0] * 5, {}
+    for s in range(32):
+        for key in sorted(k for k, v in slot.items() if v == s):
+            wanted[key] = (s, moved[s], taken[moved[s]])
+            taken[moved[s]] += 1
+    assert got == wanted
