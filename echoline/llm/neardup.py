@@ -67,14 +67,16 @@ def bands_of(h: np.ndarray, weight: np.ndarray, first: np.ndarray, table: tuple)
     """Band keys (documents x BANDS) of the weighted sets that begin at `first`.
 
     A sample is the element of least a, where t = floor(log(w) / r + beta), log a = log c - r * (t - beta + 1). For one
-    element a names t, so (a, element) is the sample; equal a are told apart by the element's bits.
+    element a names t, so (a, element) is the sample. Elements that share a draw, as they do in long texts, have equal a;
+    they are told apart by bits that differ from sample to sample, so that samples of long texts stay independent.
     """
     r, log_c, beta, multipliers = table
     log_w = np.log(weight).astype(np.float32)
-    low = mix(h + np.uint64(SEED)) & np.uint64(0xFFFFFFFF)
     out = np.zeros((len(first), BANDS), np.uint64)
     for k, multiplier in enumerate(multipliers):
-        at = ((h * multiplier) >> np.uint64(64 - DRAW_BITS)).astype(np.intp)
+        product = h * multiplier
+        at = (product >> np.uint64(64 - DRAW_BITS)).astype(np.intp)
+        low = (product >> np.uint64(64 - DRAW_BITS - 32)) & np.uint64(0xFFFFFFFF)
         rk, bk = r[at], beta[at]
         t = np.floor(log_w / rk + bk)
         bits = (log_c[at] - rk * (t - bk + np.float32(1))).view(np.int32)
@@ -136,7 +138,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             rows.append((ids[d], marks[0][k].tobytes() + marks[1][k].tobytes(), float(whole[d]), float(common[d]), bands[k].view(np.int64).tolist(), h[part][several].tobytes(), weight[part][several].astype("<f4").tobytes()))
         return as_table(rows, fields)
 
-    shared = repeated(chunks, codes, n_buckets)
+    shared = repeated(chunks, codes)
     return chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(sketch, SKETCH)
 
 

@@ -1,7 +1,7 @@
 """Words, window hashes, and the exchange that counts window hashes over the whole corpus.
 
 Texts are read as bytes in numpy: word hashes come from prefix sums of a polynomial, window hashes from the hashes of their words.
-Documents are dealt into chunks of a few MB by a hash of the id. Each chunk sends every hash that it has once, packed by
+Documents are dealt into chunks of a few MB by a hash of id and text. Each chunk sends every hash that it has once, packed by
 bucket; the buckets add up the documents and answer, to the chunks concerned, only what a chunk can't know by itself.
 Rows of the exchange never outnumber the hashes, buckets and chunks grow with the input, and a hash that every document
 has arrives once a chunk, not once a document.
@@ -125,11 +125,12 @@ def sizes(docs: DataFrame, text_col: str) -> tuple[int, int, int]:
 
 
 def chunked(docs: DataFrame, n_chunks: int, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """(id, text, chunk[, rest]): documents dealt into chunks by a hash of the id and row content, once for all passes."""
+    """(id, text, chunk[, rest]): documents dealt into chunks by a hash of the id and the text, once for all passes; rows
+    without an id, or many of one id, spread as far as their texts differ."""
     rows = docs.select(
         docs[id_col].cast("long").alias("id"),
         docs[text_col].cast("binary").alias("text"),
-        F.pmod(F.xxhash64(docs[id_col].cast("long")), F.lit(n_chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(docs[id_col].cast("long"), docs[text_col]), F.lit(n_chunks)).cast("int").alias("chunk"),
         *([F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest")] if carry else []),
     )
     parts = max(1, min(n_chunks, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_chunks // 4)))
@@ -140,14 +141,16 @@ SENT = "bucket int, chunk int, keys binary, multi binary"
 ANSWER = "chunk int, bucket int, keys binary, df binary"
 
 
-def pack_counts(chunk: int, code: np.ndarray, count: np.ndarray, n_buckets: int, fields: pa.Schema) -> pa.Table:
-    """A row for each bucket: its 32-bit keys, and place and number of those with more than one text."""
-    cut = np.searchsorted(code, np.arange(n_buckets + 1, dtype=np.uint64) << np.uint64(32))
+def pack_counts(chunk: int, code: np.ndarray, count: np.ndarray, fields: pa.Schema) -> pa.Table:
+    """A row for each bucket that the codes (in order) fall into: its 32-bit keys, and place and number of those with
+    more than one text. The cost depends on the codes alone, however many buckets there are."""
+    bucket = code >> np.uint64(32)
+    edge = np.append(np.flatnonzero(np.diff(bucket, prepend=~bucket[:1])), len(code)).tolist()
     rows = []
-    for b in np.flatnonzero(np.diff(cut)).tolist():
-        c, n = code[cut[b] : cut[b + 1]], count[cut[b] : cut[b + 1]]
+    for low, high in zip(edge[:-1], edge[1:], strict=True):
+        c, n = code[low:high], count[low:high]
         several = np.flatnonzero(n > 1)
-        rows.append((b, chunk, (c & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), np.stack([several, n[several]], 1).astype("<u4").tobytes()))
+        rows.append((int(bucket[low]), chunk, (c & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), np.stack([several, n[several]], 1).astype("<u4").tobytes()))
     return as_table(rows, fields)
 
 
@@ -156,7 +159,7 @@ def as_table(rows: list[tuple], fields: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, fields, strict=True)], schema=fields)
 
 
-def repeated(chunks: DataFrame, codes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], n_buckets: int) -> DataFrame:
+def repeated(chunks: DataFrame, codes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """ANSWER rows: for each chunk, the keys that texts of other chunks have too, and how many texts have them in all.
 
     codes(table of a chunk) gives (code, owner) of each hash, owners in order.
@@ -167,7 +170,7 @@ def repeated(chunks: DataFrame, codes: Callable[[pa.Table], tuple[np.ndarray, np
 
     def send(chunk_table: pa.Table) -> pa.Table:
         chunk = chunk_table.column("chunk")[0].as_py()
-        return pack_counts(chunk, *distinct_counts(*codes(chunk_table)), n_buckets, sent_fields)
+        return pack_counts(chunk, *distinct_counts(*codes(chunk_table)), sent_fields)
 
     def count(bucket_table: pa.Table) -> pa.Table:
         bucket = bucket_table.column("bucket")[0].as_py()

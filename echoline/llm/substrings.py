@@ -100,8 +100,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
         bucket = key_bucket(key, n_buckets)
         order = np.argsort(bucket, kind="stable")
         key, owner, bucket = key[order], owner[order], bucket[order]
-        edge = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        return as_table([(b, chunk, key[edge[b] : edge[b + 1]].tobytes(), ids[owner[edge[b] : edge[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(edge)).tolist()], offer_fields)
+        edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+        return as_table([(int(bucket[low]), chunk, key[low:high].tobytes(), ids[owner[low:high]].tobytes()) for low, high in zip(edge[:-1], edge[1:], strict=True)], offer_fields)
 
     def settle(table: pa.Table) -> pa.Table:
         """The smallest id of each window over all chunks, to the chunks whose own is larger."""
@@ -150,7 +150,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
             out = out.append_column("text", pa.array(new_texts, pa.binary())).append_column("rest", table.column("rest").take(pa.array(order)))
         return out
 
-    shared = repeated(chunks, anchor_codes, n_buckets)
+    shared = repeated(chunks, anchor_codes)
     offers = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(offer, OFFERS)
     owners = offers.groupBy("bucket").applyInArrow(settle, OWNERS)
     return chunks.groupBy("chunk").cogroup(owners.groupBy("chunk")).applyInArrow(finish, schema)
