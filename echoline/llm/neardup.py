@@ -1,8 +1,9 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is its weighted set of five-word shingles (ASCII-lower-cased words; a shorter text is one shingle). A
-shingle weighs tf * (1 + DAMPING * log((1 + N) / (1 + df)) / log(1 + N)): the inverse document frequency is damped, so
-that in a group of thousands of copies, whose common shingles are frequent, an edited word doesn't outweigh the rest.
+shingle weighs tf * idf with the normalised inverse document frequency 1 + log((1 + N) / (1 + df)) / log(1 + N): from one
+for what every document has to nearly two for what one document alone has, at any N. (Without the division by log(1 + N) the
+weight of rare shingles grows with the corpus, and edited words outweigh what a group of thousands of copies shares.)
 
 1. The document frequencies of all shingles come from the corpus-wide exchange of `shingles`.
 2. A shingle that one document alone has is shared with no other, so a document whose repeated shingles hold less than
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from echoline.llm.base import bound_batches, map_rows, persist, spark_to_arrow
 from echoline.llm.shingles import LOWER, STEP, Texts, answers, as_table, chunked, deal, distinct_counts, look_up, mix, repeated, sizes
 
-WIDTH, THRESHOLD, DAMPING = 5, 0.8, 0.25
+WIDTH, THRESHOLD = 5, 0.8
 ROWS, BANDS, SEED = 5, 25, 20240501
 #: Rounds of tests against the centre of a bucket, before single pairs are tested.
 STARS = 2
@@ -87,7 +88,7 @@ def bands_of(h: np.ndarray, weight: np.ndarray, first: np.ndarray, table: tuple)
 
 
 def idf(df: np.ndarray, n_documents: int) -> np.ndarray:
-    return 1 + DAMPING * np.log((1 + n_documents) / (1 + df)) / math.log(1 + max(1, n_documents))
+    return 1 + np.log((1 + n_documents) / (1 + df)) / math.log(1 + max(1, n_documents))
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -19,7 +19,7 @@ def weighted_sets(rows):
         sets[d] = Counter(grams)
     df = Counter(g for s in sets.values() for g in s)
     n = len(rows)
-    return {d: {g: c * (1 + neardup.DAMPING * math.log((1 + n) / (1 + df[g])) / math.log(1 + n)) for g, c in s.items()} for d, s in sets.items()}
+    return {d: {g: c * (1 + math.log((1 + n) / (1 + df[g])) / math.log(1 + n)) for g, c in s.items()} for d, s in sets.items()}
 
 
 def brute(rows):
@@ -151,3 +151,29 @@ def test_similarity_kernel():
     pack = lambda d: (np.array(sorted(d), np.uint64).tobytes(), np.array([d[k] for k in sorted(d)], "<f4").tobytes(), float(sum(d.values())))
     assert neardup.jaccard(*pack({1: 1.0, 2: 2.0}), *pack({2: 1.0, 3: 1.0})) == pytest.approx(1 / 4)
     assert neardup.jaccard(*pack({}), *pack({})) == 0.0
+
+
+def test_recall_against_all_pairs(spark, prose):
+    """Texts of 20 to 2,000 words with edits, cuts and insertions around the threshold, among them a large group: of the
+    pairs that are at least THRESHOLD similar, computed for all pairs, nearly all are in one class, and no class holds
+    documents that no chain of such pairs connects."""
+    rng, rows = random.Random(41), []
+    for group in range(60):
+        base = prose(9000 + group, rng.choice([20, 60, 150, 400, 2000]), 300)
+        for _ in range(80 if group == 0 else rng.randint(1, 6)):
+            words = edited(base, rng.choice([0, 0.005, 0.01, 0.02, 0.03]), rng, prose).split()
+            cut = rng.randrange(0, max(1, len(words) // 12))
+            rows.append((len(rows), " ".join(words[cut:] + prose(rng.randrange(10**6), rng.randrange(0, 4)).split())))
+    sets, wanted = weighted_sets(rows), brute(rows)
+    got = {d: c for d, c, _ in run(spark, rows)}
+    total = {d: sum(s.values()) for d, s in sets.items()}
+    linked = right = 0
+    for a in sets:
+        for b in range(a):
+            both = sum(min(w, sets[b][g]) for g, w in sets[a].items() if g in sets[b])
+            if both >= neardup.THRESHOLD * (total[a] + total[b] - both):
+                linked += 1
+                right += got[a] == got[b]
+    assert linked > 300
+    assert right / linked > 0.99
+    assert all(wanted[d] == wanted[c] for d, c in got.items())
