@@ -163,8 +163,19 @@ def record_batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
 
-def occurrences(media: DataFrame, targets: DataFrame, threshold: float = 85.0) -> DataFrame:
-    """OCCURRENCES of every target in every transcript. Targets without a letter or digit find nothing (see `errors`)."""
+def skipping(rows: DataFrame, targets: DataFrame, done: DataFrame | None) -> DataFrame:
+    """rows with `skip`, the queries that done (query_id, media_id) answers for the row's medium; a medium with an answer
+    for every target is left out."""
+    if done is None:
+        return rows.withColumn("skip", F.array().cast("array<bigint>"))
+    answered = done.groupBy("media_id").agg(F.collect_set(F.col("query_id").cast("long")).alias("skip"))
+    rows = rows.join(answered, "media_id", "left").withColumn("skip", F.coalesce("skip", F.array().cast("array<bigint>")))
+    return rows.where(F.size("skip") < targets.select("query_id").distinct().count())
+
+
+def occurrences(media: DataFrame, targets: DataFrame, threshold: float = 85.0, done: DataFrame | None = None) -> DataFrame:
+    """OCCURRENCES of every target in every transcript. Targets without a letter or digit find nothing (see `errors`).
+    Pairs (query_id, media_id) of done are not looked for."""
 
     def make(part: list[tuple[int, str]]) -> DataFrame:
         sent = media.sparkSession.sparkContext.broadcast([(q, m) for q, m in ((q, matching_tokens(t or "")) for q, t in part) if m])
@@ -174,19 +185,20 @@ def occurrences(media: DataFrame, targets: DataFrame, threshold: float = 85.0) -
             banks = Banks([" ".join(m) for _, m in sent.value], threshold)
             for batch in batches:
                 rows = []
-                media_ids, spoken_words = (c.to_pylist() for c in batch.columns)
+                media_ids, spoken_words, skips = (c.to_pylist() for c in batch.columns)
                 tokens = [transcript_tokens([w["text"] for w in words or ()]) for words in spoken_words]
                 candidates = banks.many([" ".join(t for t, _, _ in ts) for ts in tokens])
-                for media_id, words, ts, ks in zip(media_ids, spoken_words, tokens, candidates, strict=True):
-                    for k in ks:
-                        query_id, target = sent.value[k]
+                for media_id, words, skip, ts, ks in zip(media_ids, spoken_words, skips, tokens, candidates, strict=True):
+                    answered = set(skip)
+                    for query_id, target in (sent.value[k] for k in ks if sent.value[k][0] not in answered):
                         found = select(survivors(ts, target, threshold), ts, len(target))
                         rows += [(query_id, media_id, n, *describe(w, ts, words)) for n, w in enumerate(found)]
                 if rows:
                     yield record_batch(rows, fields)
 
-        return spread(media.select("media_id", "words")).mapInArrow(run, OCCURRENCES)
+        return spread(open_media).mapInArrow(run, OCCURRENCES)
 
+    open_media = skipping(media.select("media_id", "words"), targets, done)
     return in_chunks(targets, make)
 
 
