@@ -202,6 +202,23 @@ def occurrences(media: DataFrame, targets: DataFrame, threshold: float = 85.0, d
     return in_chunks(targets, make)
 
 
+TOKENS = "media_id long, tok_idx int, token string, first_word int, last_word int"
+
+
+def token_spans(media: DataFrame) -> DataFrame:
+    """TOKENS of rows (media_id, words): the canonical tokens of each transcript and the words that each was made of."""
+    fields = arrow_fields(media, TOKENS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            rows = [(media_id, k, *token) for media_id, words in columns for k, token in enumerate(transcript_tokens([w["text"] for w in words or ()]))]
+            if rows:
+                yield record_batch(rows, fields)
+
+    return media.select("media_id", "words").mapInArrow(run, TOKENS)
+
+
 def best_windows(pairs: DataFrame) -> DataFrame:
     """(query_id, media_id, matched_text, start, end, match_type, score) for rows (query_id, media_id, target, words):
     the best window of each, for diagnosis and for the precision gate."""

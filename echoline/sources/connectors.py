@@ -59,13 +59,14 @@ class Connectors:
 
 
 def aligned(words: DataFrame, realigned: DataFrame) -> DataFrame:
-    """words with the aligner's times where it gave any; `alignment_source` tells which."""
+    """words with the aligner's times where it gave both; `alignment_source` tells which."""
     from pyspark.sql import functions as F
 
     new = realigned.select("media_id", "model", "word_idx", F.col("start").alias("s"), F.col("end").alias("e"))
     rows = words.join(new, ["media_id", "model", "word_idx"], "left")
-    source = F.when(F.col("s").isNotNull() & F.col("e").isNotNull(), F.lit("whisperx")).otherwise(F.lit("faster-whisper"))
-    return rows.select("media_id", "model", "word_idx", "text", F.coalesce("s", "start").alias("start"), F.coalesce("e", "end").alias("end"), "probability", source.alias("alignment_source"))
+    both = F.col("s").isNotNull() & F.col("e").isNotNull()
+    time = lambda new, own: F.when(both, F.col(new)).otherwise(F.col(own)).alias(own)
+    return rows.select("media_id", "model", "word_idx", "text", time("s", "start"), time("e", "end"), "probability", F.when(both, "whisperx").otherwise("faster-whisper").alias("alignment_source"))
 
 
 def timed_words(words: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def caption_tracks(df: DataFrame, meta: str = "meta") -> DataFrame:
     out = None
     for source, field in (("manual", "subtitles"), ("automatic", "automatic_captions")):
         rows = df.select("media_id", F.posexplode(F.map_entries(F.col(meta)[field])).alias("lang_pos", "entry"))
-        rows = rows.select("media_id", "lang_pos", F.col("entry.key").alias("language"), F.posexplode(F.from_json(F.col("entry.value"), VARIANT)).alias("pos", "v")).where("v IS NOT NULL")
+        rows = rows.select("media_id", "lang_pos", F.col("entry.key").alias("language"), F.posexplode(F.when(F.ltrim("entry.value").startswith("["), F.from_json(F.col("entry.value"), VARIANT))).alias("pos", "v")).where("v IS NOT NULL")
         rows = rows.select("media_id", F.lit(source).alias("source"), (F.col("lang_pos") * 10000 + F.col("pos")).alias("track_pos"), "language", F.col("v.name").alias("name"), F.col("v.ext").alias("extension"), "v.url", "v.protocol", "v.impersonate", "v.http_headers")
         out = rows if out is None else out.unionByName(rows)
     return out

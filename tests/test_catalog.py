@@ -5,9 +5,11 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
-from echoline.functions.text import matching_tokens
+from echoline.functions import similarity as sim
+from echoline.functions.text import assemble, matching_tokens, normalize
 from echoline.operators import occurrences as occ
 from echoline.plans import catalog
+from echoline.plans import catalog_more as more
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = "lineitem events documents pages part benchmark conversations".split()
@@ -39,10 +41,116 @@ def test_against_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[k]) for k in at) for r in found.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"fuzzy_occurrences"}))
-def test_without_sql(spark, name):
-    df = catalog.queries()[name](spark, str(SF))
-    assert len(df.collect()) >= 0
+def collected(spark, name):
+    return catalog.queries()[name](spark, str(SF)).collect()
+
+
+def test_what_has_no_sql_has_a_test():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"indel_ratio_pairs", "best_window", "cue_windows", "visible_text", "caption_search", "fuzzy_occurrences"}
+
+
+def test_best_window_against_every_window(spark):
+    turns = {}
+    for r in catalog.table(spark, str(SF), "conversations").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r["conv_id"], []).append(r["text"])
+    got = {r["media_id"]: (r["matched_text"], r["score"]) for r in collected(spark, "best_window")}
+    wanted = {}
+    for conv, (first, *later) in turns.items():
+        words, target = " ".join(later).split(), matching_tokens(first)
+        tokens = occ.transcript_tokens(words)
+        n, text = len(target), " ".join(target)
+        slack = max(1, min(3, -(-n // 4)))
+        high = min(len(tokens), n + slack)
+        best = max(((sim.ratio(text, " ".join(t for t, _, _ in tokens[s : s + k])), -abs(k - n), -s, -k) for k in range(min(max(1, n - slack), high), high + 1) if k for s in range(len(tokens) - k + 1)), default=None)
+        if best:
+            s, k = -best[2], -best[3]
+            spoken = words[tokens[s][1] : max(t[2] for t in tokens[s : s + k]) + 1]
+            wanted[conv] = (assemble(spoken), round(best[0], 6))
+    assert got == wanted
+
+
+def test_cue_windows_against_every_window(spark):
+    """Every window of every conversation for every turn; ranked by time, the best kind of each pair of times."""
+    rows = catalog.table(spark, str(SF), "conversations").orderBy("conv_id", "turn").collect()
+    turns, found = {}, {}
+    for r in rows:
+        turns.setdefault(r["conv_id"], []).append((r["turn"], normalize(r["text"])))
+    for r in rows:
+        query, target = r["conv_id"] * catalog.TURNS + r["turn"], normalize(r["text"])
+        for conv, cues in turns.items():
+            for first in range(len(cues)):
+                for last in range(first, len(cues)):
+                    window = " ".join(filter(None, (t for _, t in cues[first : last + 1])))
+                    kind = "exact" if window == target else "substring" if target in window else None
+                    score = 100.0 if kind else sim.ratio(target, window) if 200 * min(len(target), len(window)) >= 85 * (len(target) + len(window)) else 0.0
+                    if window and target and (kind or score >= 85):
+                        found.setdefault((query, conv), []).append((cues[first][0] * 4.0, ("exact", "substring", "fuzzy").index(kind or "fuzzy"), cues[last][0] * 4.0 + 4, round(score, 6)))
+                    if window and last - first >= 3 and len(window) >= len(target):
+                        break
+    got = {}
+    for r in collected(spark, "cue_windows"):
+        got.setdefault((r["query_id"], r["media_id"]), []).append((r["rank"], r["start"], r["end"], r["match_type"], r["score"]))
+    assert len(got) >= len(rows)
+    for key, windows in found.items():
+        wanted = [(k, s, e, ("exact", "substring", "fuzzy")[t], x) for k, (s, t, e, x) in enumerate(sorted(windows, key=lambda w: (w[0], w[1], w[2], -w[3])), 1)]
+        assert sorted(got.pop(key)) == wanted
+    assert not got
+
+
+def test_visible_text_against_every_window(spark):
+    """Short documents as frames, without a filter: first exact place, else the best window with or without blanks."""
+    got = {(r["query_id"], r["media_id"]): (r["match_type"], r["score"]) for r in collected(spark, "visible_text")}
+    assert got
+    docs = catalog.table(spark, str(SF), "documents").where("n_chars < 700").collect()
+    targets = [(r["query_id"], normalize(r["text"])) for r in catalog.perturbed(catalog.targets(spark, str(SF))).limit(3).collect()]
+    hits = {k for k in got if k[1] in {d["doc_id"] for d in docs}}
+    targets += [(r["query_id"], normalize(r["text"])) for r in catalog.perturbed(catalog.targets(spark, str(SF))).collect() if r["query_id"] in {q for q, _ in hits}]
+    for doc in docs:
+        seen = normalize(" ".join(line.strip() for line in (doc["text"] or "").split("\n") if line.strip())).split()
+        for query, target in targets:
+            n, tight = len(target.split()), target.replace(" ", "")
+            slack = max(1, min(3, -(-n // 4)))
+            if any(" ".join(seen[k : k + n]).replace(" ", "") == tight for k in range(len(seen))):
+                wanted = ("exact", 100.0)
+            else:
+                windows = (" ".join(seen[s : s + k]) for s in range(len(seen)) for k in range(max(1, n - slack), n + slack + 1) if s + k <= len(seen))
+                best = max((max(sim.ratio(target, w), sim.ratio(tight, w.replace(" ", ""))) for w in windows), default=0.0)
+                wanted = ("fuzzy", round(best, 6)) if best >= 85 else None
+            assert got.get((query, doc["doc_id"])) == wanted
+
+
+def test_caption_search_finds_what_is_heard(spark):
+    """A pair has an answer exactly if the line is heard somewhere in the medium; verified captions are not searched again."""
+    got = {(r["query_id"], r["media_id"]): r for r in collected(spark, "caption_search")}
+    words, lines = more.turn_words(spark, str(SF)), catalog.spoken_targets(spark, str(SF))
+    heard = {}
+    for r in occ.occurrences(occ.transcripts(words), lines).collect():
+        heard.setdefault((r["query_id"], r["media_id"]), []).append(r)
+    assert set(got) == set(heard)
+    sources = {r["localization_source"] for r in got.values()}
+    assert "caption" in sources
+    for key, r in got.items():
+        if r["localization_source"] == "asr":
+            first = min(heard[key], key=lambda x: x["occ_idx"])
+            assert (r["matched_text"], r["start"], r["occurrence_count"]) == (first["matched_text"], round(first["start"], 3), len(heard[key]))
+
+
+def test_answered_pairs_are_not_searched_again(spark):
+    """Occurrences with answered pairs are those without, less the pairs; a medium answered for all targets isn't read."""
+    words = more.turn_words(spark, str(SF)).where("media_id < 6")
+    lines = spark.createDataFrame(list(enumerate(more.SHORT_LINES)), "query_id long, text string")
+    media = occ.transcripts(words)
+    every = {(r["query_id"], r["media_id"], r["occ_idx"]) for r in occ.occurrences(media, lines).collect()}
+    pairs = [(q, m) for q in range(4) for m in range(6) if m == 2 or (q + m) % 2]
+    done = spark.createDataFrame(pairs, "query_id long, media_id long")
+    got = {(r["query_id"], r["media_id"], r["occ_idx"]) for r in occ.occurrences(media, lines, done=done).collect()}
+    assert got == {x for x in every if x[:2] not in set(pairs)}
+    assert 2 not in {r["media_id"] for r in occ.skipping(media, lines, done).collect()}
+    from echoline.plans import search
+
+    plan = search.open_speech(words, lines, 85.0, done)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = next(k for k, line in enumerate(plan.splitlines()) if "collect_list" in line)
+    assert any("LeftAnti" in line for line in plan.splitlines()[gathered:])  # closed media leave below the gathering of words
 
 
 def test_fuzzy_occurrences_against_every_window(spark):
