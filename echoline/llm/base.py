@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,12 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep what one Python worker holds at a time small, whatever the length of the texts."""
+    """Keep what one Python worker holds at a time small, whatever the length of the texts. The session keeps these two
+    settings, since plans are run after the operator has returned; smaller values of the caller stay."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 _own: dict[str, str] = {}
+_scratch: contextvars.ContextVar[str] = contextvars.ContextVar("scratch", default="")
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -35,20 +42,38 @@ def work_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = spark.conf.get(CHECKPOINT, None) or context.getConf().get(CHECKPOINT)
     if not found:
-        found = _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="echoline-"))
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="echoline-")
+        found = _own[context.applicationId]
     return f"{found.rstrip('/')}/echoline-{context.applicationId}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results that still depend on them can't be read afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, work_dir(spark))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written inside go when it ends; what is to outlast it has to be written elsewhere."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(f"{name}/")
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, f"{work_dir(spark)}/{name}")
 
 
 def persist(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{_scratch.get()}{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:

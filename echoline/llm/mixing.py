@@ -45,7 +45,7 @@ SYMBOL, MARK = "\x01", "\x02"
 UNIT, MOST_WEIGHT, MOST_PACKED = 1000, 10.0, (1 << 31) // 10_000 - 1
 #: Terms kept, the least evidence (G squared, so that chance agreement of rare terms teaches nothing), hash slots, and
 #: the edges of the bins of summed weights.
-TERMS, EVIDENCE, SLOTS, EDGES = 2048, 15.0, 1 << 16, (-8.0, -3.0, -0.5, 0.5, 3.0, 8.0, 20.0)
+TERMS, EVIDENCE, SLOTS, EDGES = 2048, 15.0, 1 << 15, (-8.0, -3.0, -0.5, 0.5, 3.0, 8.0, 20.0)
 CONTRASTS = (((2,), (0, 1)), ((0,), (1,)))  # toxic against clean, high against low quality: numbers of DOMAINS
 
 
@@ -84,21 +84,19 @@ class Lexicon:
         return F.transform(F.filter(terms, lambda w: F.get(known, slot(w)) == w), slot)
 
     def packed(self, hits: Column) -> Column:
-        """Sums of the hits' weights in units of 1 / UNIT: that of the first contrast plus 2 ** 32 times that of the
-        second (null beyond MOST_PACKED hits, which could overflow)."""
-        return F.when(F.size(hits) <= MOST_PACKED, self.total(hits, 0, 1))
-
-    def total(self, hits: Column, *contrasts: int) -> Column:
+        """array<bigint>: for each MOST_PACKED hits the sum of their weights, in units of 1 / UNIT: that of the first
+        contrast plus 2 ** 32 times that of the second. One array of weights serves both."""
         table = ["0"] * SLOTS
         for k, w in self.weights.values():
-            table[k] = str(sum(round(w[c] * UNIT) << 32 * place for place, c in enumerate(contrasts)))
+            table[k] = str(sum(round(v * UNIT) << 32 * place for place, v in enumerate(w)))
         weights = F.split(F.lit(" ".join(table)), " ").cast("array<bigint>")
-        return F.aggregate(hits, F.lit(0).cast("long"), lambda so_far, k: so_far + F.get(weights, k))
+        parts = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / MOST_PACKED).cast("int"))
+        return F.when(F.size(hits) > 0, F.transform(parts, lambda p: F.aggregate(F.slice(hits, p * MOST_PACKED + 1, F.lit(MOST_PACKED)), F.lit(0).cast("long"), lambda so_far, k: so_far + F.get(weights, k))))
 
-    def score(self, hits: Column, packed: Column, contrast: int) -> Column:
-        low = F.pmod(packed + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
-        part = low if not contrast else F.shiftright(packed - low, 32)
-        return F.coalesce(part, self.total(hits, contrast)) / float(UNIT)
+    def score(self, packed: Column, contrast: int) -> Column:
+        low = lambda v: F.pmod(v + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+        part = low if not contrast else lambda v: F.shiftright(v - low(v), 32)
+        return F.coalesce(F.aggregate(packed, F.lit(0).cast("long"), lambda so_far, v: so_far + part(v)), F.lit(0)) / float(UNIT)
 
 
 def labelled(labels: DataFrame, label_id: str = "doc_id") -> DataFrame:
@@ -155,8 +153,8 @@ def measured(docs: DataFrame, id_col: str, text_col: str, carry: bool, lexicon:
     rows = rows.select(*keep, "id", F.length("t").alias("chars"), marked(F.lower("t")).alias("t"))
     rows = rows.select(*keep, "id", "chars", (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(SYMBOL), F.lit("")))).alias("symbols"), F.array_remove(F.split("t", " "), "").alias("words"), F.split(unmarked(F.col("t")), " ").alias("terms"))
     rows = rows.select(*keep, "id", "chars", "symbols", F.size("words").cast("long").alias("tokens"), F.size(F.array_distinct("words")).alias("kinds"), lexicon.hits(F.col("terms")).alias("hits"))
-    rows = rows.select(*keep, "id", "chars", "symbols", "tokens", "kinds", "hits", lexicon.packed(F.col("hits")).alias("packed"))
-    rows = rows.select(*keep, "id", "chars", "symbols", "tokens", "kinds", *[lexicon.score(F.col("hits"), F.col("packed"), k).alias(f"s{k}") for k in range(len(CONTRASTS))])
+    rows = rows.select(*keep, "id", "chars", "symbols", "tokens", "kinds", lexicon.packed(F.col("hits")).alias("packed"))
+    rows = rows.select(*keep, "id", "chars", "symbols", "tokens", "kinds", *[lexicon.score(F.col("packed"), k).alias(f"s{k}") for k in range(len(CONTRASTS))])
     n, chars = F.greatest("tokens", F.lit(1)), F.greatest("chars", F.lit(1))
     bins = [
         F.least(F.floor(F.log2(n) / 2), F.lit(BINS - 1)),

@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoline.llm.base import bound_batches, map_rows, persist, spark_to_arrow
@@ -267,6 +267,13 @@ def near_query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their class: one document of each class stays, with all its columns."""
+    """The rows of docs that name their class: one document of each class stays, with all its columns. Of rows that
+    repeat an id and its text one stays; rows of one id with different texts all stay, as do rows without an id."""
     gone = persist(classes(docs, id_col, text_col).where("class_id <> id").select("id"), "near-gone")
-    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    rows = docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    several = persist(docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "near-repeated")
+    single = rows.join(several, rows[id_col] == several["id"], "left_anti")
+    packed = rows.join(several, rows[id_col] == several["id"], "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    same = Window.partitionBy(f"r.{id_col}", F.sha2(F.coalesce(F.col(f"r.{text_col}").cast("binary"), F.lit("").cast("binary")), 256), F.col(f"r.{text_col}").isNull()).orderBy(F.lit(1))
+    first = packed.withColumn("place", F.row_number().over(same)).where("place = 1").select("r.*")
+    return single.unionByName(first)

@@ -29,3 +29,45 @@ def test_sweep(spark, monkeypatch, tmp_path):
     base.persist(spark.range(3), "x")
     base.sweep(spark)
     assert not os.path.exists(tmp_path / "w")
+
+
+def test_scratch_goes_when_it_ends(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(base, "work_dir", lambda s: str(tmp_path / "w"))
+    outside = base.persist(spark.range(4), "x")
+    with base.scratch(spark):
+        inside = base.persist(spark.range(3), "x")
+        inside.write.parquet(str(tmp_path / "kept"))
+    assert [f for f in os.listdir(tmp_path / "w") if f.startswith("scratch")] == []
+    assert (outside.count(), spark.read.parquet(str(tmp_path / "kept")).count()) == (4, 3)
+
+
+def test_one_folder_where_none_is_set(monkeypatch):
+    class Context:
+        applicationId = "app-1"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    made = []
+    monkeypatch.setattr(base.tempfile, "mkdtemp", lambda prefix: made.append(prefix) or f"/tmp/{prefix}{len(made)}")
+    monkeypatch.setattr(base, "_own", {})
+    assert base.work_dir(Session()) == base.work_dir(Session()) == "/tmp/echoline-1/echoline-app-1"
+    assert len(made) == 1
+
+
+def test_smaller_batches_of_the_caller_stay(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "17")
+        base.bound_batches(spark)
+        assert spark.conf.get(name) == "17"
+        spark.conf.set(name, "1000000")
+        base.bound_batches(spark)
+        assert spark.conf.get(name) == str(base.BATCH_ROWS)
+    finally:
+        spark.conf.set(name, before)

@@ -129,6 +129,17 @@ def test_stage_keeps_one(spark, prose):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6, 9]
 
 
+def test_stage_keeps_one_of_repeated_rows(spark, prose):
+    """Rows that repeat an id and its text leave one; other rows of an id, and rows without one, all stay."""
+    text, other = prose(1, 50), prose(2, 50)
+    rows = [(5, text)] * 4 + [(6, other), (6, prose(3, 50)), (7, None), (7, None), (7, ""), (None, other), (None, other), (8, text)]
+    kept = neardup.keep_one(make_docs(spark, rows, extra=True)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"] in (5, 8)) == [(5, text)]
+    assert sum(r["doc_id"] == 6 for r in kept) == 2
+    assert sorted(str(r["text"]) for r in kept if r["doc_id"] == 7) == ["", "None"]
+    assert sum(r["doc_id"] is None for r in kept) == 2
+
+
 def test_samples_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)
