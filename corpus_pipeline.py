@@ -4,6 +4,12 @@ Every stage works on all rows its predecessor kept. Toxic documents go; one docu
 stays; words of passages that an earlier document has are cut; documents of under-represented domains are repeated, as
 often as the targets ask in a total that follows from them (rates of at least one: no document is lost, so soft toxic
 mass, whose target is zero, stays); texts are encoded.
+
+Defined results: null, empty and wordless texts are never toxic, are in classes of their own, lose no words, have no
+tokens to mix and encode to no ids, so their rows stay to the end; of rows that repeat an id and its text one stays, rows
+of one id with different texts and rows without an id all stay; where documents are equally near, the smallest id of a
+class stays; further columns of documents are carried to the last stage, whatever their names; without usable labels
+nothing is toxic and domains are equally likely; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoline.llm import bpe, mixing, neardup, substrings, toxicity
-from echoline.llm.base import table, work_dir
+from echoline.llm.base import delete, scratch, table, work_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's own tables go when it is written, its input when it has been read."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{work_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,8 +12,10 @@ from conftest_llm import make_docs
 
 import __spark_entry__
 from echoline.llm import registry
+from echoline.llm.base import work_dir
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+began = time.time()
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +74,25 @@ def test_run(spark, folder):
     assert out.select("doc_id").distinct().count() == 60 * 4 + 4 + 2
 
 
+def test_run_on_awkward_rows(spark, awkward, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and columns of clashing names; with labels that teach nothing."""
+    docs = make_docs(spark, awkward, extra=True)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert seen == {d for d, _ in awkward} - {9}  # 9 has the text of 8
+    for folder in Path(work_dir(spark)).iterdir():
+        assert not folder.name.startswith(("scratch", "pipeline-toxicity", "pipeline-near", "pipeline-substrings", "pipeline-mixing")) or folder.stat().st_mtime < began
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    make_docs(spark, [(1, "x")]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"]
+    assert out.count() == 0
+
+
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
     for n in range(1, 11):
