@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -21,6 +22,7 @@ def ship(spark: SparkSession) -> None:
         return
     fd, path = tempfile.mkstemp(prefix="echoline-", suffix=".zip")
     os.close(fd)
+    atexit.register(lambda: Path(path).unlink(missing_ok=True))  # executors fetch it from here as long as the driver lives
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for source in sorted(ROOT.joinpath("echoline").rglob("*.py")):
             archive.write(source, source.relative_to(ROOT).as_posix())

@@ -19,7 +19,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT, None) or context.getConf().get(CHECKPOINT)
     if not folder:  # a local folder only where none is set, as in tests
-        folder = _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="echoline-"))
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="echoline-")
+        folder = _own[context.applicationId]
     path = f"{folder.rstrip('/')}/echoline-{context.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
