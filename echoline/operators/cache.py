@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echoline.tables import materialize
+
 SCHEMA_VERSION = 1
 
 
@@ -32,6 +37,23 @@ def hits_and_misses(requests: DataFrame, memo: DataFrame, key: str, namespace: s
     return requests.join(known, key), requests.join(known.select(key), key, "left_anti")
 
 
+def memoised(requests: DataFrame, key: str, namespace: str, path: str | None, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """requests with `value`: known results from the memo table at path, the others by compute(requests without one),
+    which gives (key, value) and is appended to the memo. Without a path everything is computed."""
+    spark = requests.sparkSession
+    if path is None:
+        return requests.join(compute(requests), key)
+    try:
+        memo = spark.read.parquet(path)
+    except AnalysisException:  # none yet
+        memo = spark.createDataFrame([], "key string, schema_version int, value string, namespace string")
+    hits, misses = hits_and_misses(requests, memo, key, namespace)
+    misses = materialize(misses, "memo-misses")
+    new = materialize(misses.join(compute(misses), key), "memo-new")
+    write(new.select(F.lit(namespace).alias("namespace"), F.col(key).alias("key"), F.lit(SCHEMA_VERSION).alias("schema_version"), "value"), path)
+    return hits.unionByName(new)
+
+
 def write(rows: DataFrame, path: str) -> bool:
     """Append to a memo table, partitioned by namespace; a failure is told and not fatal."""
     try:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from echoline import schemas
+from echoline.tables import materialize
 
 Rows = Iterator[pd.DataFrame]
 
@@ -24,7 +25,10 @@ class Connectors:
     ROLES = {
         "inspect": "media_id long, metadata string, video_url string, video_headers map<string,string>",
         "fetch_subtitle": "media_id long, source string, language string, extension string, content string, rate_limited boolean",
+        "download": "media_id long, path string, length long, content_type string, error string",
+        "extract_audio": "media_id long, window_start double, window_end double, path string, error string",
         "probe": "media_id long, probe string",
+        "recognise_window": "media_id long, window_start double, window_end double, word_idx int, text string, start double, end double",
         "transcribe": schemas.WORDS,
         "align": schemas.WORDS,
         "decode_frames": schemas.FRAMES,
@@ -58,6 +62,30 @@ class Connectors:
         return rows.mapInPandas(apply, schema)
 
 
+    def run_refreshed(self, role: str, rows: DataFrame, refresh: str = "inspect", key: str = "media_id") -> DataFrame:
+        """As run, for a connector that tells faults in `error`: rows that fail are inspected anew, once, and tried again
+        with the columns that the inspection gives."""
+        first = materialize(self.run(role, rows), "first-try")
+        failed = rows.join(first.where("error IS NOT NULL").select(key).distinct(), key, "left_semi")
+        fresh = self.run(refresh, failed)
+        kept = failed.drop(*[c for c in fresh.columns if c != key])
+        again = materialize(self.run(role, kept.join(fresh, key)), "second-try")
+        return first.join(again.select(key).distinct(), key, "left_anti").unionByName(again)
+
+
+def downloaded(connectors: Connectors, rows: DataFrame) -> DataFrame:
+    """(media_id, path, length, content_type, error) of direct downloads; what is no media file, or isn't complete, is a
+    fault and has no path."""
+    from pyspark.sql import functions as F
+
+    from echoline.sources import urls
+
+    got = connectors.run("download", rows)
+    kind = F.when(~urls.is_media_type(F.col("content_type")), F.concat(F.lit("not a media file: "), "content_type"))
+    fault = F.coalesce("error", kind, F.when(~urls.is_complete(F.col("path"), F.col("length")), F.lit("the download is not complete")))
+    return got.select("media_id", F.when(fault.isNull(), F.col("path")).alias("path"), "length", "content_type", fault.alias("error"))
+
+
 def aligned(words: DataFrame, realigned: DataFrame) -> DataFrame:
     """words with the aligner's times where it gave both; `alignment_source` tells which."""
     from pyspark.sql import functions as F

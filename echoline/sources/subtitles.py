@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoline.functions.text import collapse
+from echoline.functions.text import collapse, safe_name
+from echoline.sources.urls import is_complete
 
 MOST_BYTES = 10 << 20
 JSON3 = "struct<events:array<string>>"
@@ -66,6 +67,21 @@ def ass_cues(files: DataFrame) -> DataFrame:
     return rows.select("media_id", "source", "language", _plain(F.get(part, F.lit(9))).alias("text"), clock_seconds(F.get(part, F.lit(1))).alias("start"), clock_seconds(F.get(part, F.lit(2))).alias("end"))
 
 
+def stored(tracks: DataFrame, files: DataFrame) -> DataFrame:
+    """tracks (media_id, source, language, extension) with `path` of a finished download: the file
+    `<media_id>/<source>.<language>.<extension>`, else the largest other one of the language whose name goes on, e.g. by
+    a number that the downloader put in (null: none). files: (path, length)."""
+    name = F.concat_ws(".", "source", safe_name(F.col("language")))
+    asked = tracks.select("*", F.concat(F.col("media_id").cast("string"), F.lit("/"), name).alias("stem"))
+    part = F.split("path", "/")
+    done = files.where(is_complete(F.col("path"), F.col("length"))).select("path", "length", F.element_at(part, -2).alias("folder"), F.element_at(part, -1).alias("name"))
+    piece = F.split("name", r"\.")
+    done = done.where(F.size(piece) > 2).select("path", "length", F.concat("folder", F.lit("/"), piece[0], F.lit("."), piece[1]).alias("stem"), F.substring_index("name", ".", -1).alias("ending"), (F.size(piece) == 3).alias("plain"))
+    order = F.struct("plain", "length", "path")
+    found = asked.join(done, (asked["stem"] == done["stem"]) & (F.lower(asked["extension"]) == F.lower(done["ending"])), "left")
+    return found.groupBy(*tracks.columns).agg(F.max_by("path", order).alias("path"))
+
+
 READERS = {("json3",): json3_cues, ("vtt", "srt"): block_cues, ("ttml",): ttml_cues, ("ass", "ssa"): ass_cues}
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from echoline.config import SearchConfig
 from echoline.functions import rules
 from echoline.operators import cache, frames, intervals, occurrences, verify
 from echoline.plans import search
+from echoline.sources.connectors import Connectors
 
 
 def words_table(spark, *lines):
@@ -219,3 +221,52 @@ def test_live_captions(spark, tmp_path):
     hits = streaming.live_phrases(live, spark.createDataFrame([(5, "come here")], schemas.TARGETS))
     hits.writeStream.format("memory").queryName("hits").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["query_id"], r["media_id"]) for r in spark.table("hits").collect()) == [(5, 1), (5, 2)]
+
+
+def clip_case(spark, tmp_path):
+    """Three candidates for a line in two media; only some windows hold it."""
+    candidates = spark.createDataFrame([(1, m, "manual", "en", f"cue {r}", 10.0 * r, 10.0 * r + 2, "fuzzy", 90.0, r) for m in (1, 2) for r in (1, 2, 3, 4, 5)], "query_id long, media_id long, source string, language string, text string, start double, end double, match_type string, score double, rank int")
+    media = spark.createDataFrame([(1, 100.0, 0.5), (2, 100.0, None)], "media_id long, duration double, audio_start_time double")
+    targets = spark.createDataFrame([(1, "open the door")], "query_id long, text string")
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def recogniser():
+        def one(row):
+            with (log / f"{uuid.uuid4().hex}").open("w") as f:
+                f.write(f"{row['media_id']} {row['window_start']}")
+            here = row["media_id"] == 1 and row["window_start"] <= 21 <= row["window_end"]
+            said = ["please", "open", "the", "door"] if here else ["nothing", "here"]
+            return [{"media_id": row["media_id"], "window_start": row["window_start"], "window_end": row["window_end"], "word_idx": k, "text": w, "start": 20.0 + k * 0.2, "end": 20.2 + k * 0.2} for k, w in enumerate(said)]
+
+        return one
+
+    return candidates, media, targets, Connectors().register("recognise_window", recogniser), lambda: sorted(f.read_text() for f in log.iterdir())
+
+
+def test_windows_are_recognised_themselves(spark, tmp_path):
+    """A recogniser hears the recordings of the windows: in rounds, so not all of them, and each once with a memo."""
+    candidates, media, targets, connectors, asked = clip_case(spark, tmp_path)
+    hear = verify.by_connector(connectors, memo=str(tmp_path / "memo"), identity="base.en")
+    got = {r["media_id"]: r for r in verify.verify(candidates, media, hear, targets, margins=(1.0,)).collect()}
+    assert (got[1]["verified"], got[1]["caption_text"], got[1]["matched_text"], got[1]["start"], got[1]["audio_processed_seconds"]) == (True, "cue 2", "open the door", pytest.approx(20.7), 8.0)
+    assert (got[2]["verified"], got[2]["audio_processed_seconds"]) == (False, 20.0)
+    first = asked()
+    assert len(first) == len(set(first))
+    assert sum(x.startswith("1 ") for x in first) == 3  # the first window, then the next two
+    assert sum(x.startswith("2 ") for x in first) == 5
+    again = {r["media_id"]: r["matched_text"] for r in verify.verify(candidates, media, verify.by_connector(connectors, memo=str(tmp_path / "memo"), identity="base.en"), targets, margins=(1.0,)).collect()}
+    assert again == {1: "open the door", 2: None}
+    assert asked() == first
+    verify.verify(candidates, media, verify.by_connector(connectors, memo=str(tmp_path / "memo"), identity="other"), targets, margins=(1.0,)).collect()
+    assert len(asked()) == 2 * len(first)
+
+
+def test_precise_recogniser_is_asked_late(spark, tmp_path):
+    """Only windows that the base words leave open and the gate lets through reach the precise recogniser."""
+    candidates, media, targets, connectors, asked = clip_case(spark, tmp_path)
+    words = spark.createDataFrame([(1, k, w, 20.0 + k * 0.2, 20.2 + k * 0.2) for k, w in enumerate(["open", "a", "drawer"])], "media_id long, word_idx int, text string, start double, end double")
+    got = {r["media_id"]: r for r in verify.verify(candidates, media, words, targets, margins=(1.0,), precision_words=verify.by_connector(connectors)).collect()}
+    assert (got[1]["matched_text"], got[1]["passes"], got[1]["score"]) == ("open the door", 2, 100.0)
+    assert 45 <= got[1]["base_score"] < 85
+    assert "1 19.0" in asked()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echoline.sources import metadata, subtitles, urls
-from echoline.sources.connectors import Connectors, aligned, timed_words
+from echoline.sources.connectors import Connectors, aligned, downloaded, timed_words
 
 SRT = "1\r\n00:00:01,000 --> 00:00:02,500\r\n<i>Hello</i>\r\n  there\r\n\r\n2\n00:00:05,000 --> 00:00:04,000\nback in time\n\n3\n00:00:00,250 --> 00:00:00,900\nfirst &amp; best\n"
 VTT = "﻿WEBVTT\n\nNOTE x\n\n00:01.000 --> 00:02.000 align:start\nOne <c.x>two</c>\n\ncue\n01:00:00.500 --> 01:00:01.000\nlate\n"
@@ -104,3 +104,36 @@ def test_connectors(spark):
         Connectors().register("x", Fake)
     again = words.withColumn("start", F.lit(1.0)).withColumn("end", F.when(F.col("media_id") == 0, 2.0))
     assert {r["alignment_source"] for r in aligned(words, again).collect()} == {"whisperx", "faster-whisper"}
+
+
+def test_refresh_once(spark):
+    """A download that fails is inspected anew and tried once more, with the fresh URL."""
+
+    def fetch():
+        def one(row):
+            good = row["video_url"] == "fresh" and row["media_id"] != 3 or row["media_id"] == 1
+            return [{"media_id": row["media_id"], "path": f"/m/{row['media_id']}.mp4" if good else None, "length": 5, "content_type": "video/mp4", "error": None if good else f"403 for {row['video_url']}"}]
+
+        return one
+
+    inspect = lambda: lambda row: [{"media_id": row["media_id"], "metadata": "{}", "video_url": "fresh", "video_headers": {}}]
+    c = Connectors().register("download", fetch).register("inspect", inspect)
+    rows = spark.createDataFrame([(1, "old"), (2, "old"), (3, "old")], "media_id long, video_url string")
+    got = {r["media_id"]: (r["path"], r["error"]) for r in c.run_refreshed("download", rows).collect()}
+    assert got == {1: ("/m/1.mp4", None), 2: ("/m/2.mp4", None), 3: (None, "403 for fresh")}
+
+
+def test_direct_downloads_are_checked(spark):
+    answers = {1: ("/m/1.mp4", 9, "video/mp4"), 2: ("/m/2.mp4.part", 9, ""), 3: ("/m/3.mp4", 0, "audio/ogg"), 4: ("/m/4.html", 9, "text/html"), 5: ("/m/5.bin", 9, "application/octet-stream")}
+    fetch = lambda: lambda row: [dict(zip(("path", "length", "content_type"), answers[row["media_id"]], strict=True), media_id=row["media_id"], error=None)]
+    got = {r["media_id"]: r for r in downloaded(Connectors().register("download", fetch), spark.range(1, 6).withColumnRenamed("id", "media_id")).collect()}
+    assert {k: r["path"] for k, r in got.items()} == {1: "/m/1.mp4", 2: None, 3: None, 4: None, 5: "/m/5.bin"}
+    assert got[4]["error"] == "not a media file: text/html"
+
+
+def test_stored_subtitles(spark):
+    """The file of the name, else the largest finished one of its language; unfinished and empty ones never."""
+    files = [("/c/1/manual.en.vtt", 5), ("/c/1/manual.en.7.vtt", 50), ("/c/2/manual.en.1.vtt", 5), ("/c/2/manual.en.2.vtt", 9), ("/c/2/manual.en.3.vtt.part", 99), ("/c/3/manual.en.vtt", 0), ("/c/3/manual.de.vtt", 5), ("/c/4/manual.pt_BR.vtt", 5)]
+    tracks = spark.createDataFrame([(1, "manual", "en", "vtt"), (2, "manual", "en", "VTT"), (3, "manual", "en", "vtt"), (4, "manual", "pt_BR", "vtt"), (4, "manual", "pt_BR", "srt")], "media_id long, source string, language string, extension string")
+    got = {(r["media_id"], r["extension"]): r["path"] for r in subtitles.stored(tracks, spark.createDataFrame(files, "path string, length long")).collect()}
+    assert got == {(1, "vtt"): "/c/1/manual.en.vtt", (2, "VTT"): "/c/2/manual.en.2.vtt", (3, "vtt"): None, (4, "vtt"): "/c/4/manual.pt_BR.vtt", (4, "srt"): None}
