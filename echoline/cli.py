@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from echoline import sinks
 from echoline.config import SearchConfig
 from echoline.functions import rules
+from echoline.operators import cache, verify
 from echoline.plans import search
 from echoline.session import ship
 
@@ -32,26 +34,51 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--margin", type=float, action="append", help="seconds around a caption; may be repeated")
     p.add_argument("--no-precision-fallback", action="store_true")
     p.add_argument("--precision-full-audio", action="store_true")
+    p.add_argument("--precision-model", default=SearchConfig.precision_model)
+    p.add_argument("--precision-trigger", type=float, default=SearchConfig.precision_trigger)
+    p.add_argument("--cue-window", type=int, default=SearchConfig.cue_window, help="cues that a caption window has at most, unless the line is longer")
+    p.add_argument("--frame-margin", type=float, default=SearchConfig.frame_margin, help="seconds around a match in which frames are read")
+    p.add_argument("--ocr-model", help="name of the model that read the frames")
+    p.add_argument("--images", help="Parquet: media_id, decode_idx, image; the chosen frames are published below --output")
+    p.add_argument("--cache", help="folder of memo tables, handed to connectors")
+    p.add_argument("--cookies", help="cookie file, handed to connectors")
+    p.add_argument("--device", default="cpu", help="where connectors run their models")
+    p.add_argument("--compute-type", default="int8", help="precision of the connectors' models")
+    p.add_argument("--connectors", metavar="MODULE:FUNCTION", help="function of these options that gives Connectors; its recognise_window hears the windows around captions")
     return p
 
 
+def clips(a: argparse.Namespace) -> verify.Recogniser | None:
+    """What hears the windows around captions, if connectors are given that can."""
+    if not a.connectors:
+        return None
+    module, _, name = a.connectors.partition(":")
+    made = getattr(importlib.import_module(module), name)(a)
+    if "recognise_window" not in made.factories:
+        return None
+    who = cache.identity(a.model, {}, a.compute_type, a.language, a.device)
+    return verify.by_connector(made, memo=f"{a.cache.rstrip('/')}/windows" if a.cache else None, identity=who)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
     try:
-        config = SearchConfig(caption_threshold=a.threshold, verification_threshold=a.threshold, visible_threshold=a.threshold, precision_trigger=min(45.0, a.threshold), margins=tuple(a.margin or (2.0, 5.0)), precision_fallback=not a.no_precision_fallback, precision_full_audio=a.precision_full_audio)
+        config = SearchConfig(caption_threshold=a.threshold, verification_threshold=a.threshold, visible_threshold=a.threshold, cue_window=a.cue_window, frame_margin=a.frame_margin, precision_model=a.precision_model, precision_trigger=min(a.precision_trigger, a.threshold), margins=tuple(a.margin or (2.0, 5.0)), precision_fallback=not a.no_precision_fallback, precision_full_audio=a.precision_full_audio)
         spark = spark or SparkSession.builder.appName("echoline").getOrCreate()
         ship(spark)
         read = lambda path: spark.read.parquet(path) if path else None
         targets, words, media, frames = read(a.targets), read(a.words), read(a.media), read(a.frames)
         if a.cues:
-            results = search.search(read(a.cues), words, targets, media, frames, config, read(a.precision_words))
+            results = search.search(read(a.cues), words, targets, media, frames, config, read(a.precision_words), clips(a))
         else:
             results = search.search_speech(words, targets, media, frames, a.threshold)
         if a.ocr and frames is not None and "confidence" in results.columns:
             results = search.search_visible(results, frames, read(a.ocr), targets, config)
-        rows = sinks.report(results, targets, config, sinks.Provenance(asr_model=a.model, transcription_language=a.language), visible=bool(a.ocr))
+        rows = sinks.report(results, targets, config, sinks.Provenance(asr_model=a.model, transcription_language=a.language, ocr_model=a.ocr_model), visible=bool(a.ocr))
         if a.output:
             sinks.write(rows, a.output)
+            if a.images:
+                sinks.publish_images(sinks.frame_images(results, read(a.images)), a.output.rstrip("/") + "-images")
         else:
             for r in sinks.as_json(rows).orderBy("query_id", "media_id").toLocalIterator():
                 print(r["json"])

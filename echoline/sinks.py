@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echoline.config import SearchConfig
 from echoline.functions.text import hms
+from echoline.tables import materialize
 
 
 @dataclass(frozen=True)
@@ -79,3 +80,45 @@ def frame_images(results: DataFrame, images: DataFrame) -> DataFrame:
     chosen = results.where("frame_index IS NOT NULL").select("media_id", F.col("frame_index").alias("decode_idx")).distinct()
     rows = images.join(chosen, ["media_id", "decode_idx"])
     return rows.select(F.substring(F.sha2(F.concat_ws("|", "media_id", "decode_idx", F.sha2("image", 256)), 256), 1, 32).alias("frame_id"), "media_id", F.col("decode_idx").alias("frame_index"), "image")
+
+
+FOLDER = "frames"
+
+
+def publish_images(frames: DataFrame, folder: str, ending: str = "png") -> DataFrame:
+    """Write each row's image as `<folder>/frames/<media_id>-<frame_id>.<ending>` and give (frame_id, media_id, frame_index,
+    path). Images of these media from earlier runs, and unfinished ones, go first; other files in the folder stay.
+
+    An image is written under another name and then renamed, so readers never see half of one; a task that runs again
+    writes the same files. folder is any that Hadoop's file systems reach, as all executors do.
+    """
+    spark = frames.sparkSession
+    place = f"{folder.rstrip('/')}/{FOLDER}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(place)
+    store = root.getFileSystem(conf)
+    store.mkdirs(root)
+    listed = frames.select("media_id").distinct()
+    owned = rf"^(\d+)-[0-9a-f]{{32}}\.{ending}(\.part)?$"
+    names = [s.getPath().getName() for s in store.listStatus(root)]
+    there = spark.createDataFrame([(n,) for n in names] or [], "name string").where(F.col("name").rlike(owned))
+    stale = there.withColumn("media_id", F.regexp_extract("name", owned, 1).cast("long")).join(listed, "media_id", "left_semi")
+    for row in stale.toLocalIterator():
+        store.delete(jvm.org.apache.hadoop.fs.Path(root, row["name"]), False)
+
+    def write_all(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            paths = []
+            for frame_id, media_id, image in zip(*(batch.column(c).to_pylist() for c in ("frame_id", "media_id", "image")), strict=True):
+                system, base = fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (fs.LocalFileSystem(), place)
+                path = f"{base}/{media_id}-{frame_id}.{ending}"
+                with system.open_output_stream(f"{path}.part") as out:
+                    out.write(image)
+                system.move(f"{path}.part", path)
+                paths.append(f"{place}/{media_id}-{frame_id}.{ending}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("frame_id", "media_id", "frame_index")), pa.array(paths, pa.string())], names=["frame_id", "media_id", "frame_index", "path"])
+
+    return materialize(frames.where("image IS NOT NULL").select("frame_id", "media_id", "frame_index", "image").mapInArrow(write_all, "frame_id string, media_id long, frame_index int, path string"), "images")
