@@ -7,6 +7,7 @@ the lines to find are part names with a letter missing or blanks moved.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from echoline.operators import cache, captions, frames, occurrences, verify
 from echoline.plans import search
 from echoline.plans.catalog import SQL_SECONDS, events, query, table
 from echoline.sources import metadata, subtitles, urls
-from echoline.sources.connectors import Connectors, aligned, timed_words
+from echoline.sources.connectors import Connectors, aligned, downloaded, timed_words
+from echoline.tables import shared_folder
 
 
 def pick(values: list, number: Column) -> Column:
@@ -571,3 +573,145 @@ def verified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.join(F.broadcast(lines.select("query_id")), F.lit(True))
     out = verify.verify(found, media, turn_words(spark, sf_dir), lines, margins=(0.5, 1.5))
     return out.select("query_id", "media_id", "verified", F.round("audio_processed_seconds", 3).alias("audio_processed_seconds"), "caption_text", F.round("start", 3).alias("start"), "matched_text")
+
+
+# --- connectors, memo tables and publishing, with connectors that answer by a rule
+
+
+@query(r"""
+WITH w AS (SELECT conv_id AS media_id, turn, string_split(text, ' ') AS w FROM conversations), k AS (SELECT media_id, turn, unnest(range(0, len(w))) AS k, unnest(w) AS text FROM w)
+SELECT media_id, CAST(turn * 10000 + k AS INTEGER) AS word_idx, text, CAST(turn * 4.0 + k AS DOUBLE) AS start FROM k WHERE k % 5 <> 4""")
+def transcribed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words from a registered recogniser; those without times can't be placed."""
+
+    def factory():
+        def hear(row: dict) -> list[dict]:
+            return [{"media_id": row["media_id"], "model": "base.en", "word_idx": row["turn"] * 10000 + k, "text": w, "start": None if k % 5 == 4 else row["turn"] * 4.0 + k, "end": row["turn"] * 4.0 + k + 0.5, "probability": 0.9} for k, w in enumerate(row["text"].split(" "))]
+
+        return hear
+
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), "turn", "text")
+    return timed_words(Connectors().register("transcribe", factory).run("transcribe", turns)).select("media_id", "word_idx", "text", "start")
+
+
+@query("SELECT p_partkey AS media_id, CAST(p_size AS INTEGER) AS decode_idx, p_name || ' ' || p_brand AS text FROM part")
+def read_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of text from a registered reader, blank ones dropped, put together by frame."""
+
+    def factory():
+        return lambda row: [{"media_id": row["media_id"], "decode_idx": row["decode_idx"], "line_idx": k, "text": t, "confidence": None} for k, t in ((2, row["p_brand"]), (0, f" {row['p_name']} "), (1, "  "))]
+
+    shots = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("media_id"), F.col("p_size").alias("decode_idx"), "p_name", "p_brand")
+    return frames.frame_texts(Connectors().register("read_text", factory).run("read_text", shots))
+
+
+@query("""
+SELECT page_id AS media_id, CASE WHEN page_id % 5 IN (0, 4) THEN '/m/' || page_id || '.mp4' END AS path,
+       CASE page_id % 5 WHEN 1 THEN 'not a media file: text/html' WHEN 2 THEN 'the download is not complete' WHEN 3 THEN '404' END AS error FROM pages""")
+def direct_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct downloads by a registered connector: pages, unfinished files and failures are faults."""
+    kinds = ["video/mp4", "text/html", "audio/ogg", "", ""]
+
+    def factory():
+        def fetch(row: dict) -> list[dict]:
+            k = row["media_id"] % 5
+            return [{"media_id": row["media_id"], "path": f"/m/{row['media_id']}.mp4" + ".part" * (k == 2), "length": 5, "content_type": kinds[k], "error": "404" if k == 3 else None}]
+
+        return fetch
+
+    found = downloaded(Connectors().register("download", factory), table(spark, sf_dir, "pages").select(F.col("page_id").alias("media_id")))
+    return found.select("media_id", "path", "error")
+
+
+@query("""
+SELECT page_id AS media_id, CASE page_id % 3 WHEN 0 THEN '/m/first' WHEN 1 THEN '/m/fresh' END AS path, CASE page_id % 3 WHEN 2 THEN '403 again' END AS error FROM pages""")
+def refreshed_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downloads that fail are inspected anew, once, and tried again with the fresh URL."""
+
+    def fetch():
+        def one(row: dict) -> list[dict]:
+            fresh, k = row["video_url"] == "fresh", row["media_id"] % 3
+            path = "/m/first" if not k else "/m/fresh" if fresh and k == 1 else None
+            return [{"media_id": row["media_id"], "path": path, "length": 5, "content_type": "", "error": None if path else "403 again" if fresh else "403"}]
+
+        return one
+
+    def inspect():
+        return lambda row: [{"media_id": row["media_id"], "metadata": "{}", "video_url": "fresh", "video_headers": {}}]
+
+    asked = table(spark, sf_dir, "pages").select(F.col("page_id").alias("media_id"), F.lit("old").alias("video_url"))
+    return Connectors().register("download", fetch).register("inspect", inspect).run_refreshed("download", asked).select("media_id", "path", "error")
+
+
+@query("""
+WITH f AS (SELECT user_id AS media_id, min(event_id) AS frame_index, arg_min(value, event_id) AS seen FROM events GROUP BY user_id), m AS (SELECT DISTINCT user_id AS media_id FROM events)
+SELECT media_id, CAST(frame_index AS BIGINT) AS frame_index, round(seen, 6) AS frame_timestamp, CASE WHEN media_id % 2 = 1 THEN 'Media does not contain a video stream.' WHEN media_id % 3 = 1 THEN 'Media does not contain an audio stream.' END AS error FROM m JOIN f USING (media_id)""")
+def inspected_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inspection: what a medium lacks, and its first decodable frame."""
+    e = table(spark, sf_dir, "events")
+    shots = e.select(F.col("user_id").alias("media_id"), F.col("event_id").alias("decode_idx"), F.col("event_id").alias("pts"), F.lit("1/1000").alias("time_base"), F.col("value").alias("timestamp"))
+    media = e.select(F.col("user_id").alias("media_id")).distinct().select("media_id", (F.col("media_id") % 2 != 1).alias("has_video"), (F.col("media_id") % 3 != 1).alias("has_audio"), F.lit(60.0).alias("duration"))
+    return search.inspect(media, shots).select("media_id", "frame_index", F.round("frame_timestamp", 6).alias("frame_timestamp"), "error")
+
+
+@query("SELECT p_partkey, 'value of ' || p_name AS value, p_partkey % 2 = 0 AS known FROM part")
+def memoised_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values are computed once a key: those of a first pass are read from the memo table in a second one."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", cache.digest(F.col("p_partkey")).alias("key"))
+    path = f"{shared_folder(spark)}/memo-{uuid.uuid4().hex}"
+    cache.memoised(parts.where("p_partkey % 2 = 0"), "key", "names", path, lambda rows: rows.select("key", F.concat(F.lit("value of "), "p_name").alias("value")))
+    fresh = lambda rows: rows.select("key", F.concat(F.lit("new value of "), "p_name").alias("value"))
+    found = cache.memoised(parts, "key", "names", path, fresh)
+    return found.select("p_partkey", F.regexp_replace("value", "^new ", "").alias("value"), (~F.col("value").startswith("new")).alias("known"))
+
+
+@query("""
+WITH c AS (SELECT conv_id AS media_id, CAST(turn + 1 AS INTEGER) AS rank, turn * 4.0 AS start FROM conversations),
+     w AS (SELECT *, greatest(0, start - 1.0) AS ws, start + 3.0 AS we, row_number() OVER (PARTITION BY media_id ORDER BY rank) AS n FROM c),
+     h AS (SELECT *, media_id % 3 = 0 AND ws >= 7 AS hit FROM w),
+     v AS (SELECT media_id, min(n) FILTER (hit) AS winner FROM h GROUP BY media_id)
+SELECT h.media_id, any_value(winner) IS NOT NULL AS verified, CAST(any_value(CASE WHEN n = winner THEN 'turn ' || (rank - 1) END) AS VARCHAR) AS caption_text, round(CAST(sum(2 * (we - ws)) AS DOUBLE), 3) AS audio_processed_seconds
+FROM h JOIN v USING (media_id) WHERE winner IS NULL OR n <= winner GROUP BY h.media_id""")
+def precise_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows in which the base words hold nothing go to a precise recogniser of the windows themselves, in rounds."""
+
+    def factory():
+        def hear(row: dict) -> list[dict]:
+            said = "yes" if row["media_id"] % 3 == 0 and row["window_start"] >= 7 else "no"
+            return [{"media_id": row["media_id"], "window_start": row["window_start"], "window_end": row["window_end"], "word_idx": 0, "text": said, "start": row["window_start"] + 0.5, "end": row["window_start"] + 1.0}]
+
+        return hear
+
+    rows = table(spark, sf_dir, "conversations")
+    begin = F.col("turn") * 4.0
+    found = rows.select(F.lit(1).cast("long").alias("query_id"), F.col("conv_id").alias("media_id"), F.lit("manual").alias("source"), F.lit("en").alias("language"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("text"), begin.alias("start"), (begin + 2.0).alias("end"), F.lit("fuzzy").alias("match_type"), F.lit(90.0).alias("score"), (F.col("turn") + 1).cast("int").alias("rank"))
+    media = rows.select(F.col("conv_id").alias("media_id")).distinct().select("media_id", F.lit(None).cast("double").alias("duration"), F.lit(0.0).alias("audio_start_time"))
+    lines = spark.createDataFrame([(1, "yes")], "query_id long, text string")
+    silence = turn_words(spark, sf_dir).where(F.lit(False))
+    hear = verify.by_connector(Connectors().register("recognise_window", factory), memo=f"{shared_folder(spark)}/clips-{uuid.uuid4().hex}", identity="precise")
+    out = verify.verify(found, media, silence, lines, margins=(1.0,), precision_words=hear)
+    return out.select("media_id", "verified", "caption_text", F.round("audio_processed_seconds", 3).alias("audio_processed_seconds"))
+
+
+@query(f"""
+WITH e AS (SELECT *, {SQL_SECONDS} AS sec FROM events)
+SELECT event_id AS query_id, user_id AS media_id, substr(sha256(event_id || '|' || user_id || '|' || event_id % 40), 1, 32) AS frame_id, event_type AS matched_text, round(sec, 3) AS start, CAST(event_id % 40 AS INTEGER) AS frame_index, event_id % 5 = 0 AS conflict, CAST(CASE WHEN event_id % 3 <> 0 THEN event_id % 3 END AS INTEGER) AS n FROM e""")
+def service_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as a service gives them: nested, the frame under an opaque id."""
+    rows = event_results(spark, sf_dir).withColumn("frame_index", (F.col("query_id") % 40).cast("int")).withColumn("evidence_conflict", F.coalesce("evidence_conflict", F.lit(False)))
+    out = search.response(rows)
+    return out.select("query_id", "media_id", "frame_id", "match.matched_text", F.round("match.start", 3).alias("start"), "frame.frame_index", F.col("evidence.evidence_conflict").alias("conflict"), F.col("match.occurrence_count").alias("n"))
+
+
+@query("SELECT event_id, user_id AS media_id, CASE WHEN user_id % 2 = 0 THEN 'second' ELSE 'first' END AS run FROM events WHERE user_id % 2 = 1 OR event_id % 3 = 0")
+def published_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run replaces what it has anew and leaves the rest of an earlier one."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("media_id"))
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    sinks.write(rows.withColumn("run", F.lit("first")).repartition("media_id"), path)
+    # media that the second run has nothing of keep their rows, so those of even numbers without a third event would stay
+    second = rows.where("media_id % 2 = 0 AND event_id % 3 = 0").withColumn("run", F.lit("second"))
+    sinks.write(second.repartition("media_id"), path)
+    found = spark.read.parquet(path).select("event_id", F.col("media_id").cast("long").alias("media_id"), "run")
+    empty = rows.where("media_id % 2 = 0").groupBy("media_id").agg(F.max((F.col("event_id") % 3 == 0).cast("int")).alias("any")).where("any = 0")
+    return found.join(empty, "media_id", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
 
@@ -13,15 +13,20 @@ CHECKPOINT = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written as a table and read again: what several branches of a plan use is computed once and outlives executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in the one that the driver and all executors share; a local one only where none is set,
+    as in tests."""
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT, None) or context.getConf().get(CHECKPOINT)
-    if not folder:  # a local folder only where none is set, as in tests
+    if not folder:
         if context.applicationId not in _own:
             _own[context.applicationId] = tempfile.mkdtemp(prefix="echoline-")
         folder = _own[context.applicationId]
-    path = f"{folder.rstrip('/')}/echoline-{context.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/echoline-{context.applicationId}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """df written as a table and read again: what several branches of a plan use is computed once and outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
