@@ -58,6 +58,12 @@ def sweep(spark: SparkSession) -> None:
     delete(spark, work_dir(spark))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage. Shuffles and broadcasts of earlier steps are freed, on executors too, only when
+    the driver's collector finds them unreachable, and the driver gives memory back only then."""
+    spark._jvm.java.lang.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables that are written inside go when it ends; what is to outlast it has to be written elsewhere."""

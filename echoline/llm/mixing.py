@@ -29,12 +29,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.base import persist
+from echoline.llm.base import persist, tidy
 
 # Domains of the label table, and the token shares wanted of each.
 DOMAINS = {"high_quality": "quality = 1 AND toxic = 0", "low_quality": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
 TARGETS = {"high_quality": 0.9, "low_quality": 0.1, "toxic": 0.0}
-BINS, SMOOTHING, RIDGE, ITERATIONS, ROUND, TOLERANCE = 8, 0.5, 0.005, 60, 15, 1e-5
+BINS, SMOOTHING, RIDGE, ITERATIONS, ROUND, TOLERANCE = 8, 0.5, 0.005, 60, 15, 1e-4
 #: Labelled rows of each domain that the classifier is fitted on.
 TRAIN_ROWS = 4000
 SYMBOLS, BREAKS = "%&*$#!|", ".,;:?\n\t\r\x0b\x0c"
@@ -113,8 +113,9 @@ def train_rows(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Term weights from the documents of each domain that hold the term, over the rows of `train_rows`."""
-    known = F.broadcast(train_rows(labels))  # TRAIN_ROWS for each domain at most
+    """Term weights from the documents of each domain that hold the term. labels: rows of `train_rows`, TRAIN_ROWS for
+    each domain at most."""
+    known = F.broadcast(labels)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(known, "id")
     texts = persist(texts.select("domain", F.array_distinct(terms_of(F.coalesce("text", F.lit("")))).alias("terms")), "mixing-train")
     each = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -188,10 +189,9 @@ def _array(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id") -> Classifier:
+def train(rows: DataFrame, known: DataFrame) -> Classifier:
     """Count bins by domain over the rows of `train_rows`."""
-    known = F.broadcast(train_rows(labels if label_id == "doc_id" else labels.withColumnRenamed(label_id, "doc_id")))
-    joined = rows.select("id", *[f"b{m}" for m in range(MEASURES)]).join(known, "id")
+    joined = rows.select("id", *[f"b{m}" for m in range(MEASURES)]).join(F.broadcast(known), "id")
     spread = joined.select("domain", F.posexplode(F.array(*[F.col(f"b{m}") for m in range(MEASURES)])).alias("m", "bin"))
     counts = {(r["domain"], r["m"], r["bin"]): r["n"] for r in spread.groupBy("domain", "m", "bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # domains * MEASURES * BINS rows at most
     each = [sum(n for (d, m, _), n in counts.items() if d == k and m == 0) for k in range(len(DOMAINS))]
@@ -263,12 +263,15 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     carried rows are measured a second time instead of being moved.
     """
     wanted = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
-    lexicon = learn(docs, labels, id_col, text_col)
+    known = persist(train_rows(labels), "mixing-labels")
+    lexicon = learn(docs, known, id_col, text_col)
     rows = persist(measured(docs, id_col, text_col, False, lexicon), "mixing-measures")
-    model = train(rows, labels)
+    model = train(rows, known)
+    tidy(docs.sparkSession)
     bins = [f"b{m}" for m in range(MEASURES)]
     cells = persist(rows.groupBy(*bins).agg(F.sum("tokens").alias("tokens")).withColumn("p", model.posterior()), "mixing-cells")
     rated = persist(cells.select(*bins, "p", "tokens", F.round(fit(cells, wanted, low, high, budget), 6).alias("rate")), "mixing-rated")
+    tidy(docs.sparkSession)
     reached = rated.agg(F.sum(F.col("tokens") * F.col("rate")).alias("n"), *[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(d))).alias(f"d{d}") for d in range(len(wanted))]).first()
     residual = max(abs(reached[f"d{d}"] / reached["n"] - t / (sum(wanted) or 1.0)) for d, t in enumerate(wanted)) if reached["n"] else 0.0
     rated = rated.drop("tokens").withColumn("residual", F.lit(round(residual, 6)))

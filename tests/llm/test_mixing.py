@@ -106,7 +106,7 @@ def test_terms_are_learned_from_the_labels(spark, prose):
     rows = [(k, f"{prose(1000 + k % 7, 30)} {rude[k // 6 % 4]}!! {prose(k, 30)}" if k % 3 == 0 else prose(1000 + k % 7, 61)) for k in range(360)]
     labels = [(k, 1, int(k % 3 == 0)) for k in range(0, 360, 2)]
     docs, table = make_docs(spark, rows), spark.createDataFrame(labels, LABELS)
-    assert set(rude) <= set(mixing.learn(docs, table).weights)
+    assert set(rude) <= set(mixing.learn(docs, mixing.train_rows(table)).weights)
     held = [r for r in mixing.mixing_query(docs, table).collect() if r["doc_id"] % 2]
     right = [(r["p_toxic"] > 0.5) == (r["doc_id"] % 3 == 0) for r in held]
     assert sum(right) / len(right) > 0.95
@@ -149,7 +149,7 @@ def test_measures_and_posteriors_equal_plain_python(spark, prose, awkward, monke
     rows, labels = corpus(prose, 90)
     rows = [*rows, *((500 + k, t) for k, (_, t) in enumerate(awkward) if t is not None), (700, "idiot " * 400 + "x | y!"), (701, "Idiot-like #1 (moron) loser!!")]
     docs, table = make_docs(spark, rows), spark.createDataFrame(labels, LABELS)
-    lexicon = mixing.learn(docs, table)
+    lexicon = mixing.learn(docs, mixing.train_rows(table))
     assert lexicon.weights
     for most in (mixing.MOST_PACKED, 3):  # sums in one integer, and each for itself
         monkeypatch.setattr(mixing, "MOST_PACKED", most)
