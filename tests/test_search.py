@@ -270,3 +270,40 @@ def test_precise_recogniser_is_asked_late(spark, tmp_path):
     assert (got[1]["matched_text"], got[1]["passes"], got[1]["score"]) == ("open the door", 2, 100.0)
     assert 45 <= got[1]["base_score"] < 85
     assert "1 19.0" in asked()
+
+
+CLIPS = """
+from echoline.sources.connectors import Connectors
+
+
+def make(options):
+    def factory():
+        def hear(row):
+            said = ["come", "here"] if row["window_start"] <= 4 else ["silence"]
+            return [{"media_id": row["media_id"], "window_start": row["window_start"], "window_end": row["window_end"], "word_idx": k, "text": w, "start": 4.0 + k, "end": 4.5 + k} for k, w in enumerate(said)]
+
+        return hear
+
+    assert (options.device, options.compute_type, options.cookies) == ("cpu", "int8", None)
+    return Connectors().register("recognise_window", factory)
+"""
+
+
+def test_cli_with_connectors_and_images(spark, tmp_path, monkeypatch):
+    """Captions verified by a connector on the windows themselves: the table of words holds nothing of the line."""
+    (tmp_path / "clip_connectors.py").write_text(CLIPS)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "clip_connectors.py"))
+    words_table(spark, (1, "base", 2.0, "nothing at all")).write.parquet(f"{tmp_path}/words")
+    spark.createDataFrame([(1, "come here")], schemas.TARGETS).write.parquet(f"{tmp_path}/targets")
+    spark.createDataFrame([(1, 30.0, 0.0)], MEDIA).write.parquet(f"{tmp_path}/media")
+    spark.createDataFrame([(1, "manual", "en", 0, "Come here!", 4.0, 6.0), (1, "manual", "en", 1, "Come here!", 20.0, 22.0)], "media_id long, source string, language string, cue_idx int, text string, start double, end double").write.parquet(f"{tmp_path}/cues")
+    spark.createDataFrame([(1, k, None, float(k)) for k in range(30)], "media_id long, decode_idx int, pts long, timestamp double").write.parquet(f"{tmp_path}/frames")
+    spark.createDataFrame([(1, k, bytearray(b"%d" % k)) for k in range(30)], "media_id long, decode_idx int, image binary").write.parquet(f"{tmp_path}/images")
+    args = [x for n in ("words", "targets", "media", "cues", "frames", "images") for x in (f"--{n}", f"{tmp_path}/{n}")]
+    assert cli.main([*args, "--connectors", "clip_connectors:make", "--cache", f"{tmp_path}/memo", "--output", f"{tmp_path}/out"], spark) == 0
+    row = spark.read.parquet(f"{tmp_path}/out").first()
+    assert (row["dialogue_start"], row["localization_source"], row["frame_index"]) == (4.0, "caption", 4)
+    published = [f for f in (tmp_path / "out-images" / "frames").iterdir() if f.suffix == ".png"]
+    assert [f.read_bytes() for f in published] == [b"4"]
+    assert spark.read.parquet(f"{tmp_path}/memo/windows").count() >= 1
