@@ -224,10 +224,12 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
                 while stop < len(raw) and (room > 0 or stop == at):
                     room -= len(raw[stop])
                     stop += 1
-                rows = []
-                for doc, ids in zip(docs[at:stop], codec.encode_many(raw[at:stop]), strict=True):
+                done = {}
+                distinct = list(dict.fromkeys(raw[at:stop]))  # copies of a document stand side by side
+                for text, ids in zip(distinct, codec.encode_many(distinct), strict=True):
                     back = codec.decode(ids)
-                    rows.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), len(back)) if digest else (doc, ids, back))
+                    done[text] = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), len(back)) if digest else (ids, back)
+                rows = [(doc, *done[text]) for doc, text in zip(docs[at:stop], raw[at:stop], strict=True)]
                 at = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
