@@ -45,7 +45,7 @@ SYMBOL, MARK = "\x01", "\x02"
 UNIT, MOST_WEIGHT, MOST_PACKED = 1000, 10.0, (1 << 31) // 10_000 - 1
 #: Terms kept, the least evidence (G squared, so that chance agreement of rare terms teaches nothing), hash slots, and
 #: the edges of the bins of summed weights.
-TERMS, EVIDENCE, SLOTS, EDGES = 2048, 15.0, 1 << 15, (-8.0, -3.0, -0.5, 0.5, 3.0, 8.0, 20.0)
+TERMS, EVIDENCE, SLOTS, EDGES = 2048, 15.0, 1 << 12, (-8.0, -3.0, -0.5, 0.5, 3.0, 8.0, 20.0)
 CONTRASTS = (((2,), (0, 1)), ((0,), (1,)))  # toxic against clean, high against low quality: numbers of DOMAINS
 
 
@@ -71,7 +71,8 @@ def slot(term: Column) -> Column:
 
 @dataclass
 class Lexicon:
-    """term -> (slot, weight in each of CONTRASTS); of terms that share a slot the one of higher evidence."""
+    """term -> (slot, weight in each of CONTRASTS); of terms that share a slot the one of higher evidence. The tables of
+    slots are literals of the plan, so they are kept small: the driver holds plans many times over."""
 
     weights: dict[str, tuple[int, list[float]]]
 
@@ -137,8 +138,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         weights.append(F.when(g >= EVIDENCE, F.round(F.greatest(F.lit(-MOST_WEIGHT), F.least(F.lit(MOST_WEIGHT), odds[0] - odds[1])), 3)).otherwise(0.0))
     rows = counts.select("term", F.greatest(*evidence).alias("g"), slot(F.col("term")).alias("slot"), *[w.alias(f"w{k}") for k, w in enumerate(weights)])
     kept: dict[int, tuple[str, list[float]]] = {}
-    for r in rows.where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "term").limit(TERMS).collect():
-        kept.setdefault(r["slot"], (r["term"], [r[f"w{k}"] for k in range(len(CONTRASTS))]))
+    for r in rows.where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "term").limit(2 * TERMS).collect():
+        if len(kept) < TERMS:  # the next best term takes the place of one whose slot is taken
+            kept.setdefault(r["slot"], (r["term"], [r[f"w{k}"] for k in range(len(CONTRASTS))]))
     return Lexicon({term: (k, w) for k, (term, w) in kept.items()})
 
 
@@ -246,6 +248,7 @@ def fit(cells: DataFrame, targets: list[float], low: float, high: float, budget:
     for _ in range(ITERATIONS):
         if len(history) - done == ROUND:
             now, done = persist(now.select("tokens", "p", steps_of(history[done:], F.col("s"), low, high, step, momentum).alias("s")), "mixing-rates"), len(history)
+            tidy(cells.sparkSession)
         totals = now.select("tokens", "p", steps_of(history[done:], F.col("s"), low, high, step, momentum)["y"].alias("y")).agg(*[F.sum(n * F.col("y") * p[d]).alias(f"d{d}") for d in range(width)]).first()
         history.append([(totals[f"d{d}"] / whole - goal[d]) * scale[d] for d in range(width)])
         if len(history) > 1 and max(abs(a - b) / c for a, b, c in zip(history[-1], history[-2], scale, strict=True)) < TOLERANCE:
@@ -265,6 +268,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     wanted = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
     known = persist(train_rows(labels), "mixing-labels")
     lexicon = learn(docs, known, id_col, text_col)
+    tidy(docs.sparkSession)
     rows = persist(measured(docs, id_col, text_col, False, lexicon), "mixing-measures")
     model = train(rows, known)
     tidy(docs.sparkSession)
