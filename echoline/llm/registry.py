@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoline.llm import bpe, langid, licenses, matroska, mixing, neardup, sharding, substrings, topk, toxicity
+from echoline.llm import bpe, centroids, langid, licenses, matroska, mixing, neardup, pieces, resampling, sharding, substrings, topk, toxicity
 from echoline.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op2_block_topk, op3_licences, op4_substrings, op5_near_duplicates, op6_byte_bpe, op7_virtual_slots, op8_mixing, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_matroska, op2_block_topk, op3_licences, op4_substrings, op5_near_duplicates, op6_byte_bpe, op7_virtual_slots, op8_mixing, op9_toxicity, op10_language, op11_pieces, op12_centroids, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_topk": topk.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL}
+    return {"op2_block_topk": topk.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op12_centroids": centroids.ORACLE_SQL, "op13_resampling": resampling.ORACLE_SQL}
