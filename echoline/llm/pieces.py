@@ -33,9 +33,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 NO_RANK = 1 << 60
-#: Characters that are normalised and segmented at a time, estimated bytes of segments that a worker remembers, and the
-#: length from which a segment's pairs are kept in a heap.
-STEP, CACHE_BYTES, LONG = 1 << 20, 120 << 20, 64
+#: Characters that are normalised and segmented at a time, estimated bytes of each of the two generations of segments that a
+#: worker remembers, and the length from which a segment's pairs are kept in a heap.
+STEP, CACHE_BYTES, LONG = 1 << 20, 110 << 20, 64
 
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -142,6 +142,7 @@ class Normaliser:
         self.m = model
         self.map = CharacterMap(model.charsmap) if model.charsmap else None
         self.space = MARK if model.escape else " "
+        self.plain = self.map is None and model.user_defined is None and not model.collapse
 
     def cut(self, text: str) -> Iterator[str]:
         """Parts of about STEP characters; no key, run of spaces or segment spans a cut."""
@@ -170,7 +171,7 @@ class Normaliser:
         parts = list(self.cut(text)) if text else []
         for k, part in enumerate(parts):
             last = k == len(parts) - 1
-            if self.map is None and m.user_defined is None and not m.collapse:
+            if self.plain:
                 raw = np.frombuffer(part.encode("utf-8"), np.uint8)
                 out = [part.replace(" ", self.space)]
                 offsets = np.repeat(np.arange(done, done + len(raw)), np.where(raw == 32, len(self.space.encode()), 1))
@@ -216,7 +217,7 @@ class Codec:
         self.normaliser = Normaliser(m)
         plain = [i for i, k in enumerate(m.kinds) if k in (NORMAL, USER_DEFINED, UNUSED)]
         self.id_of = {m.pieces[i]: i for i in plain}
-        self.known_piece = {p: (i, len(p.encode("utf-8"))) for p, i in self.id_of.items()}.get
+        self.known_piece = {p: (i, len(p.encode("utf-8")) - 2 * p.count(MARK) * m.escape) for p, i in self.id_of.items()}.get
         places = {s: k for k, s in enumerate(sorted({m.scores[i] for i in plain}, reverse=True))}
         self.rank_of = {m.pieces[i]: places[m.scores[i]] for i in plain}
         self.unused = {m.pieces[i] for i in plain if m.kinds[i] == UNUSED}
@@ -226,10 +227,16 @@ class Codec:
         apart = m.escape and m.user_defined is None and not any(inner.search(p) for p in self.id_of)
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if apart else lambda text: [text]
         self.known: dict[str, tuple[bytes, bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, bytes, str]] = {}
         self.held = 0
+        self.marks = np.array([p.count(MARK) if k in (NORMAL, USER_DEFINED, UNUSED) else 0 for p, k in zip(m.pieces, m.kinds, strict=True)])
+        self.direct = self.normaliser.plain and apart and m.prefix and not m.suffix and m.byte_fallback and MARK in self.id_of
         self.decimals = list(map(str, range(len(m.pieces))))
         surfaces = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: m.unknown_surface.encode()}
         self.surface = [surfaces.get(k, lambda p: p.replace(MARK, " ").encode())(p) for p, k in zip(m.pieces, m.kinds, strict=True)]
+        self.lengths = np.array(list(map(len, self.surface)), np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.all_surfaces = np.frombuffer(b"".join(self.surface), np.uint8)
         self.starts_marked = [k not in surfaces and p.startswith(MARK) for p, k in zip(m.pieces, m.kinds, strict=True)]
 
     def merged(self, parts: list[str], frozen: set[int]) -> list[str]:
@@ -294,7 +301,7 @@ class Codec:
         return parts + list(segment[at:]), frozen
 
     def encode_segment(self, segment: str) -> tuple[list[int], list[int]]:
-        """Ids, and how many bytes of the normalised text each takes; of a character's byte pieces the last takes all."""
+        """Ids, and how many bytes each takes, a mark counting as one; of a character's byte pieces the last takes all."""
         ids, sizes = [], []
         for piece in self.merged(*self.symbols(segment)):
             if (found := self.known_piece(piece)) is not None:
@@ -307,37 +314,50 @@ class Codec:
         return ids, sizes
 
     def learn(self, segments: set[str]) -> None:
-        """Make sure that all these segments are known."""
+        """Make sure that all these segments are known. Those of the last generation but one are forgotten."""
         if self.held > CACHE_BYTES:
-            self.known.clear()
-            self.held = 0
+            self.older, self.known, self.held = self.known, {}, 0
         for s in [s for s in segments if s not in self.known]:
-            ids, sizes = self.encode_segment(s)
-            self.known[s] = array("I", ids).tobytes(), array("I", sizes).tobytes(), ",".join([self.decimals[i] for i in ids])
-            self.held += 330 + 4 * len(s) + 14 * len(ids)
+            if (found := self.older.get(s)) is None:
+                ids, sizes = self.encode_segment(s)
+                found = array("I", ids).tobytes(), array("I", sizes).tobytes(), ",".join([self.decimals[i] for i in ids])
+            self.known[s] = found
+            self.held += 330 + 4 * len(s) + 5 * len(found[0])
 
     def encode(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
         """(ids, span begins, span ends, decimal ids joined by commas) of the text's successive chunks."""
+        if self.direct and MARK not in text:  # a blank is a mark and takes one byte: sizes count bytes of the source
+            done = -1  # the mark that normalisation puts in front
+            for part in self.normaliser.cut(text) if text else ():
+                segments = self.split((MARK + part if done < 0 else part).replace(" ", MARK))
+                ids, sizes, decimals = self.looked_up(segments)
+                ends = np.cumsum(sizes, dtype=np.int64) + done
+                begins = np.concatenate([[max(done, 0)], ends[:-1]])
+                done = int(ends[-1])
+                yield ids, begins, ends, decimals
+            return
         for chunk, offsets in self.normaliser.chunks(text):
-            segments = self.split(chunk)
-            self.learn(set(segments))
-            ids, sizes, decimals = zip(*map(self.known.__getitem__, segments), strict=True)
-            ids, ends = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(np.frombuffer(b"".join(sizes), "<u4"), dtype=np.int64)
-            begins, joined = np.concatenate([[0], ends[:-1]]), None
+            ids, sizes, decimals = self.looked_up(self.split(chunk))
+            ends = np.cumsum(sizes + 2 * self.marks[ids] if self.m.escape else sizes, dtype=np.int64)
+            begins = np.concatenate([[0], ends[:-1]])
             if not self.m.byte_fallback:
                 run = (ids == self.unknown) & np.concatenate([[False], ids[:-1] == self.unknown])
                 if run.any():
                     ids, begins, ends = ids[~run], begins[~run], ends[np.append(~run[1:], True)]
-                    joined = ",".join(map(str, ids.tolist()))
-            yield ids, offsets[begins], offsets[ends], ",".join(decimals) if joined is None else joined
+                    decimals = ",".join(map(str, ids.tolist()))
+            yield ids, offsets[begins], offsets[ends], decimals
+
+    def looked_up(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, str]:
+        self.learn(set(segments))
+        ids, sizes, decimals = zip(*map(self.known.__getitem__, segments), strict=True)
+        return np.frombuffer(b"".join(ids), "<u4"), np.frombuffer(b"".join(sizes), "<u4"), ",".join(decimals)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that the ids stand for. At its start the marks that normalisation adds go."""
-        listed = ids.tolist()
         out, at = [], 0
         if self.m.prefix or self.m.collapse:
-            while at < len(listed):
-                i = listed[at]
+            while at < len(ids):
+                i = int(ids[at])
                 if self.m.kinds[i] == BYTE:
                     break
                 part = self.surface[i][1:] if self.starts_marked[i] else self.surface[i]
@@ -345,7 +365,12 @@ class Codec:
                 at += 1
                 if part or self.starts_marked[i] and not self.m.collapse:
                     break
-        text = b"".join(out) + b"".join(map(self.surface.__getitem__, listed[at:]))
+        for k in range(at, len(ids), STEP):
+            part = np.asarray(ids[k : k + STEP], np.int64)
+            sizes = self.lengths[part]
+            ends = np.cumsum(sizes)
+            out.append(self.all_surfaces[np.repeat(self.places[part] - (ends - sizes), sizes) + np.arange(int(ends[-1]))].tobytes())
+        text = b"".join(out)
         try:
             text.decode("utf-8")
         except UnicodeDecodeError:
