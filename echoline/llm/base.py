@@ -42,6 +42,8 @@ def work_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = spark.conf.get(CHECKPOINT, None) or context.getConf().get(CHECKPOINT)
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT} must name a folder that the driver and all executors share")
         if context.applicationId not in _own:
             _own[context.applicationId] = tempfile.mkdtemp(prefix="echoline-")
         found = _own[context.applicationId]

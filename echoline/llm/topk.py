@@ -10,7 +10,8 @@ Queries come in chunks of a fixed number, which are broadcast one after another;
 of every query, and the last step keeps the best k of those.
 
 Defined results: null vectors and vectors with null or non-finite components take no part; vectors are compared with
-those of equal length only; repeated ids are separate candidates, but no row of the query's own id is its candidate;
+those of equal length only; repeated ids are separate candidates, but no row of the query's own id is its candidate; query rows
+that repeat an id and its vector are one query, rows of one id with other vectors are ranked each for itself; an empty table gives no rows;
 fewer than k candidates give fewer rows. Components are floor(scale * x) as 64-bit integers; a magnitude beyond 2**62
 is clamped there before the product, and products are exact below 2**63.
 """
@@ -30,7 +31,7 @@ BLOCK, QUERY_CHUNK, CELL_BITS = 128, 4096, 12
 #: Integers below this give products that float64 adds without loss (for up to 256 dimensions).
 EXACT = 1 << 22
 INDEX = "dim int, n int, ids binary, forward binary, top binary, low binary"
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, asked long, vec_id long, score long"
 
 
 def integer_vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -118,7 +119,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 102
     """(query_id, rank, vec_id, score): each query's k best of all vectors."""
     spark = vectors.sparkSession
     index = persist(blocks(integer_vectors(vectors, scale, id_col, vector_col)), "topk-index")
-    asked = persist(integer_vectors(queries, scale, id_col, vector_col).select("vec_id", "v"), "topk-queries")
+    asked = persist(integer_vectors(queries, scale, id_col, vector_col).select("vec_id", "v").distinct().withColumn("asked", F.monotonically_increasing_id()), "topk-queries")
     fields = spark_to_arrow(spark, FOUND)
     found: DataFrame | None = None
 
@@ -131,25 +132,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 102
                 for dim, n, ids, forward, top, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     by_dim.setdefault(dim, []).append((np.frombuffer(ids, np.int64), np.frombuffer(forward, np.int64).reshape(n, dim), np.frombuffer(top, np.int64), np.frombuffer(low, np.int64)))
             for dim, held in by_dim.items():
-                mine = [(i, v) for i, v in sent.value if len(v) == dim]
+                mine = [q for q in sent.value if len(q[1]) == dim]
                 for start in range(0, len(mine), 256):
                     some = mine[start : start + 256]
-                    for own, ids, scores, _ in search_blocks(np.array([i for i, _ in some], np.int64), np.array([v for _, v in some], np.int64), held, k):
+                    for (_, _, row), (own, ids, scores, _) in zip(some, search_blocks(np.array([i for i, *_ in some], np.int64), np.array([v for _, v, _ in some], np.int64), held, k), strict=True):
                         if len(ids):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own)), pa.array(ids), pa.array(scores)], schema=fields)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own)), pa.array(np.full(len(ids), row)), pa.array(ids), pa.array(scores)], schema=fields)
 
         return index.mapInArrow(run, FOUND)
 
     part: list = []
     for r in asked.toLocalIterator():
-        part.append((r["vec_id"], r["v"]))
+        part.append((r["vec_id"], r["v"], r["asked"]))
         if len(part) == chunk:
             done = persist(scan(part), "topk-found")
             found, part = done if found is None else found.unionByName(done), []
     if part or found is None:
         last = scan(part)
         found = last if found is None else found.unionByName(last)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

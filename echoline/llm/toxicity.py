@@ -293,18 +293,23 @@ def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores below one half; all columns stay."""
-    bound_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    """The rows of docs whose text scores below one half; all columns stay as they are. Bytes that are not valid UTF-8 are
+    replaced for scoring only: the text goes to the workers as bytes, beside the row."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    sent = spark.sparkContext.broadcast(lexicon)
+    names, kinds = [f"c{k}" for k in range(len(docs.columns))], [f.dataType for f in docs.schema]
+    as_bytes = [F.col(f"`{c}`").cast("binary").alias(n) if kind.typeName() == "string" else F.col(f"`{c}`").alias(n) for c, n, kind in zip(docs.columns, names, kinds, strict=True)]
     at = docs.columns.index(text_col)
 
     def run(batches):
         matcher = Matcher(sent.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            yield batch.filter(pa.array([matcher.probability(matcher.measure(t or "")[0]) < 0.5 for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([matcher.probability(matcher.measure((t or b"").decode("utf-8", "replace"))[0]) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    raw = docs.select(*as_bytes)
+    return raw.mapInArrow(run, raw.schema).select(*[F.col(n).cast(kind).alias(c) for n, c, kind in zip(names, docs.columns, kinds, strict=True)])
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import os
 
 from echoline.llm import base
@@ -43,7 +45,7 @@ def test_scratch_goes_when_it_ends(spark, tmp_path, monkeypatch):
 
 def test_one_folder_where_none_is_set(monkeypatch):
     class Context:
-        applicationId = "app-1"
+        applicationId, master = "app-1", "local[2]"
 
         def getConf(self):
             return {}
@@ -71,3 +73,19 @@ def test_smaller_batches_of_the_caller_stay(spark):
         assert spark.conf.get(name) == str(base.BATCH_ROWS)
     finally:
         spark.conf.set(name, before)
+
+
+def test_clusters_need_a_shared_folder():
+    """Without the setting a local folder serves local masters only."""
+    from types import SimpleNamespace as Some
+
+    from echoline.llm import base
+
+    def session(master):
+        context = Some(applicationId=f"app-{master}", master=master, getConf=lambda: {})
+        return Some(sparkContext=context, conf=Some(get=lambda key, default=None: default))
+
+    assert base.work_dir(session("local[2]")).endswith("echoline-app-local[2]")
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            base.work_dir(session(master))

@@ -44,6 +44,14 @@ def test_ties_nulls_and_few_rows(spark):
     assert run(spark, [(1, [1.0])]) == set()
 
 
+def test_repeated_queries(spark):
+    """A repeated row is one query; another vector of the same id is a query of its own."""
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, 1.0])] + [(k, [k / 100, -k / 100]) for k in range(1, 30)]
+    df = spark.createDataFrame([(i, e, 1, "x", 2, 3) for i, e in rows], SCHEMA).repartition(3)
+    got = sorted((r["rank"], r["vec_id"]) for r in topk.search(df, df.where("vec_id % 100 = 0")).collect())
+    assert got == sorted([(r, 30 - r) for r in range(1, 11)] + [(r, r) for r in range(1, 11)])
+
+
 def test_large_integers(spark):
     rows = [(0, [3000.0, -2.0]), (1, [8000.0, 1.0]), (2, [-8000.0, 5.0]), (3, [1e5, 1e5])]
     assert run(spark, rows) == brute(rows)

@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 from conftest_llm import make_docs
+from pyspark.sql import functions as F
 
 from echoline.llm import toxicity as tox
 
@@ -131,3 +132,14 @@ def test_filter_keeps_all_columns(spark, learned):
     kept = tox.keep_clean(docs, learned)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
+def test_invalid_utf8_and_all_columns_stay(spark):
+    """Bytes that are no UTF-8 are kept as they are, whatever the columns are called."""
+    lexicon = tox.Lexicon(words={"grobian": 9.0}, slope=4.0, bias=-2.0)
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'61FFFE62' AS STRING) AS text, CAST(X'FF' AS STRING) AS lang, 2 AS `a.b`, array('x') AS list UNION ALL SELECT 2L, 'grobian grobian', 'en', 3, NULL UNION ALL SELECT 3L, NULL, NULL, NULL, NULL")
+    kept = tox.keep_clean(docs, lexicon)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    rows = {r["doc_id"]: r for r in kept.select("doc_id", F.hex("text").alias("t"), F.hex("lang").alias("l"), F.col("`a.b`").alias("n"), "list").collect()}
+    assert set(rows) == {1, 3}
+    assert (rows[1]["t"], rows[1]["l"], rows[1]["n"], rows[1]["list"]) == ("61FFFE62", "FF", 2, ["x"])
