@@ -1,9 +1,9 @@
 """Fuzzy occurrences of target lines in timed words.
 
-Targets are broadcast, CHUNK characters of them at a time (some twenty thousand lines); each transcript is read and
-tokenised once for all of them, and a filter (`Bank`, BANK targets each) names the few targets that it may hold. Only for
-those are windows scored, all lengths from one start in one pass, and the chronological, non-overlapping occurrences are
-selected on the spot: transcripts never move.
+Up to CHUNK characters of targets (some twenty thousand lines) are broadcast and transcripts never move; more targets and the
+transcripts are dealt to a grid of blocks (`against`). A transcript is tokenised once a block, and a filter (`Bank`, BANK
+targets each) names the few targets that it may hold. Only for those are windows scored, all lengths from one start in one
+pass, and the chronological, non-overlapping occurrences are selected on the spot.
 
 Candidates don't come from an index of pieces: at a similarity of 85 a quarter of a line's characters may be missing,
 evenly spread, so that no piece of four characters needs to be intact and an equi-join on pieces would lose matches.
@@ -15,15 +15,15 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoline.functions.similarity import Bank, lcs_prefixes, masks
 from echoline.functions.text import assemble, matching_tokens, transcript_tokens
 from echoline.schemas import OCCURRENCES
 
-#: Characters of targets that are broadcast at a time, and targets that one filter holds.
-CHUNK, BANK = 4 << 20, 256
+#: Characters of targets that are broadcast or that a block of the grid holds, bytes of a group of rows, targets of one filter.
+CHUNK, CELL, BANK = 4 << 20, 16 << 20, 256
 #: Bytes a core below which a table is dealt out evenly before it is searched.
 SMALL = 64 << 20
 SHORT_TOKENS, SHORT_LETTERS = 1, 4
@@ -116,19 +116,44 @@ def spoken(df: DataFrame, id_col: str, text_col: str, seconds_a_word: float = 0.
     return df.select(df[id_col].cast("long").alias("media_id"), timed.alias("words"))
 
 
-def in_chunks(targets: DataFrame, make: Callable[[list[tuple[int, str]]], DataFrame], chunk: int | None = None) -> DataFrame:
-    """The union of make(targets) over chunks of the targets, so that what is broadcast stays bounded."""
-    out, part, size = None, [], 0
-    for row in targets.select("query_id", "text").toLocalIterator():
-        part.append((row["query_id"], row["text"]))
-        size += len(row["text"] or "") + 1
-        if size >= (chunk or CHUNK):
-            done = make(part)
-            out, part, size = done if out is None else out.unionByName(done), [], 0
-    if part or out is None:
-        done = make(part)
-        out = done if out is None else out.unionByName(done)
-    return out
+Asked = list[tuple[int, str]]
+
+
+def against(rows: DataFrame, targets: DataFrame, ready: Callable[[Asked], list], work: Callable[[list], Callable[[pa.RecordBatch], list[tuple]]], schema: str, size: Column, *keys: str) -> DataFrame:
+    """What work(ready(targets)) finds in all batches of rows.
+
+    Targets of at most CHUNK characters, which is measured first, are broadcast, and rows stay where they are. More make a grid: targets
+    are dealt by a hash to blocks of about CHUNK characters, rows by a hash of keys to groups of about CELL bytes (size: the bytes
+    of a row), and each pair of block and group is one cell, which holds these two only. A row is sent once for each block and a
+    target once for each group; the driver sees two sums, and a lost executor costs its cells.
+    """
+    asked, fields = targets.select("query_id", "text"), arrow_fields(rows, schema)
+    volume = asked.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16).alias("n")).first()["n"] or 0
+    if volume <= CHUNK:
+        sent = rows.sparkSession.sparkContext.broadcast(ready([(r["query_id"], r["text"]) for r in asked.collect()]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one = work(sent.value)
+            for batch in batches:
+                if found := one(batch):
+                    yield record_batch(found, fields)
+
+        return spread(rows).mapInArrow(run, schema)
+    blocks, groups = -(-volume // CHUNK), max(1, -(-(rows.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0) // CELL))
+    names, cell = rows.columns, ["__group", "__block"]
+    deal = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("__group", deal(keys, groups)).withColumn("__block", every(blocks))
+    right = asked.withColumn("__block", deal(["query_id", "text"], blocks)).withColumn("__group", every(groups))
+
+    def meet(some: pa.Table, lines: pa.Table) -> pa.Table:
+        if not some.num_rows or not lines.num_rows:
+            return fields.empty_table()
+        one = work(ready(list(zip(lines["query_id"].to_pylist(), lines["text"].to_pylist(), strict=True))))
+        found = [r for batch in some.select(names).combine_chunks().to_batches(max_chunksize=256) for r in one(batch)]
+        return pa.Table.from_batches([record_batch(found, fields)]) if found else fields.empty_table()
+
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, schema)
 
 
 class Banks:
@@ -177,29 +202,28 @@ def occurrences(media: DataFrame, targets: DataFrame, threshold: float = 85.0, d
     """OCCURRENCES of every target in every transcript. Targets without a letter or digit find nothing (see `errors`).
     Pairs (query_id, media_id) of done are not looked for."""
 
-    def make(part: list[tuple[int, str]]) -> DataFrame:
-        sent = media.sparkSession.sparkContext.broadcast([(q, m) for q, m in ((q, matching_tokens(t or "")) for q, t in part) if m])
-        fields = arrow_fields(media, OCCURRENCES)
+    def ready(part: Asked) -> list:
+        return [(q, m) for q, m in ((q, matching_tokens(t or "")) for q, t in part) if m]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            banks = Banks([" ".join(m) for _, m in sent.value], threshold)
-            for batch in batches:
-                rows = []
-                media_ids, spoken_words, skips = (c.to_pylist() for c in batch.columns)
-                tokens = [transcript_tokens([w["text"] for w in words or ()]) for words in spoken_words]
-                candidates = banks.many([" ".join(t for t, _, _ in ts) for ts in tokens])
-                for media_id, words, skip, ts, ks in zip(media_ids, spoken_words, skips, tokens, candidates, strict=True):
-                    answered = set(skip)
-                    for query_id, target in (sent.value[k] for k in ks if sent.value[k][0] not in answered):
-                        found = select(survivors(ts, target, threshold), ts, len(target))
-                        rows += [(query_id, media_id, n, *describe(w, ts, words)) for n, w in enumerate(found)]
-                if rows:
-                    yield record_batch(rows, fields)
-
-        return spread(open_media).mapInArrow(run, OCCURRENCES)
+    def work(known: list) -> Callable[[pa.RecordBatch], list[tuple]]:
+        banks = Banks([" ".join(m) for _, m in known], threshold)
+
+        def one(batch: pa.RecordBatch) -> list[tuple]:
+            rows = []
+            media_ids, spoken_words, skips = (c.to_pylist() for c in batch.columns)
+            tokens = [transcript_tokens([w["text"] for w in words or ()]) for words in spoken_words]
+            candidates = banks.many([" ".join(t for t, _, _ in ts) for ts in tokens])
+            for media_id, words, skip, ts, ks in zip(media_ids, spoken_words, skips, tokens, candidates, strict=True):
+                answered = set(skip)
+                for query_id, target in (known[k] for k in ks if known[k][0] not in answered):
+                    found = select(survivors(ts, target, threshold), ts, len(target))
+                    rows += [(query_id, media_id, n, *describe(w, ts, words)) for n, w in enumerate(found)]
+            return rows
+
+        return one
 
     open_media = skipping(media.select("media_id", "words"), targets, done)
-    return in_chunks(targets, make)
+    return against(open_media, targets, ready, work, OCCURRENCES, 24 * F.greatest(F.size("words"), F.lit(1)), "media_id")
 
 
 TOKENS = "media_id long, tok_idx int, token string, first_word int, last_word int"

@@ -420,12 +420,12 @@ def caption_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from echoline.plans import catalog_more  # noqa: F401  (registers its queries)
+    from echoline.plans import catalog_lazy, catalog_more  # noqa: F401  (register their queries)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from echoline.plans import catalog_more  # noqa: F401  (registers its queries)
+    from echoline.plans import catalog_lazy, catalog_more  # noqa: F401  (register their queries)
 
     return dict(ORACLE)

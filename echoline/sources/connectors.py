@@ -9,13 +9,14 @@ from __future__ import annotations
 import shutil
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from echoline import schemas
 from echoline.tables import materialize
 
-Rows = Iterator[pd.DataFrame]
+#: Input rows whose results are held at a time.
+ROWS = 100
 
 
 class Connectors:
@@ -30,7 +31,7 @@ class Connectors:
         "probe": "media_id long, probe string",
         "recognise_window": "media_id long, window_start double, window_end double, word_idx int, text string, start double, end double",
         "transcribe": schemas.WORDS,
-        "align": schemas.WORDS,
+        "align": f"{schemas.WORDS}, error string",
         "decode_frames": schemas.FRAMES,
         "read_text": schemas.OCR_LINES,
     }
@@ -44,23 +45,41 @@ class Connectors:
         self.factories[role] = factory
         return self
 
-    def run(self, role: str, rows: DataFrame) -> DataFrame:
-        """The rows that the connector yields for each input row."""
+    def run(self, role: str, rows: DataFrame, keep_going: bool = False) -> DataFrame:
+        """The rows that the connector yields for each input row. keep_going, for roles that tell faults in `error`: what a row
+        raises becomes its only result row, with the columns that the input has too."""
         if role not in self.factories:
             raise ValueError(f"no connector for {role}; its table has to be given instead")
         factory, schema = self.factories[role], self.ROLES[role]
+        from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import StructType
 
-        columns = StructType.fromDDL(schema).names
+        fields = to_arrow_schema(StructType.fromDDL(schema))
+        keys = {f.name for f in rows.schema if f.name in fields.names and f.dataType.typeName() in ("long", "integer", "string", "double")}
+        if keep_going and "error" not in fields.names:
+            raise ValueError(f"{role} can't tell faults")
 
-        def apply(batches: Rows) -> Rows:
+        def column(found: list[dict], field: pa.Field) -> pa.Array:
+            values = [r.get(field.name) for r in found]
+            return pa.array([list(v.items()) if isinstance(v, dict) else v for v in values] if pa.types.is_map(field.type) else values, field.type)
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = factory()
-            for batch in batches:
-                out = [r for row in batch.to_dict("records") for r in one(row)]
-                yield pd.DataFrame(out, columns=columns)
 
-        return rows.mapInPandas(apply, schema)
+            def attempt(row: dict) -> list[dict]:
+                try:
+                    return list(one(row))
+                except Exception as fault:  # a connector may raise anything
+                    if not keep_going:
+                        raise
+                    return [{k: v for k, v in row.items() if k in keys} | {"error": str(fault) or type(fault).__name__}]
+
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS):  # what connectors give for a row may be much
+                    if found := [r for row in batch.slice(start, ROWS).to_pylist() for r in attempt(row)]:
+                        yield pa.RecordBatch.from_arrays([column(found, f) for f in fields], schema=fields)
 
+        return rows.mapInArrow(apply, schema)
 
     def run_refreshed(self, role: str, rows: DataFrame, refresh: str = "inspect", key: str = "media_id") -> DataFrame:
         """As run, for a connector that tells faults in `error`: rows that fail are inspected anew, once, and tried again
@@ -97,6 +116,18 @@ def aligned(words: DataFrame, realigned: DataFrame) -> DataFrame:
     return rows.select("media_id", "model", "word_idx", "text", time("s", "start"), time("e", "end"), "probability", F.when(both, "whisperx").otherwise("faster-whisper").alias("alignment_source"))
 
 
+def align(words: DataFrame, connectors: Connectors) -> DataFrame:
+    """words as `aligned` gives them, with `precision_fallback_reason`: why a medium's words kept their own times, if its
+    aligner failed. Each medium is aligned for itself, so one that fails costs no other."""
+    from pyspark.sql import functions as F
+
+    ordered = F.array_sort(F.collect_list(F.struct("word_idx", "text", "start", "end")))
+    lists = words.groupBy("media_id", "model").agg(ordered.alias("words"))
+    got = materialize(connectors.run("align", lists, keep_going=True), "aligned")
+    reasons = got.where("error IS NOT NULL").groupBy("media_id", "model").agg(F.min("error").alias("precision_fallback_reason"))
+    return aligned(words, got.where("error IS NULL")).join(reasons, ["media_id", "model"], "left")
+
+
 def timed_words(words: DataFrame) -> DataFrame:
     """Words with both times; others can't be placed."""
     return words.where("start IS NOT NULL AND end IS NOT NULL")

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoline.functions.text import collapse, safe_name
+from echoline.sources import timed_text
 from echoline.sources.urls import is_complete
 
 MOST_BYTES = 10 << 20
 JSON3 = "struct<events:array<string>>"
 EVENT = "struct<tStartMs:string,dDurationMs:string,segs:array<struct<utf8:string>>>"
+#: The fields of an event where no Format line names them.
+ASS_FIELDS = ["layer", "start", "end", "style", "name", "marginl", "marginr", "marginv", "effect", "text"]
 CLOCK = r"(?:(\d+):)?(\d{1,2}):(\d{1,2})[.,:](\d{1,3})"
 
 
@@ -29,11 +32,13 @@ def _lines(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(content, "^﻿", ""), "\r\n?", "\n")
 
 
-def _plain(text: Column) -> Column:
-    """Text without tags and override codes, entities resolved."""
-    text = F.regexp_replace(F.regexp_replace(text, r"\{\\[^}]*\}", ""), r"<[^>]*>", "")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
+def _plain(text: Column, markup: bool = True) -> Column:
+    """Text without override codes; with markup also without tags, entities resolved."""
+    text = F.regexp_replace(text, r"\{\\[^}]*\}", "")
+    if markup:
+        text = F.regexp_replace(text, r"<[^>]*>", "")
+        for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            text = F.replace(text, F.lit(entity), F.lit(sign))
     return collapse(F.regexp_replace(text, r"\\[Nnh]", " "))
 
 
@@ -46,25 +51,29 @@ def json3_cues(files: DataFrame) -> DataFrame:
 
 
 def block_cues(files: DataFrame) -> DataFrame:
-    """srt and vtt: blocks between blank lines with an arrow line, the text below it."""
-    rows = files.select("media_id", "source", "language", F.explode(F.split(_lines(F.col("content")), r"\n[ \t]*\n+")).alias("block")).where(F.col("block").contains("-->"))
-    arrow = F.regexp_extract("block", r"([^\n]*-->[^\n]*)", 1)
-    text = _plain(F.regexp_replace("block", r"(?s)^.*?-->[^\n]*\n?", ""))
+    """srt and vtt: the lines below each arrow line, up to the next one; the line right before that may be its number or name.
+    A cue of vtt ends with the first blank line, one of srt may hold blank lines."""
+    lines = F.concat(F.lit("\n"), _lines(F.col("content")))
+    parts = F.split(lines, r"\n(?=[^\n]*-->)")
+    rows = files.select("media_id", "source", "language", (F.lower("extension") == "vtt").alias("vtt"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("parts"))
+    rows = rows.select("media_id", "source", "language", "vtt", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
+    arrow, below = F.regexp_extract("part", r"^([^\n]*)", 1), F.regexp_extract("part", r"(?s)^[^\n]*\n?(.*)$", 1)
+    own = F.when(F.col("k") < F.col("n") - 1, F.regexp_replace(below, r"(?:^|\n)[ \t]*\d+[ \t]*$", "")).otherwise(below)
+    text = _plain(F.when(F.col("vtt"), F.regexp_replace(own, r"(?s)(^|\n)[ \t]*\n.*$", "")).otherwise(own))
     return rows.select("media_id", "source", "language", text.alias("text"), clock_seconds(F.split(arrow, "-->")[0]).alias("start"), clock_seconds(F.split(arrow, "-->")[1]).alias("end"))
 
 
-def ttml_cues(files: DataFrame) -> DataFrame:
-    rows = files.select("media_id", "source", "language", F.explode(F.regexp_extract_all(_lines(F.col("content")), F.lit(r"(?s)<(?:\w+:)?p\b[^>]*>.*?</(?:\w+:)?p>"), F.lit(0))).alias("p"))
-    head = F.regexp_extract("p", r"(?s)^<[^>]*>", 0)
-    value = lambda name: F.regexp_extract(head, rf'{name}="([^"]*)"', 1)
-    seconds = lambda t: F.coalesce(clock_seconds(t), F.regexp_extract(t, r"^([\d.]+)s$", 1).try_cast("double"))
-    return rows.select("media_id", "source", "language", _plain(F.regexp_replace("p", r"(?i)<(?:\w+:)?br\s*/?>", " ")).alias("text"), seconds(value("begin")).alias("start"), F.coalesce(seconds(value("end")), seconds(value("begin")) + seconds(value("dur"))).alias("end"))
-
-
 def ass_cues(files: DataFrame) -> DataFrame:
-    rows = files.select("media_id", "source", "language", F.explode(F.split(_lines(F.col("content")), "\n")).alias("line")).where(F.col("line").startswith("Dialogue:"))
-    part = F.split(F.regexp_replace("line", r"^Dialogue:\s*", ""), ",", 10)
-    return rows.select("media_id", "source", "language", _plain(F.get(part, F.lit(9))).alias("text"), clock_seconds(F.get(part, F.lit(1))).alias("start"), clock_seconds(F.get(part, F.lit(2))).alias("end"))
+    """Fields are where the Format line of the events says; the text is the last one and may hold commas."""
+    content = _lines(F.col("content"))
+    events = F.coalesce(F.nullif(F.regexp_extract(content, r"(?is)(?:^|\n)\s*\[events\][^\n]*\n(.*)$", 1), F.lit("")), content)
+    form = F.regexp_extract(events, r"(?i)(?:^|\n)[ \t]*Format[ \t]*:([^\n]*)", 1)
+    named = F.transform(F.split(F.lower(form), ","), lambda f: F.trim(f))
+    fields = F.when(F.size(F.array_intersect(named, F.array(*map(F.lit, ("start", "end", "text"))))) == 3, named).otherwise(F.array(*map(F.lit, ASS_FIELDS)))
+    rows = files.select("media_id", "source", "language", fields.alias("fields"), F.explode(F.split(events, "\n")).alias("line")).where(F.col("line").rlike(r"(?i)^\s*Dialogue\s*:"))
+    rows = rows.withColumn("part", F.split(F.regexp_replace("line", r"(?i)^\s*Dialogue\s*:\s*", ""), ",", F.size("fields")))
+    value = lambda name: F.get("part", F.array_position("fields", F.lit(name)).cast("int") - 1)
+    return rows.select("media_id", "source", "language", _plain(value("text"), markup=False).alias("text"), clock_seconds(value("start")).alias("start"), clock_seconds(value("end")).alias("end"))
 
 
 def stored(tracks: DataFrame, files: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def stored(tracks: DataFrame, files: DataFrame) -> DataFrame:
     return found.groupBy(*tracks.columns).agg(F.max_by("path", order).alias("path"))
 
 
-READERS = {("json3",): json3_cues, ("vtt", "srt"): block_cues, ("ttml",): ttml_cues, ("ass", "ssa"): ass_cues}
+READERS = {("json3",): json3_cues, ("vtt", "srt"): block_cues, ("ttml",): timed_text.cues, ("ass", "ssa"): ass_cues}
 
 
 def is_usable(content: Column, extension: Column) -> Column:

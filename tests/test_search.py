@@ -142,7 +142,7 @@ def test_memo(spark, tmp_path):
     rows = cache.envelope(requests.where("id < 3"), "key", ["id"], "transcript").withColumn("schema_version", F.when(F.col("key") == "b", 0).otherwise(F.col("schema_version")))
     assert cache.write(rows, str(tmp_path / "memo"))
     assert not cache.write(rows, "nowhere://x")
-    hits, misses = cache.hits_and_misses(requests, spark.read.parquet(str(tmp_path / "memo")), "key", "transcript")
+    hits, misses = cache.hits_and_misses(requests, cache.read(spark, str(tmp_path / "memo")), "key", "transcript")
     assert [r["id"] for r in hits.collect()] == [1]
     assert sorted(r["id"] for r in misses.collect()) == [2, 3]
     assert cache.identity("base", {"b": "1", "a": "2"}, "int8", None, "plain") == "base|a=2|b=1|int8|auto|plain"
@@ -306,4 +306,4 @@ def test_cli_with_connectors_and_images(spark, tmp_path, monkeypatch):
     assert (row["dialogue_start"], row["localization_source"], row["frame_index"]) == (4.0, "caption", 4)
     published = [f for f in (tmp_path / "out-images" / "frames").iterdir() if f.suffix == ".png"]
     assert [f.read_bytes() for f in published] == [b"4"]
-    assert spark.read.parquet(f"{tmp_path}/memo/windows").count() >= 1
+    assert cache.read(spark, f"{tmp_path}/memo/windows").count() >= 1

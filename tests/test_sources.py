@@ -28,6 +28,43 @@ def test_subtitle_formats(spark):
     assert parse(spark, "ass", ASS) == [("Hi, you there", 1.5, 2.0)]
 
 
+def ttml(body, head=""):
+    return f'<?xml version="1.0"?>\n<tt xmlns="http://www.w3.org/ns/ttml" xmlns:ttp="http://www.w3.org/ns/ttml#parameter" {head}>{body}</tt>'
+
+
+@pytest.mark.parametrize(("content", "wanted"), [
+    (ttml('<body><p begin="00:00:01:12" end="00:00:02:00">frames</p></body>', 'ttp:frameRate="25"'), [("frames", 1.48, 2.0)]),
+    (ttml('<body><p begin="00:00:01:15" end="00:00:02:00">thirty</p></body>'), [("thirty", 1.5, 2.0)]),
+    (ttml('<body><p begin="0f" end="30f">multiplied</p></body>', 'ttp:frameRate="30" ttp:frameRateMultiplier="1000 1001"'), [("multiplied", 0.0, 1.001)]),
+    (ttml('<body><p begin="10000000t" end="25000000t">ticks</p></body>', 'ttp:tickRate="10000000"'), [("ticks", 1.0, 2.5)]),
+    (ttml('<body><p begin="50t" dur="50t">ticks are frames</p></body>', 'ttp:frameRate="25" ttp:subFrameRate="2"'), [("ticks are frames", 1.0, 2.0)]),
+    (ttml('<body><p begin="1500ms" end="2m">b</p><p begin="0.001h" dur="2.5s">c</p></body>'), [("b", 1.5, 120.0), ("c", 3.6, 6.1)]),
+    (ttml('<body begin="10s"><div begin="00:01:00.000"><p begin="1s" end="2s">nested</p><p end="3s">from the begin</p></div></body>'), [("from the begin", 70.0, 73.0), ("nested", 71.0, 72.0)]),
+    (ttml('<body><div begin="5s" end="8s"><p>as long as its div</p><p begin="1s" dur="60s">cut</p></div></body>'), [("as long as its div", 5.0, 8.0), ("cut", 6.0, 8.0)]),
+    (ttml('<body><div begin="2s" timeContainer="seq"><p dur="1s">one</p><p begin="0.5s" dur="1s">two</p></div><p begin="1s" end="9s" dur="2s">both</p></body>'), [("both", 1.0, 3.0), ("one", 2.0, 3.0), ("two", 3.5, 4.5)]),
+    (ttml('<head><styling><style xml:id="s"/></styling></head><body><p begin="1s" end="2s">a <span tts:color="red">b</span>&nbsp;&amp;<br/>c&#233;</p></body>'), [("a b & cé", 1.0, 2.0)]),
+    ('<tt:tt><tt:body><tt:p begin="1s" end="2s">prefixed</tt:p><tt:p begin="1s" end="1s">none</tt:p><tt:p begin="4s">no end</tt:p></tt:body></tt:tt>', [("prefixed", 1.0, 2.0)]),
+    ('<tt><body><p begin="00:01.500" end="00:02,25">short clock</p><p begin="3s" end="4s">not closed<p begin="5s" end="6s">broken off', [("short clock", 1.5, 2.25), ("not closed", 3.0, 4.0), ("broken off", 5.0, 6.0)]),
+])
+def test_times_of_ttml(spark, content, wanted):
+    assert parse(spark, "ttml", content) == wanted
+
+
+def test_fields_of_ass(spark):
+    head = "[Script Info]\nTitle: Format: x, y\n\n[V4+ Styles]\nFormat: Name, Fontname\nStyle: Default,Arial\n\n[Events]\n"
+    assert parse(spark, "ass", head + "Format: Start, End, Style, Text\nDialogue: 0:00:01.00,0:00:02.50,Default,Well, yes\\hno <i>\nComment: 0:00:03.00,0:00:04.00,Default,hidden\n") == [("Well, yes no <i>", 1.0, 2.5)]
+    assert parse(spark, "ssa", head + "Format: Marked, Text, End, Start\nDialogue: Marked=0,early,0:00:02.00,0:00:01.00\n") == [("early", 1.0, 2.0)]
+    assert parse(spark, "ass", "Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,no format, no section\n") == [("no format, no section", 1.0, 2.0)]
+    assert parse(spark, "ass", head + "format: layer, start, end, text\r\ndialogue: 0,0:00:01.00,0:00:02.00,low\r\n") == [("low", 1.0, 2.0)]
+
+
+def test_cues_without_blank_lines(spark):
+    srt = "1\n00:00:01,000 --> 00:00:02,000\none\n2\n00:00:03,000 --> 00:00:04,000\ntwo\n\n\nmore of two\n\n3\n00:00:05,000 --> 00:00:06,000\n1984\n"
+    assert parse(spark, "srt", srt) == [("one", 1.0, 2.0), ("two more of two", 3.0, 4.0), ("1984", 5.0, 6.0)]
+    vtt = "WEBVTT\n\n00:01.000 --> 00:02.000\none\n\nNOTE between\n\nname\n00:03.000 --> 00:04.000 line:0\ntwo\n\n00:05.000 --> 00:06.000\n\nSTYLE\n"
+    assert parse(spark, "vtt", vtt) == [("one", 1.0, 2.0), ("two", 3.0, 4.0)]
+
+
 @pytest.mark.parametrize(("extension", "content"), [("srt", ""), ("srt", None), ("vtt", " <!DOCTYPE html><p>"), ("srt", '{"error": 1}'), ("json3", "not json"), ("json3", "{}"), ("xyz", SRT)])
 def test_unusable_subtitles(spark, extension, content):
     assert parse(spark, extension, content) == []
