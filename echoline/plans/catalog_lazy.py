@@ -14,7 +14,7 @@ from echoline.functions import rules, text
 from echoline.operators import cache, intervals, lazily
 from echoline.plans.catalog import MESSAGES, SQL_SECONDS, events, query, table
 from echoline.plans.catalog_more import SQL_TURN_WORDS, pick, subtitle_file, turn_words
-from echoline.sources import ranges, stored
+from echoline.sources import metadata, ranges, stored
 from echoline.sources.connectors import Connectors, align
 from echoline.tables import materialize, shared_folder
 
@@ -277,3 +277,22 @@ def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", message.alias("message"))
     rows = rows.withColumn("e", rules.error_stage(F.col("message"))).withColumn("public_code", rules.public_code(F.col("message")))
     return rows.select("page_id", "e.code", "e.stage", "public_code", rules.public_status(F.col("public_code")).alias("status"))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS media_id, l_linenumber AS k, CASE WHEN l_quantity % 5 <> 0 THEN CAST(l_quantity * 40 AS DOUBLE) END AS height, CASE WHEN l_tax > 0.02 THEN CAST(floor(l_extendedprice / 10000) AS DOUBLE) END AS tbr,
+                  CASE WHEN l_discount > 0.01 THEN l_orderkey || '-' || l_linenumber END AS url, l_returnflag = 'R' AS silent FROM lineitem),
+     r AS (SELECT media_id, url, row_number() OVER (PARTITION BY media_id ORDER BY coalesce(height, 10000) > 720, abs(coalesce(height, 720) - 720), -coalesce(tbr, 0), k) AS n FROM f WHERE url IS NOT NULL AND NOT silent)
+SELECT m.media_id, r.url FROM (SELECT DISTINCT media_id FROM f) AS m LEFT JOIN r ON m.media_id = r.media_id AND r.n = 1""")
+def format_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of formats of all heights and rates, some without either, the video to fetch: near 720 lines and below, then the best rate, then the
+    first; formats without video or address never."""
+    form = F.struct(
+        F.col("l_linenumber").alias("k"), F.when(F.col("l_discount") > 0.01, F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("url"),
+        F.when(F.col("l_returnflag") == "R", "none").otherwise("vp9").alias("vcodec"), F.when(F.col("l_quantity") % 5 != 0, (F.col("l_quantity") * 40).cast("double")).alias("height"),
+        F.when(F.col("l_tax") > 0.02, F.floor(F.col("l_extendedprice") / 10000).cast("double")).alias("tbr"),
+    )
+    listed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("media_id")).agg(F.array_sort(F.collect_list(form)).alias("f"))
+    meta = F.to_json(F.struct(F.lit("none").alias("vcodec"), F.transform("f", lambda x: F.struct(x["url"].alias("url"), x["vcodec"].alias("vcodec"), x["height"].alias("height"), x["tbr"].alias("tbr"))).alias("formats")))
+    rows = metadata.parsed(listed.select("media_id", meta.alias("json")), "json")
+    return rows.select("media_id", metadata.video_source(F.col("meta"))["url"].alias("url"))

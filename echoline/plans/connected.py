@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoline.config import SearchConfig
-from echoline.operators import captions, lazily, verify
+from echoline.operators import cache, captions, lazily, verify
 from echoline.plans import search
 from echoline.sources import metadata, ranges, subtitles
 from echoline.sources.connectors import Connectors, align, timed_words
@@ -33,6 +33,17 @@ class Found:
     words: list[DataFrame]
 
 
+def probed(media: DataFrame, connectors: Connectors, memo: str | None = None, identity: str = "") -> DataFrame:
+    """(media_id, probe) of media; with memo, a folder, a medium whose row is as before is not probed again."""
+    plain = [f.name for f in media.schema if f.dataType.typeName() in ("long", "integer", "string", "double", "boolean", "timestamp")]
+    asked = media.withColumn("key", cache.digest(F.lit(identity), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(plain)]))
+
+    def compute(missing: DataFrame) -> DataFrame:
+        return connectors.run("probe", missing.drop("key")).join(missing.select("media_id", "key"), "media_id").select("key", F.col("probe").alias("value"))
+
+    return cache.memoised(asked, "key", "media_info", memo, compute).select("media_id", F.col("value").alias("probe"))
+
+
 def search_media(media: DataFrame, targets: DataFrame, connectors: Connectors, config: SearchConfig | None = None, stored: DataFrame | None = None, memo: str | None = None, identity: str = "") -> Found:
     """media: (media_id and what the connectors need, e.g. an address; with `remote_path` and `path` of WAV recordings windows are
     heard from their own samples). Roles: inspect, probe, fetch_subtitle, recognise_window, transcribe; align, decode_frames and
@@ -49,7 +60,7 @@ def search_media(media: DataFrame, targets: DataFrame, connectors: Connectors, c
         tracks, at_hand = tracks.join(known, ["media_id", "source", "language", "extension"], "left"), F.coalesce("at_hand", F.lit(False))
     chosen, attempts = lazily.fetch_variants(tracks.withColumn("cached", at_hand).drop("at_hand"), connectors, stored)
     cues = materialize(subtitles.cues(chosen.select("media_id", "source", "language", "extension", "content")), "cues")
-    about = materialize(metadata.media_info(materialize(connectors.run("probe", media), "probed"), "probe"), "media")
+    about = materialize(metadata.media_info(materialize(probed(media, connectors, memo and f"{memo}/media", identity), "probed"), "probe"), "media")
     by_samples = {"remote_path", "path"} <= set(media.columns)
     clips = ranges.recogniser(media, connectors) if by_samples else verify.by_connector(connectors, memo=memo and f"{memo}/windows", identity=identity)
     said: list[DataFrame] = []

@@ -98,8 +98,8 @@ class Shards(InputPartition):
 class Files:
     """What batch and stream reader share."""
 
-    def __init__(self, root: str, kind: str):
-        self.root, self.kind, self.filters = root, kind, []
+    def __init__(self, root: str, kind: str, most: int = PARTITIONS):
+        self.root, self.kind, self.most, self.filters = root, kind, most, []
 
     def take(self, filters: list[Filter]) -> Iterator[Filter]:
         """Keeps the filters that names answer and gives the others back."""
@@ -123,7 +123,8 @@ class Files:
 
     def planned(self, since: int | None = None, until: int | None = None) -> list[Shards]:
         names = self.shards()
-        return [Shards(names[k :: min(PARTITIONS, len(names))], since, until) for k in range(min(PARTITIONS, len(names)))]
+        n = min(self.most, len(names))
+        return [Shards(names[k::n], since, until) for k in range(n)]
 
     def listed(self, part: Shards) -> Iterator[tuple[fs.FileSystem, fs.FileInfo, dict[str, Any], str]]:
         system, root = opened(self.root)
@@ -277,7 +278,8 @@ class StreamReader(DataSourceStreamReader):
 
 
 class StoredFiles(DataSource):
-    """format("stored"): options `kind` (of KINDS), `path` (the root), `pushdown` (see `where`) and, for streams, `settle` in seconds."""
+    """format("stored"): options `kind` (of KINDS), `path` (the root), `partitions` (at most), `pushdown` (see `where`) and, for streams,
+    `settle` in seconds."""
 
     @classmethod
     def name(cls) -> str:
@@ -287,7 +289,7 @@ class StoredFiles(DataSource):
     def files(self) -> Files:
         if self.options.get("kind") not in KINDS:
             raise ValueError(f"kind must be one of {', '.join(KINDS)}")
-        return Files(self.options["path"], self.options["kind"])
+        return Files(self.options["path"], self.options["kind"], int(self.options.get("partitions", PARTITIONS)))
 
     def schema(self) -> str:
         return KINDS[self.files.kind]
@@ -303,17 +305,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(StoredFiles)
 
 
-def read(spark: SparkSession, root: str, kind: str) -> DataFrame:
+def read(spark: SparkSession, root: str, kind: str, partitions: int = PARTITIONS) -> DataFrame:
     register(spark)
-    return spark.read.format("stored").option("kind", kind).load(root)
+    return spark.read.format("stored").options(kind=kind, partitions=partitions).load(root)
 
 
-def where(spark: SparkSession, root: str, kind: str, condition: str | Column) -> DataFrame:
+def where(spark: SparkSession, root: str, kind: str, condition: str | Column, partitions: int = PARTITIONS) -> DataFrame:
     """The rows of a kind that satisfy a condition, of which what names tell is pushed. Filters that are put on the result are not:
     they stay above the sample, which takes every row. The session keeps pushing filters to Python sources from then on."""
     register(spark)
     spark.conf.set(FILTER_PUSHDOWN, "true")
-    loaded = spark.read.format("stored").option("kind", kind).option("pushdown", "true").load(root)
+    loaded = spark.read.format("stored").options(kind=kind, partitions=partitions, pushdown="true").load(root)
     return loaded.where(F.col("media_id").isNotNull()).where(condition).sample(1.0)
 
 

@@ -116,6 +116,16 @@ def test_answered_media_are_not_transcribed(spark, world):
     assert asked("transcribe") == [4]
 
 
+def test_media_are_probed_once(spark, world, tmp_path):
+    media, connectors, asked = world
+    memo = str(tmp_path / "memo")
+    first = {r["media_id"]: r["probe"] for r in connected.probed(media.where("media_id < 3"), connectors, memo, "v1").collect()}
+    again = {r["media_id"]: r["probe"] for r in connected.probed(media, connectors, memo, "v1").collect()}
+    assert set(first) == {1, 2} and set(again) == {1, 2, 3, 4} and asked("probe") == [1, 2, 3, 4]
+    connected.probed(media.where("media_id = 1"), connectors, memo, "v2").collect()
+    assert asked("probe") == [1, 1, 2, 3, 4]
+
+
 def test_faults_of_an_aligner_are_told(spark):
     words = spark.createDataFrame([(m, "base", k, "w", k * 1.0, k + 1.0, 0.5) for m in (1, 2) for k in range(2)], "media_id long, model string, word_idx int, text string, start double, end double, probability double")
 

@@ -39,7 +39,7 @@ def test_names_that_cannot_be_stored(spark, tmp_path):
 
 
 def test_filters_are_pushed_and_right(spark, root):
-    every = stored.read(spark, root, "subtitles").collect()
+    every = stored.read(spark, root, "subtitles", 3).collect()
     assert len(every) == 43 * 4 + 5
     conditions = [
         ("media_id = 7", lambda r: r["media_id"] == 7), ("media_id IN (3, 5, -3) AND language = 'de'", lambda r: r["media_id"] in (3, 5, -3) and r["language"] == "de"),
@@ -47,9 +47,9 @@ def test_filters_are_pushed_and_right(spark, root):
         ("media_id <> 4 AND extension IN ('srt', 'json3')", lambda r: r["media_id"] != 4 and r["extension"] in ("srt", "json3")), ("media_id = 1 OR language = 'fr'", lambda r: r["media_id"] == 1 or r["language"] == "fr"),
         ("content LIKE '%hello%' AND media_id < 2", lambda r: r["content"] is not None and "hello" in r["content"] and r["media_id"] < 2), ("media_id = 3 AND media_id = 4", lambda r: False), ("media_id IS NULL", lambda r: False),
     ]
-    plain, base = stored.read(spark, root, "subtitles"), stored.where(spark, root, "subtitles", "length >= 0 OR length IS NULL")
+    plain, base = stored.read(spark, root, "subtitles", 3), stored.where(spark, root, "subtitles", "length >= 0 OR length IS NULL", 3)
     for condition, keep in conditions:  # a table of its own, one that was asked before with other filters, and one without pushing
-        for df in (stored.where(spark, root, "subtitles", condition), base.where(condition), plain.where(condition)):
+        for df in (stored.where(spark, root, "subtitles", condition, 3), base.where(condition), plain.where(condition)):
             got = sorted(map(tuple, df.collect()), key=repr)
             assert got == sorted((tuple(r) for r in every if keep(r)), key=repr), condition
     assert base.count() == plain.count() == len(every)
@@ -77,17 +77,17 @@ def test_pushed_filters_prune_shards_and_files(root):
 
 
 def test_faults_are_rows(spark, root):
-    subtitles = {(r["media_id"], r["language"]): (r["content"], r["error"]) for r in stored.read(spark, root, "subtitles").where("source = 'manual' AND media_id IN (1, 2)").collect()}
+    subtitles = {(r["media_id"], r["language"]): (r["content"], r["error"]) for r in stored.read(spark, root, "subtitles", 3).where("source = 'manual' AND media_id IN (1, 2)").collect()}
     assert subtitles[1, "fr"] == (None, "the subtitle is a web page")
     assert subtitles[1, "it"] == (None, "the subtitle is an error message")
     assert subtitles[1, "es"] == ('{"events": []}', None)
     assert subtitles[1, "nl"] == (None, "the file is empty")
     assert subtitles[2, "fr"] == ("WEBVTT", None)
-    inspected = {r["media_id"]: (r["metadata"], r["error"]) for r in stored.read(spark, root, "inspect").collect()}
+    inspected = {r["media_id"]: (r["metadata"], r["error"]) for r in stored.read(spark, root, "inspect", 3).collect()}
     assert inspected == {5: ('{"title": "x"}', None), 6: (None, "the metadata is no object"), 7: (None, "the metadata is no JSON")}
-    words = {(r["media_id"], r["word_idx"]): (r["model"], r["text"], r["start"], r["end"], r["probability"], r["error"]) for r in stored.read(spark, root, "words").collect()}
+    words = {(r["media_id"], r["word_idx"]): (r["model"], r["text"], r["start"], r["end"], r["probability"], r["error"]) for r in stored.read(spark, root, "words", 3).collect()}
     assert words == {(5, 0): ("base.en", "a", 0.0, 1.5, 0.5, None), (5, 2): ("base.en", "", 3.0, 4.0, None, None), (6, None): ("tiny", None, None, None, None, "the transcription holds no timed words"), (7, None): ("tiny", None, None, None, None, "the transcription is no JSON")}
-    media = {os.path.basename(r["path"]): (r["content_type"], r["error"]) for r in stored.read(spark, root, "media").collect()}
+    media = {os.path.basename(r["path"]): (r["content_type"], r["error"]) for r in stored.read(spark, root, "media", 3).collect()}
     assert media == {"a.wav": ("audio/wav", None), "b.mp4": ("text/html", "not a media file: text/html"), "c.mp4.part": (None, "the download is not complete"), "d.mkv": (None, "the download is not complete")}
 
 
@@ -99,7 +99,7 @@ def test_large_files_are_not_opened(root, monkeypatch):
 
 def test_unknown_kind(spark, root):
     with pytest.raises(Exception, match="kind must be one of"):
-        stored.read(spark, root, "pictures").collect()
+        stored.read(spark, root, "pictures", 3).collect()
 
 
 def test_stream_gives_each_file_once(spark, tmp_path):
@@ -108,7 +108,7 @@ def test_stream_gives_each_file_once(spark, tmp_path):
     stored.register(spark)
 
     def pass_over():
-        stream = spark.readStream.format("stored").option("kind", "subtitles").option("settle", "0").load(root)
+        stream = spark.readStream.format("stored").option("kind", "subtitles").option("settle", "0").option("partitions", 3).load(root)
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
         return sorted(r["media_id"] for r in spark.read.parquet(out).collect())
 
@@ -190,7 +190,7 @@ def test_frames_are_read_in_rounds(spark, tmp_path, memo):
     """Against a walk in order: the same hits and counts; the reader sees no image twice and none behind the hit's round."""
     rng = random.Random(3)
     texts = ["", "wrong line", "the right line", "the rigt line", "another", "THE RIGHT LINE!"]
-    offered = [(q, m, d, None if rng.random() < 0.1 else f"{rng.choice([1, 1, 1, 4, 0, 2, 3, 5])}") for q in range(4) for m in range(5) for d in rng.sample(range(100), rng.randint(1, 20))]
+    offered = [(q, m, d, None if rng.random() < 0.1 else f"{rng.choice([1, 1, 1, 4, 0, 2, 3, 5])}") for q in range(4) for m in range(5) for d in rng.sample(range(100), rng.randint(1, 9))]
     wanted = {0: "the right line", 1: "wrong line", 2: "never shown anywhere", 3: "?!"}
     calls = tmp_path / "calls"
     calls.mkdir()

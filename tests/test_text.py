@@ -12,6 +12,7 @@ from echoline.functions.numbers import canonical
 @pytest.mark.parametrize(
     ("given_text", "wanted"),
     [
+        # fixed values: forms of numbers and amounts that must come out alike
         ("twenty", "20"), ("20", "20"), ("twenty million", "20000000"), ("20 million", "20000000"), ("twenty million dollars", "20000000 usd"), ("20 million dollars", "20000000 usd"),
         ("$20 million", "20000000 usd"), ("one hundred and fifty", "150"), ("150", "150"), ("$150,000.", "150000 usd"), ("one hundred and fifty thousand dollars", "150000 usd"),
         ("twenty one hundred", "21 hundred"), ("3.5", "3 5"), ("zero thousand", "0 thousand"), ("five million zero thousand", "5000000 thousand"), ("one million two hundred and five thousand and six", "1205006"),
