@@ -496,9 +496,7 @@ best AS (SELECT query_id, media_id, arg_max({{'s': s, 'n': n, 'w': w, 'score': s
 SELECT query_id, media_id, c.w AS matched_text, round(CAST(c.s * 0.4 AS DOUBLE), 3) AS start, round(CAST((c.s + c.n) * 0.4 AS DOUBLE), 3) AS "end", round(CAST(c.score AS DOUBLE), 6) AS score FROM best""")
 def best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best window of each shortened name in each brand, whatever its score."""
-    media, lines = brand_words(spark, sf_dir), name_lines(spark, sf_dir)
-    pairs = media.join(F.broadcast(lines.withColumnRenamed("text", "target")), F.lit(True))
-    found = occurrences.best_windows(pairs)
+    found = occurrences.best_of_all(brand_words(spark, sf_dir), name_lines(spark, sf_dir))
     return found.select("query_id", "media_id", "matched_text", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("score", 6).alias("score"))
 
 
