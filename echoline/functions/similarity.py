@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Shorter strings of more characters are compared with all windows of the longer one at once.
 COMBED = 32
+#: Pairs of strings that are combed at once, and about how many characters they may have.
+TOGETHER, VOLUME = 128, 1 << 20
 
 
 def masks(text: str) -> dict[str, int]:
@@ -61,23 +63,40 @@ def compact_ratio(a: str, b: str) -> float:
     return max(ratio(a, b), ratio(a.replace(" ", ""), b.replace(" ", "")))
 
 
-def _combed_ratio(short: str, long: str) -> float:
-    """partial_ratio one way round, all windows at once: semi-local LCS by combing seaweeds, an anti-diagonal at a time.
+def _combed_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """partial_ratio one way round for pairs (short, long), all windows of all pairs at once: semi-local LCS by combing seaweeds, an
+    anti-diagonal at a time.
 
     A seaweed enters at the left of each row or the top of each column; two that meet cross once at most, and not at equal
-    characters. LCS(short, long[i:j]) is j - i less the seaweeds that enter and leave within columns i to j.
+    characters. LCS(short, long[i:j]) is j - i less the seaweeds that enter and leave within columns i to j. Pairs of less than
+    the greatest lengths are padded with rows and columns that seaweeds pass straight.
     """
-    m, n = len(short), len(long)
-    rows = np.array([ord(c) for c in reversed(short)], np.int32)
-    columns = np.array([ord(c) for c in long], np.int32)
-    h, v = np.arange(m, dtype=np.int32), np.arange(m, m + n, dtype=np.int32)
+    m, n = (max(len(p[k]) for p in pairs) for k in (0, 1))
+    kind = np.int16 if m + n < 1 << 14 else np.int32
+    codes: dict[str, int] = {}
+    coded = lambda text: [codes.setdefault(c, len(codes)) for c in text]
+    rows, columns = np.full((m, len(pairs)), -1, np.int32), np.full((n, len(pairs)), -2, np.int32)
+    h, v = np.full((m, len(pairs)), -1, kind), np.full((n, len(pairs)), np.iinfo(kind).max, kind)
+    for k, (short, long) in enumerate(pairs):
+        rows[m - len(short) :, k], columns[: len(long), k] = coded(reversed(short)), coded(long)
+        h[m - len(short) :, k], v[: len(long), k] = np.arange(len(short)), np.arange(len(short), len(short) + len(long))
+    if len(codes) < 1 << 15:
+        rows, columns = rows.astype(np.int16), columns.astype(np.int16)
     for d in range(m + n - 1):
         first, last = max(0, d - n + 1), min(d, m - 1)
         left, top = slice(m - 1 - last, m - first), slice(d - last, d - first + 1)
         a, b = h[left], v[top]
-        turn = (rows[left] == columns[top]) | (a > b)
-        h[left], v[top] = np.where(turn, b, a), np.where(turn, a, b)
-    entry = v - m  # the column in which the seaweed that leaves below column j entered; negative for rows
+        turn = rows[left] == columns[top]
+        turn |= a > b
+        change = a ^ b
+        change *= turn
+        a ^= change
+        b ^= change
+    return [_best_share(len(short), len(long), v[: len(long), k].astype(np.int64) - len(short)) for k, (short, long) in enumerate(pairs)]
+
+
+def _best_share(m: int, n: int, entry: np.ndarray) -> float:
+    """The best ratio of all windows; entry: the column in which the seaweed that leaves below each column entered, negative for rows."""
     inside = np.flatnonzero(entry >= 0)
     lost = np.zeros(n + 1, np.int64)  # by window start: seaweeds within the m columns from there
     begin, end = np.maximum(inside - m + 1, 0), entry[inside] + 1
@@ -89,30 +108,46 @@ def _combed_ratio(short: str, long: str) -> float:
     return float(max(best, (200.0 * (k - np.cumsum(entry[: len(k)] >= 0)) / (m + k)).max()))
 
 
+def _tried_ratio(short: str, long: str) -> float:
+    """partial_ratio one way round, window by window."""
+    n, of, best = len(short), masks(short), 0.0
+    for start in range(len(long)):
+        window = long[start : start + n]
+        got = 0
+        for got in lcs_prefixes(of, n, window):
+            pass
+        best = max(best, 200.0 * got / (n + len(window)))
+    for k, got in enumerate(lcs_prefixes(of, n, long[:n]), 1):
+        best = max(best, 200.0 * got / (n + k))
+    return best
+
+
+def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """partial_ratio of each pair; pairs of like lengths are compared together."""
+    out, ways = [0.0] * len(pairs), []
+    for k, (a, b) in enumerate(pairs):
+        if not a or not b:
+            out[k] = 100.0 if a == b else 0.0
+            continue
+        short, long = (b, a) if len(a) > len(b) else (a, b)
+        for x, y in [(short, long), (long, short)][: 1 + (len(a) == len(b))]:
+            if len(x) > COMBED:
+                ways.append((len(x), len(y), k, x, y))
+            else:
+                out[k] = max(out[k], _tried_ratio(x, y))
+    ways.sort(key=lambda w: (w[0] + w[1], w[2]))
+    while ways:
+        some = ways[-max(1, min(TOGETHER, VOLUME // (ways[-1][0] + ways[-1][1]))) :]
+        del ways[-len(some) :]
+        for (*_, k, _, _), score in zip(some, _combed_ratios([(x, y) for *_, x, y in some]), strict=True):
+            out[k] = max(out[k], score)
+    return out
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter string with a window of the longer one, of its length or cut at either end; both ways
     round for equal lengths."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-
-    def one_way(short: str, long: str) -> float:
-        n, of = len(short), masks(short)
-        if n > COMBED:
-            return _combed_ratio(short, long)
-        best = 0.0
-        for start in range(len(long)):
-            window = long[start : start + n]
-            got = 0
-            for got in lcs_prefixes(of, n, window):
-                pass
-            best = max(best, 200.0 * got / (n + len(window)))
-        for k, got in enumerate(lcs_prefixes(of, n, long[:n]), 1):
-            best = max(best, 200.0 * got / (n + k))
-        return best
-
-    if len(a) > len(b):
-        a, b = b, a
-    return max(one_way(a, b), one_way(b, a)) if len(a) == len(b) else one_way(a, b)
+    return partial_ratios([(a, b)])[0]
 
 
 def length_bound(n: Column, m: Column, threshold: float) -> Column:
@@ -137,7 +172,15 @@ def _pairwise(f):
     return udf
 
 
-indel_ratio, compact_indel_ratio, partial_indel_ratio = _pairwise(ratio), _pairwise(compact_ratio), _pairwise(partial_ratio)
+indel_ratio, compact_indel_ratio = _pairwise(ratio), _pairwise(compact_ratio)
+
+
+@F.pandas_udf(T.DoubleType())
+def partial_indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    there = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[there] = partial_ratios(list(zip(a[there], b[there], strict=True)))
+    return pd.Series([x if t else None for x, t in zip(out, there, strict=True)], dtype="float64")
 
 
 def evidence_conflicts(a: Column, b: Column, threshold: float = 85.0) -> Column:

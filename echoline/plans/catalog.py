@@ -108,7 +108,8 @@ def indel_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation against the turn before, whole texts both."""
     rows = text.with_normalized(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "n")
     before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("n").alias("m"))
-    return rows.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(indel_ratio("n", "m"), 6).alias("score"), F.round(partial_indel_ratio("n", "m"), 6).alias("partial_score"))
+    pairs = rows.join(before, ["conv_id", "turn"]).repartition(4 * spark.sparkContext.defaultParallelism)  # small rows, much work: over all cores
+    return pairs.select("conv_id", "turn", F.round(indel_ratio("n", "m"), 6).alias("score"), F.round(partial_indel_ratio("n", "m"), 6).alias("partial_score"))
 
 
 @query("""
