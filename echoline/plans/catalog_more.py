@@ -313,7 +313,8 @@ def number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = pick(list(SCALES), n)
     words = F.filter(F.array(F.lit(" It"), F.lit(" cost"), (n % 97 + 1).cast("string"), scale, F.lit("dollars,"), F.lit("ok.")), lambda w: w != "")
     timed = F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end")))
-    return occurrences.token_spans(table(spark, sf_dir, "events").select(n.alias("media_id"), timed.alias("words")))
+    rows = occurrences.spread(table(spark, sf_dir, "events").select("event_id"))
+    return occurrences.token_spans(rows.select(n.alias("media_id"), timed.alias("words")))
 
 
 @query(r"""
