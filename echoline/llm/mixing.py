@@ -166,7 +166,8 @@ def measured(docs: DataFrame, id_col: str, text_col: str, carry: bool, lexicon:
         F.least(F.floor(chars / n / 2), F.lit(BINS - 1)),
         *[sum(((F.col(f"s{k}") >= edge).cast("int") for edge in EDGES), F.lit(0)) for k in range(len(CONTRASTS))],
     ]
-    return rows.select(*keep, "id", "tokens", *[b.cast("int").alias(f"b{k}") for k, b in enumerate(bins)])
+    # never null, and typed so: a join on nullable bins would filter by them first, measuring every text again for the filter
+    return rows.select(*keep, "id", "tokens", *[F.coalesce(b.cast("int"), F.lit(0)).alias(f"b{k}") for k, b in enumerate(bins)])
 
 
 MEASURES = 4 + len(CONTRASTS)

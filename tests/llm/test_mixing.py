@@ -181,3 +181,11 @@ def test_rates_reach_the_least_squares_optimum(spark, prose):
     assert share([r["rate"] for r in got]) == pytest.approx(share(rate), abs=0.005)
     reached = share([r["rate"] for r in got])
     assert got[0]["residual"] == pytest.approx(max(abs(x / sum(reached) - g) for x, g in zip(reached, goal, strict=True)), abs=1e-4)
+
+
+def test_carried_rows_are_measured_once(spark, prose):
+    """A filter on the bins would repeat the lexicon in the plan, which the driver holds, and measure texts for the filter too."""
+    rows, labels = corpus(prose, 60)
+    plan = mixing.resample(make_docs(spark, rows), spark.createDataFrame(labels, LABELS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" in plan
+    assert not [line for line in plan.split("\n") if "Filter" in line and ("translate(" in line or "lambdafunction" in line)]
