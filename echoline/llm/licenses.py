@@ -7,12 +7,15 @@ probabilities, and a prediction below MIN_PROBABILITY counts as unknown. A predi
 paragraph covers a template of its family. The training set is fixed and small, so the fit runs at planning time; the
 scan of the corpus is one narrow pass of built-in functions, without a join or a shuffle.
 
-Paragraphs come from blocks of lines up to a blank one that hold an anchor. A block is read as a whole and as its runs of
-neighbouring anchor lines; both readings are classified and compared with all their words. The whole block is the paragraph
-where it is confirmed for a family that no run of it is, or where it has a known family and no run has; runs confirmed
-for themselves stay paragraphs beside it. Otherwise the runs are the paragraphs. Their numbers rise, with gaps where runs were joined.
-
-Defined results: null and empty texts, texts without an anchor and empty tables give no rows; a paragraph without known n-grams is
+Paragraphs come from blocks of lines up to a blank one. A block is read as a whole, as its runs of neighbouring anchor lines
+and as its runs of other neighbouring lines that hold a key word; all readings are classified and compared with all their words. The
+whole block is the paragraph where it is confirmed for a family that no run of it is, or where it has a known family and no run
+has; runs confirmed for themselves stay paragraphs beside it. Otherwise the runs are the paragraphs. Their numbers rise, with gaps
+where runs were joined. What holds an anchor is a paragraph whatever it is judged to be; what holds none is one where it is
+confirmed. So blocks without an anchor need only be classified where they cover a template (`Covered`), which is tested on
+every text and loses none of them.
+
+Defined results: null and empty texts, texts that neither hold an anchor nor are confirmed and empty tables give no rows; a paragraph without known n-grams is
 unknown; of families of equal probability the first of TEMPLATES counts; rows without an id keep their rows under a null id; repeated
 rows give repeated results; other columns, whatever their names, are left behind.
 """
@@ -141,8 +144,12 @@ HELD_OUT = {
     UNKNOWN: ["A hunting licence costs forty euros a season", "Their permission slip was signed by both parents", "The warranty of the old car had expired", "She holds the copyright of three novels", "The redistribution of seats followed the census", "The gnu grazed behind the fence"],
 }
 ANCHOR = re.compile(r"(?i)licen[sc]|spdx|copyright|warrant|redistribut|permission|permitted|unencumbered|public domain|all rights reserved|gnu|gpl|apache|mozilla|creative commons|\bcc[ -]by|cc0|bsd|eclipse public")
+#: What each match of ANCHOR holds in lower case: found by plain search, which is much cheaper than the expression.
+ANCHOR_TEXTS = ["licens", "licenc", "spdx", "copyright", "warrant", "redistribut", "permission", "permitted", "unencumbered", "public domain", "all rights reserved", "gnu", "gpl", "apache", "mozilla", "creative commons", "cc by", "cc-by", "cc0", "bsd", "eclipse public"]
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 NO_LINE = "\x00"
+#: Words of templates that stand in most prose; only costs depend on them.
+COMMON = {"a", "an", "and", "any", "as", "at", "be", "by", "for", "from", "have", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "with", "you"}
 
 
 def words_of(text: str) -> list[str]:
@@ -241,6 +248,43 @@ def train() -> Model:
     return Model(families, vocabulary, np.round(weights, 4), np.round(b.astype(np.float64), 4), temperature)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def words_in(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def anchored(text: Column) -> Column:
+    held = once(F.lower(text), lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in ANCHOR_TEXTS]))
+    return F.coalesce(held & text.rlike(ANCHOR.pattern), F.lit(False))
+
+
+class Covered:
+    """Exact tests of whether words can cover a template: least[k] of its words have to be there for a coverage of
+    min_coverage. keys holds, of each template, as many words as may be missing and one more (long words and none of COMMON
+    as far as they suffice, so rare ones), so who covers it holds a key word. Both grow with the words: a part of a text holds what the text does at most."""
+
+    def __init__(self, min_coverage: float):
+        self.templates = [list(dict.fromkeys(words_of(t))) for texts in TEMPLATES.values() for t in texts]
+        self.least = [next((h for h in range(len(w) + 1) if round(h / len(w), 6) >= min_coverage), len(w) + 1) for w in self.templates]
+        self.all = 0 in self.least
+        reachable = [(w, n) for w, n in zip(self.templates, self.least, strict=True) if n <= len(w)]
+        self.keys = sorted({x for w, n in reachable for x in sorted(w, key=lambda x: (x in COMMON, -len(x), x))[: len(w) - n + 1]})
+
+    def key(self, words: Column) -> Column:
+        return F.size(words) > 0 if self.all else F.arrays_overlap(words, F.split(F.lit(" ".join(self.keys)), " "))
+
+    def test(self, words: Column) -> Column:
+        if self.all or not self.keys:
+            return self.key(words) if self.all else F.lit(False)
+        known = F.split(F.lit(" ".join(sorted({x for w in self.templates for x in w}))), " ")
+        each = F.array(*[F.struct(F.split(F.lit(" ".join(w)), " ").alias("w"), F.lit(n).alias("n")) for w, n in zip(self.templates, self.least, strict=True)])
+        return self.key(words) & once(F.array_intersect(known, words), lambda held: F.exists(each, lambda t: F.size(F.array_intersect(t["w"], held)) >= t["n"]))
+
+
 def numbers(values) -> Column:
     """A literal array of doubles; one string in the plan instead of thousands of literals."""
     return F.split(F.lit(" ".join(f"{v:g}" for v in values)), " ").cast("array<double>")
@@ -250,21 +294,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pr
     """(doc_id, paragraph, family, probability, best_family, template, coverage, confirmed, n_words): a row for each licence-like paragraph."""
     model = train()
     n = len(model.families)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where(F.col("text").rlike(ANCHOR.pattern))
-    blocks = F.filter(F.split("text", "\n(?:[ \t\r]*\n)+"), lambda b: b.rlike(ANCHOR.pattern))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    can = Covered(min_coverage)
+    read = lambda text: anchored(text) | once(words_in(text), can.test)
+    texts = texts.where(read(F.col("text")))
+    blocks = F.filter(F.split("text", "\n(?:[ \t\r]*\n)+"), read)
+
+    def runs_of(block: Column, kept: Callable[[Column], Column]) -> Column:
+        lines = F.transform(F.split(block, "\n"), lambda line: F.when(kept(line), line).otherwise(F.lit(NO_LINE)))
+        return F.filter(F.split(F.array_join(lines, "\n"), f"(?:^|\n)(?:{NO_LINE}(?:\n|$))+"), lambda b: F.length(F.trim(b)) > 0)
 
     def readings(block: Column) -> Column:
-        """The whole block, then its runs of anchor lines."""
-        lines = F.transform(F.split(block, "\n"), lambda line: F.when(line.rlike(ANCHOR.pattern), line).otherwise(F.lit(NO_LINE)))
-        return F.concat(F.array(block), F.filter(F.split(F.array_join(lines, "\n"), f"(?:^|\n)(?:{NO_LINE}(?:\n|$))+"), lambda b: F.length(F.trim(b)) > 0))
+        """The whole block, its runs of anchor lines, its runs of other lines with key words that can cover a template."""
+        runs = runs_of(block, anchored)
+        free = F.filter(runs_of(block, lambda line: ~anchored(line) & can.key(words_in(line))), lambda run: once(words_in(run), can.test))
+        return once(runs, lambda runs: F.struct(F.size(runs).alias("m"), F.concat(F.array(block), runs, free).alias("r")))
 
-    rows = texts.select("doc_id", F.transform(blocks, readings).alias("all")).select("doc_id", F.transform("all", lambda r: F.size(r) - 1).alias("sizes"), F.posexplode("all").alias("k", "r"))
-    rows = rows.select("doc_id", F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0), lambda n, size: n + size).alias("before"), "r")
+    # outer: before a plain explode the optimizer filters by the array, for which all that leads to it is computed again and again
+    # a block without an anchor is no run of itself, but may be a paragraph
+    size = lambda a: F.size(a["r"]) - F.when(a["m"] > 0, 1).otherwise(0)
+    rows = texts.select("doc_id", F.transform(blocks, readings).alias("all")).select("doc_id", F.transform("all", size).alias("sizes"), F.posexplode_outer("all").alias("k", "a")).where("k IS NOT NULL")
+    rows = rows.select("doc_id", F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0), lambda n, size: n + size).alias("before"), F.col("a.m").alias("m"), F.col("a.r").alias("r"))
 
     def each(step: Callable[[Column], Column]) -> DataFrame:
         return rows.withColumn("r", F.transform("r", step))
 
-    rows = each(lambda r: F.regexp_extract_all(F.lower(r), F.lit(WORD), F.lit(0)))
+    rows = each(words_in)
 
     def grams(words: Column, size: int) -> Column:
         found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda k: F.array_join(F.slice(words, k, size), " "))
@@ -290,11 +345,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pr
     covered = lambda r: F.array_max(F.transform(F.filter(templates, lambda t: t["f"] == r["best_family"]), lambda t: F.struct(F.round(F.size(F.array_intersect(t["w"], r["words"])) / F.size(t["w"]), 6).alias("coverage"), F.size(t["w"]).alias("n"), t["t"].alias("template"))))
     rows = each(lambda r: F.struct(F.when(r["probability"] >= min_probability, r["best_family"]).otherwise(F.lit(UNKNOWN)).alias("family"), r["probability"].alias("probability"), r["best_family"].alias("best_family"), covered(r).alias("top"), F.size(r["words"]).alias("n_words")))
     confirmed = lambda r: (F.coalesce(r["top"]["coverage"], F.lit(0.0)) >= min_coverage) & (r["family"] != UNKNOWN)
-    block, parts = F.get("r", F.lit(0)), F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0)))
-    rows = rows.select("doc_id", "before", block.alias("block"), parts.alias("runs"))
-    own = F.exists("runs", lambda r: confirmed(r) & (r["family"] == F.col("block.family")))
-    as_block = F.when(confirmed(F.col("block")), ~own & F.exists("runs", lambda r: ~confirmed(r))).otherwise((F.col("block.family") != UNKNOWN) & ~F.exists("runs", lambda r: (r["family"] != UNKNOWN) | confirmed(r)))
-    rows = rows.withColumn("runs", F.when(as_block, F.concat(F.filter("runs", confirmed), F.array("block"))).otherwise(F.col("runs")))
-    rows = rows.select("doc_id", "before", F.posexplode("runs").alias("k", "p")).select("doc_id", (F.col("before") + F.col("k")).alias("paragraph"), "p.*")
+    m = F.col("m")
+    rows = rows.select("doc_id", "before", "m", F.get("r", F.lit(0)).alias("block"), F.slice("r", 2, m).alias("runs"), F.filter(F.slice("r", m + 2, F.size("r") - 1 - m), confirmed).alias("free"))
+    ours = lambda r: confirmed(r) & (r["family"] == F.col("block.family"))
+    own = F.exists("runs", ours) | F.exists("free", ours)
+    as_block = F.when(confirmed(F.col("block")), ~own & (F.exists("runs", lambda r: ~confirmed(r)) | (m == 0)))
+    as_block = as_block.otherwise((m > 0) & (F.col("block.family") != UNKNOWN) & ~F.exists("runs", lambda r: (r["family"] != UNKNOWN) | confirmed(r)) & (F.size("free") == 0))
+    rows = rows.withColumn("as_block", as_block)
+    rows = rows.withColumn("runs", F.concat(F.when(F.col("as_block"), F.concat(F.filter("runs", confirmed), F.array("block"))).otherwise(F.col("runs")), F.col("free")))
+    rows = rows.select("doc_id", "before", F.posexplode_outer("runs").alias("k", "p")).where("k IS NOT NULL").select("doc_id", (F.col("before") + F.col("k")).alias("paragraph"), "p.*")
     coverage = F.coalesce("top.coverage", F.lit(0.0))
     return rows.select("doc_id", "paragraph", "family", "probability", "best_family", F.col("top.template").alias("template"), coverage.alias("coverage"), (coverage >= min_coverage).alias("confirmed"), "n_words")

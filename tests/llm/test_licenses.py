@@ -226,3 +226,30 @@ def test_scan_equals_plain_paragraphs(spark):
             wanted += [(doc, *p[:4]) for p in ([*sure, block] if as_block else parts)]
     got = [(r["doc_id"], r["family"], r["best_family"], r["n_words"], r["confirmed"]) for r in lic.scan(make_docs(spark, list(enumerate(texts)))).collect()]
     assert sorted(got) == sorted(wanted)
+
+
+def test_notices_without_an_anchor(spark):
+    texts = ["Some prose.\nDistributed under the terms of the MPL 2.0\nIt goes on", "This project is covered by the EPL 2.0", "The project was covered by snow, under the terms of winter", "The licence plate was bent.\n\nThis project is covered by the MPL 2.0\n\nThe licence plate was bent."]
+    got = {}
+    for r in lic.scan(make_docs(spark, list(enumerate(texts)))).collect():
+        got.setdefault(r["doc_id"], []).append((r["paragraph"], r["family"], r["confirmed"]))
+    assert all(len({n for n, *_ in rows}) == len(rows) for rows in got.values())
+    assert {k: [tuple(rest) for _, *rest in sorted(rows)] for k, rows in got.items()} == {0: [("mpl", True)], 1: [("epl", True)], 3: [(lic.UNKNOWN, False), ("mpl", True), (lic.UNKNOWN, False)]}
+
+
+def test_no_confirmed_block_is_passed_over(spark):
+    import random
+
+    rng, model = random.Random(5), lic.train()
+    frame = [w for s in lic.OTHERS for w in s.split() if not lic.ANCHOR.search(w)]
+    texts = [v for notices in lic.TEMPLATES.values() for t in notices for v in lic.variants(lic.ANCHOR.sub("", t), 6, rng, frame)] + [f for f in lic.OTHERS if not lic.ANCHOR.search(f)]
+    texts = [t for t in texts if not lic.ANCHOR.search(t)]
+    wanted = set()
+    for k, text in enumerate(texts):
+        p, words = model.probabilities(text), set(lic.words_of(text))
+        family = model.families[int(p.argmax())]
+        shares = [len(words & set(lic.words_of(t))) / len(set(lic.words_of(t))) for t in lic.TEMPLATES.get(family, [])]
+        if round(p.max(), 6) >= lic.MIN_PROBABILITY and max(shares, default=0) >= lic.MIN_COVERAGE:
+            wanted.add((k, family))
+    assert len({f for _, f in wanted}) > 3
+    assert {(r["doc_id"], r["family"]) for r in lic.scan(make_docs(spark, list(enumerate(texts)))).collect()} == wanted
