@@ -67,9 +67,29 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "media_id", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+#: Folders of a published table; a medium's rows are all in one of them.
+BUCKETS = 64
+
+
 def write(rows: DataFrame, path: str, by: str = "media_id") -> None:
-    """Publish rows; only the partitions that the run has anew are replaced, and readers never see half a file."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Publish rows; only what the run has anew of `by` is replaced, and readers never see half a file.
+
+    Folders hold buckets of `by`, so that their number doesn't grow with it; a run writes those that it has rows of again, with the
+    rows of others in them as they were.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col(by)), F.lit(BUCKETS)).cast("int")
+    new = materialize(rows, "published").withColumn("bucket", bucket)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        old = spark.read.parquet(path)
+        if "bucket" not in old.columns:
+            raise ValueError(f"{path} holds a table of another layout")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        again = new.select(F.col(by).alias("_anew")).distinct()
+        kept = old.where(F.col("bucket").isin(touched)).join(again, F.col(by).eqNullSafe(F.col("_anew")), "left_anti")
+        new = kept.unionByName(new, allowMissingColumns=True)
+    new.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def frame_images(results: DataFrame, images: DataFrame) -> DataFrame:

@@ -77,3 +77,12 @@ def test_images_are_published(spark, images, tmp_path):
         assert left == {other, foreign, f"7-{rows[0]['frame_id']}.png"}
         assert (folder / f"7-{rows[0]['frame_id']}.png").read_bytes() == b"three"
     assert sinks.publish_images(images.where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_published_folders_do_not_grow_with_media(spark, tmp_path):
+    path, rows = f"{tmp_path}/out", spark.range(300).select(F.col("id").alias("media_id"), F.lit("first").alias("run"))
+    sinks.write(rows, path)
+    sinks.write(rows.where("media_id % 3 = 0").withColumn("run", F.lit("second")).withColumn("more", F.lit(1)), path)
+    assert len([f for f in (tmp_path / "out").iterdir() if f.is_dir()]) <= 64
+    got = sorted((r["media_id"], r["run"]) for r in spark.read.parquet(path).collect())
+    assert got == [(k, "second" if k % 3 == 0 else "first") for k in range(300)]
