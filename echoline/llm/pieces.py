@@ -4,7 +4,8 @@ A model file is read as the protocol buffer that it is. Text is normalised from
 the compiled character map (a double array over bytes, followed by the replacements) holds; every byte of the normalised
 text keeps the byte offset in the source of the prefix that it came from. Pieces are found in the normalised text and
 projected through these offsets to spans of the source. Where no piece has a space mark after another character, runs
-of marks start segments that never merge with what precedes them, and segments met before come from a bounded memory.
+of marks start segments that never merge with what precedes them, and segments met before come from a bounded memory;
+new ones of several texts are merged together, those of a length in lockstep.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; invalid UTF-8 is replaced by U+FFFD before
 anything else, as a Python string would be (spans then count bytes of that string); equal scores merge leftmost first;
@@ -21,7 +22,7 @@ import heapq
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,8 +35,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 NO_RANK = 1 << 60
 #: Characters that are normalised and segmented at a time, estimated bytes of each of the two generations of segments that a
-#: worker remembers, and the length from which a segment's pairs are kept in a heap.
-STEP, CACHE_BYTES, LONG = 1 << 20, 110 << 20, 64
+#: worker remembers, the length from which a segment's pairs are kept in a heap, and from how many segments of a length on
+#: these are merged in lockstep.
+STEP, CACHE_BYTES, LONG, TOGETHER = 1 << 20, 110 << 20, 64, 16
 
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -209,6 +211,96 @@ class Normaliser:
                 yield whole, np.append(offsets, end)
 
 
+class Lockstep:
+    """Segments of one length merged together: in each step every row merges its leftmost pair of the best score, so all rows
+    that are not done stay equally long. Symbols are pieces and single characters by number."""
+
+    NONE = np.iinfo(np.int32).max
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, rank_of: dict[str, int], ids_of: Callable[[str], tuple[list[int], list[int]]]):
+        """ids_of: the ids of a symbol, and how many bytes each takes."""
+        symbols = list(dict.fromkeys([*rank_of, *(c for p in rank_of for c in p), *map(chr, range(128))]))
+        number = {x: k for k, x in enumerate(symbols)}
+        self.n = len(symbols)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for x, k in number.items():
+            if len(x) == 1:
+                self.of_char[ord(x)] = k
+        self.rank = np.array([rank_of.get(x, self.NONE) for x in symbols] + [self.NONE], np.int32)  # the last one: no such pair
+        made = {number[p[:k]] * self.n + number[p[k:]]: number[p] for p in rank_of for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        self.shift = np.uint64(64 - max(4, (4 * len(made)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.made = np.full(len(self.keys), self.n, np.int32)
+        self.probes = 1
+        for key, slot, symbol in zip(made, self.slots(np.array(list(made), np.int64)).tolist(), made.values(), strict=True):
+            probes = 1
+            while self.keys[slot] >= 0:
+                slot, probes = (slot + 1) % len(self.keys), probes + 1
+            self.keys[slot], self.made[slot], self.probes = key, symbol, max(self.probes, probes)
+        outs = [ids_of(x) for x in symbols]
+        self.count = np.array([len(ids) for ids, _ in outs], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.ids, self.sizes = (np.array([x for out in outs for x in out[k]], "<u4") for k in (0, 1))
+
+    def slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * self.MIX) >> self.shift).astype(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbol that each pair merges to, n where it doesn't."""
+        key = left.astype(np.int64) * self.n + right
+        slot = self.slots(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.made[slot], self.n)
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) % len(self.keys)
+            held = self.keys[slot[open_]]
+            out[open_] = np.where(held == key[open_], self.made[slot[open_]], self.n)
+            open_ = open_[(held != key[open_]) & (held >= 0)]
+        return out
+
+    def encode(self, segments: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        """(place, ids, sizes) of the segments, all of one length, that hold no other characters than symbols."""
+        size = len(segments[0])
+        parts = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4")].reshape(-1, size)
+        rows = np.flatnonzero((parts >= 0).all(axis=1))
+        parts = parts[rows]
+        ranks = self.rank[self.pairs(parts[:, :-1].ravel(), parts[:, 1:].ravel())].reshape(len(rows), size - 1)
+        while len(rows):
+            each = np.arange(len(rows))
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+            going = ranks[each, at] < self.NONE if ranks.shape[1] else np.zeros(len(rows), bool)
+            if not going.all():
+                yield from self.told(rows[~going], parts[~going])
+                rows, parts, ranks, at = rows[going], parts[going], ranks[going], at[going]
+                if not len(rows):
+                    break
+                each = np.arange(len(rows))
+            n = parts.shape[1]
+            parts[each, at] = self.pairs(parts[each, at], parts[each, at + 1])
+            keep = np.ones(parts.shape, bool)
+            keep[each, at + 1] = False
+            parts = parts[keep].reshape(len(rows), n - 1)
+            ranks = ranks[np.arange(n - 1) != at[:, None]].reshape(len(rows), n - 2)
+            for left in (at - 1, at):
+                has = np.flatnonzero((left >= 0) & (left < n - 2))
+                where = left[has]
+                ranks[has, where] = self.rank[self.pairs(parts[has, where], parts[has, where + 1])]
+
+    def told(self, rows: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        count = self.count[parts]
+        each = count.ravel()
+        place = np.repeat(self.first[parts].ravel() - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        ids, sizes = self.ids[place].tobytes(), self.sizes[place].tobytes()
+        begin = 0
+        for row, n in zip(rows.tolist(), (4 * count.sum(axis=1)).tolist(), strict=True):
+            yield row, ids[begin : begin + n], sizes[begin : begin + n]
+            begin += n
+
+
 class Codec:
     """Ids, spans and back again."""
 
@@ -229,6 +321,7 @@ class Codec:
         self.known: dict[str, tuple[bytes, bytes, str]] = {}
         self.older: dict[str, tuple[bytes, bytes, str]] = {}
         self.held = 0
+        self.lockstep = Lockstep(self.rank_of, self.ids_of) if m.user_defined is None and not self.unused else None
         self.marks = np.array([p.count(MARK) if k in (NORMAL, USER_DEFINED, UNUSED) else 0 for p, k in zip(m.pieces, m.kinds, strict=True)])
         self.direct = self.normaliser.plain and apart and m.prefix and not m.suffix and m.byte_fallback and MARK in self.id_of
         self.decimals = list(map(str, range(len(m.pieces))))
@@ -308,21 +401,46 @@ class Codec:
                 ids.append(found[0])
                 sizes.append(found[1])
             else:
-                raw = piece.encode("utf-8")
-                ids += [self.byte_ids[b] for b in raw] if self.m.byte_fallback else [self.unknown]
-                sizes += [0] * (len(raw) - 1) + [len(raw)] if self.m.byte_fallback else [len(raw)]
+                some, each = self.ids_of(piece)
+                ids += some
+                sizes += each
         return ids, sizes
 
+    def ids_of(self, piece: str) -> tuple[list[int], list[int]]:
+        if (found := self.known_piece(piece)) is not None:
+            return [found[0]], [found[1]]
+        raw = piece.encode("utf-8")
+        return ([self.byte_ids[b] for b in raw], [0] * (len(raw) - 1) + [len(raw)]) if self.m.byte_fallback else ([self.unknown], [len(raw)])
+
     def learn(self, segments: set[str]) -> None:
         """Make sure that all these segments are known. Those of the last generation but one are forgotten."""
         if self.held > CACHE_BYTES:
             self.older, self.known, self.held = self.known, {}, 0
-        for s in [s for s in segments if s not in self.known]:
+        fresh: dict[int, list[str]] = {}
+        for s in segments.difference(self.known):
             if (found := self.older.get(s)) is None:
-                ids, sizes = self.encode_segment(s)
-                found = array("I", ids).tobytes(), array("I", sizes).tobytes(), ",".join([self.decimals[i] for i in ids])
-            self.known[s] = found
-            self.held += 330 + 4 * len(s) + 5 * len(found[0])
+                fresh.setdefault(len(s), []).append(s)
+            else:
+                self.keep(s, found)
+        for size, alike in fresh.items():
+            left = set(range(len(alike)))
+            if self.lockstep and len(alike) >= TOGETHER and size <= LONG:
+                for k, ids, sizes in self.lockstep.encode(alike):
+                    self.keep(alike[k], (ids, sizes, ",".join([self.decimals[i] for i in memoryview(ids).cast("I")])))
+                    left.discard(k)
+            for k in left:
+                ids, sizes = self.encode_segment(alike[k])
+                self.keep(alike[k], (array("I", ids).tobytes(), array("I", sizes).tobytes(), ",".join([self.decimals[i] for i in ids])))
+
+    def keep(self, segment: str, found: tuple[bytes, bytes, str]) -> None:
+        self.known[segment] = found
+        self.held += 330 + 4 * len(segment) + 5 * len(found[0])
+
+    def ahead(self, texts: list[str]) -> None:
+        """Learn the segments of several texts of together about STEP characters at once; longer texts and those that are normalised
+        piece by piece are left to `encode`."""
+        if self.direct:
+            self.learn({s for text in texts if len(text) <= STEP and MARK not in text for s in self.split(MARK + text.replace(" ", MARK))})
 
     def encode(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
         """(ids, span begins, span ends, decimal ids joined by commas) of the text's successive chunks."""
@@ -348,8 +466,12 @@ class Codec:
             yield ids, offsets[begins], offsets[ends], decimals
 
     def looked_up(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, str]:
-        self.learn(set(segments))
-        ids, sizes, decimals = zip(*map(self.known.__getitem__, segments), strict=True)
+        try:
+            found = list(map(self.known.__getitem__, segments))
+        except KeyError:
+            self.learn(set(segments))
+            found = map(self.known.__getitem__, segments)
+        ids, sizes, decimals = zip(*found, strict=True)
         return np.frombuffer(b"".join(ids), "<u4"), np.frombuffer(b"".join(sizes), "<u4"), ",".join(decimals)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -405,6 +527,16 @@ def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     schema = DIGESTS if digest else ENCODED
     fields = spark_to_arrow(spark, schema)
 
+    def groups(texts: list[str]) -> Iterator[list[str]]:
+        some, room = [], STEP
+        for text in texts:
+            if some and len(text) > room:
+                yield some
+                some, room = [], STEP
+            some.append(text)
+            room -= len(text)
+        yield some
+
     def row(codec: Codec, doc: int | None, text: str) -> tuple:
         parts = list(codec.encode(text))
         ids, begins, ends = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3))
@@ -419,7 +551,11 @@ def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
         for batch in batches:
-            rows = [row(codec, doc, (text or b"").decode("utf-8", "replace")) for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            docs, texts = (c.to_pylist() for c in batch.columns)
+            ids, rows = iter(docs), []
+            for some in groups([(text or b"").decode("utf-8", "replace") for text in texts]):
+                codec.ahead(some)
+                rows += [row(codec, next(ids), text) for text in some]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 

@@ -87,6 +87,26 @@ def test_other_models_equal_the_library(model, rule):
             agree(codec, library, some(rng, 14))
 
 
+def test_new_segments_of_a_length_are_merged_together(model, monkeypatch):
+    """Lockstep gives what merging one by one gives, for pieces, unknown characters, equal scores and all lengths."""
+    rng = random.Random(5)
+    letters = 12 * ["th", "ing", "er", "e", "n", "a", "\n", ",", ".", "é", "ß"] + [c for c in ALPHABET if "▁" not in c and " " not in c]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(700)) for _ in range(4)]
+    for data, ties in ((model, 1), (model, 3000), (changed(model, fallback=0), 1)):
+        alone, together = Codec(data), Codec(data)
+        for codec in (alone, together):
+            codec.rank_of = {p: k // ties for p, k in codec.rank_of.items()}
+        alone.lockstep, together.lockstep = None, pieces.Lockstep(together.rank_of, together.ids_of)
+        asked = []
+        monkeypatch.setattr(together, "encode_segment", lambda s, one=together.encode_segment, asked=asked: asked.append(s) or one(s))
+        together.ahead(texts)
+        if together.direct:
+            assert len(asked) < 0.6 * len(together.known)
+        for text in texts:
+            for a, b in zip(alone.encode(text), together.encode(text), strict=True):
+                assert [list(x) for x in a] == [list(x) for x in b]
+
+
 def test_steps_and_forgetting_change_nothing(model, monkeypatch, prose):
     whole = Codec(model)
     texts = [prose(k, 60) + "  " + "x" * 90 + " ▁ é" * k for k in range(12)]
