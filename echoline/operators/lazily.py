@@ -19,7 +19,7 @@ from echoline.sources.connectors import Connectors
 from echoline.tables import materialize
 
 PAIR = ["query_id", "media_id"]
-SEEN = "query_id long, media_id long, decode_idx int, n int, matched_text string, match_type string, score double"
+SEEN = "query_id long, key string, matched_text string, match_type string, score double"
 
 
 def image_key(identity: str):
@@ -40,7 +40,7 @@ def read_once(images: DataFrame, connectors: Connectors, memo: str | None, ident
 
 
 def shown(pairs: DataFrame, threshold: float) -> DataFrame:
-    """SEEN for the rows (query_id, media_id, decode_idx, n, target, text) whose text shows the target."""
+    """SEEN for the rows (query_id, key, target, text) whose text shows the target."""
     fields = arrow_fields(pairs, SEEN)
 
     def run(batches):
@@ -53,7 +53,7 @@ def shown(pairs: DataFrame, threshold: float) -> DataFrame:
             if rows:
                 yield record_batch(rows, fields)
 
-    return pairs.select(*PAIR, "decode_idx", "n", "target", "text").mapInArrow(run, SEEN)
+    return pairs.select("query_id", "key", "target", "text").mapInArrow(run, SEEN)
 
 
 def first_visible(offered: DataFrame, targets: DataFrame, connectors: Connectors, threshold: float = 85.0, memo: str | None = None, identity: str = "") -> DataFrame:
@@ -61,7 +61,8 @@ def first_visible(offered: DataFrame, targets: DataFrame, connectors: Connectors
     (query_id, media_id, decode_idx, image_digest) the first, in decode order, that shows it.
 
     Of each pair the first frame is asked about, then the next two, four and so on while nothing was found. The text of an
-    image is read once, whoever asks for it and in whatever round; with memo, a folder, also across runs.
+    image is read once, whoever asks for it and in whatever round; with memo, a folder, also across runs. A round compares it with
+    a target once, in however many media it stands.
     `processed` counts the frames up to the hit (all, if none), `asked` those of the rounds that were gone through: less than
     twice as many. Pairs whose target has nothing to look for are asked about nothing.
     """
@@ -82,7 +83,8 @@ def first_visible(offered: DataFrame, targets: DataFrame, connectors: Connectors
             images = images.join(known.select("key"), "key", "left_anti")
         texts.append(materialize(read_once(images, connectors, memo, identity), "frame-texts"))
         known = reduce(DataFrame.unionByName, texts)
-        found = materialize(shown(now.join(known, "key").join(useful, "query_id"), threshold), "shown")
+        asked = now.select("query_id", "key").distinct().join(known, "key").join(useful, "query_id")  # an image is compared with a target once
+        found = materialize(now.select(*PAIR, "decode_idx", "n", "key").join(materialize(shown(asked, threshold), "matches"), ["query_id", "key"]).drop("key"), "shown")
         hits.append(found)
         gone.append(now.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("asked")))
         first, width = first + width, 2 * width

@@ -301,3 +301,15 @@ def test_intervals_of_any_length(spark, seed):
     assert inside == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] <= x[3] and x[2] <= y[2] and y[3] <= x[3])
     copies = intervals.bucketed(left, "low", "high", 60.0).groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     assert copies <= 3
+
+
+def test_an_image_is_compared_with_a_target_once_a_round(spark, monkeypatch):
+    """However many media it stands in; hits are told for every frame that holds it."""
+    compared, shown = [], lazily.shown
+    monkeypatch.setattr(lazily, "shown", lambda pairs, threshold: compared.append(pairs.count()) or shown(pairs, threshold))
+    offered = spark.createDataFrame([(1 + m % 2, m, 10 * k, "img:a line" if k == 1 + m % 3 else "img:else") for m in range(30) for k in range(5)], "query_id long, media_id long, decode_idx int, image_digest string")
+    lines = spark.createDataFrame([(1, "a line"), (2, "A line!")], "query_id long, text string")
+    connectors = Connectors().register("read_text", lambda: lambda row: [{"media_id": row["media_id"], "decode_idx": row["decode_idx"], "line_idx": 0, "text": row["image_digest"].removeprefix("img:"), "confidence": 0.9}])
+    got = {(r["query_id"], r["media_id"]): (r["decode_idx"], r["processed"], r["asked"]) for r in lazily.first_visible(offered, lines, connectors).collect()}
+    assert got == {(1 + m % 2, m): (10 + 10 * (m % 3), 2 + m % 3, 3 if m % 3 < 2 else 5) for m in range(30)}
+    assert compared == [2, 4, 4]
